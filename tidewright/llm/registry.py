@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
+    "tidewright.llm.url_filter",
+    "tidewright.llm.packing",
     "tidewright.llm.token_shards",
+    "tidewright.llm.mixing",
 ]
 
 
