@@ -6,7 +6,9 @@ from importlib import import_module
 
 MODULES = [
     "tidewright.llm.url_filter",
+    "tidewright.llm.quality_classifier",
     "tidewright.llm.packing",
+    "tidewright.llm.quality_rules",
     "tidewright.llm.token_shards",
     "tidewright.llm.mixing",
 ]
