@@ -22,42 +22,100 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Byte-level models write each byte as a character: printable bytes as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+#: Marks that make a piece of their own after letters, in whatever context.
+_MARKS = ".,;:!?*#$%&|<>()"
+
+
 class ChunkEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object.
 
-    def __init__(self, path: str, limit: int = 600_000):
+    A chunk is what stands between two spaces. A key of ``known`` is the chunk, which has its space before it,
+    or a one-tuple of a piece that has none. Chunks that are new are put together of known pieces where a line
+    end or marks after letters part them; what is still unknown goes to the library.
+    """
+
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.limit, self.known = limit, {"": b""}
-
-    def _look_up(self, chunks: list) -> dict:
-        words = [x if isinstance(x, str) else x[0] for x in chunks]
-        words = [w if isinstance(x, tuple) else " " + w for x, w in zip(chunks, words)]
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        of = np.array(got.word_ids, np.int64)
-        ids = np.array(got.ids, "<u4").tobytes()
-        cut = (np.searchsorted(of, np.arange(len(words) + 1)) * 4).tolist()
-        return {x: ids[i:j] for x, i, j in zip(chunks, cut, cut[1:])}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def _look_up(self, pieces: list) -> dict:
+        """Ids of new pieces: letters alone are one word of the model, the rest goes through the whole tokenizer."""
+        one, table, token, out, rest = self.tokenizer.model.tokenize, _BYTE_CHARS, self.packed, {}, []
+        for x in pieces:
+            word = x[0] if isinstance(x, tuple) else x
+            if word.isalpha():
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                out[x] = b"".join([token[t.id] for t in one(word if isinstance(x, tuple) else "\u0120" + word)])
+            else:
+                rest.append(x)
+        if rest:
+            words = [x[0] if isinstance(x, tuple) else " " + x for x in rest]
+            got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            of = np.array(got.word_ids, np.int64)
+            ids = np.array(got.ids, "<u4").tobytes()
+            cut = (np.searchsorted(of, np.arange(len(words) + 1)) * 4).tolist()
+            out.update((x, ids[i:j]) for x, i, j in zip(rest, cut, cut[1:]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        get, out, holes, new = self.known.get, [], [], {}
         for text in texts:
             chunks = _CUT.split(text) if _ODD.search(text) else text.split(" ")
             if chunks[0]:
                 chunks[0] = (chunks[0],)  # no space before it
-            split.append(chunks)
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
+            got = list(map(get, chunks))
+            if None in got:
+                at = [(i, chunks[i]) for i, g in enumerate(got) if g is None]
+                holes.append((got, at))
+                new.update((x, None) for _, x in at)
+            out.append(got)
         if new:
-            found = self._look_up(new)
-            if len(known) + len(found) <= self.limit:
-                known.update(found)
-            else:
-                known = _Both(known, found)
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            found = self._found({x: _pieces(x) for x in new})
+            for got, at in holes:
+                for i, x in at:
+                    got[i] = found[x]
+            if len(self.known) + len(found) <= self.limit:
+                self.known.update(found)
+        return [b"".join(got) for got in out]
+
+    def _found(self, parts: dict) -> dict:
+        known = self.known
+        unknown = list(set(chain.from_iterable(parts.values())).difference(known))
+        found = _Both(known, self._look_up(unknown)) if unknown else known
+        get = found.__getitem__
+        out = {x: b"".join(map(get, p)) for x, p in parts.items()}
+        if unknown and len(known) + len(out) + len(unknown) <= self.limit:
+            out.update((x, found[x]) for x in unknown)
+        return out
+
+
+def _pieces(chunk) -> list:
+    """Keys of the pieces of a chunk, whose ids in a row are the chunk's."""
+    bare = isinstance(chunk, tuple)
+    text = chunk[0] if bare else chunk
+    lines = text.split("\n")
+    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+        return [chunk]
+    out = []
+    for k, line in enumerate(lines):
+        if k:
+            out.append(("\n",))
+        letters = line.rstrip(_MARKS)
+        if letters and letters.isalpha():
+            out.append((letters,) if bare or k else letters)
+            if len(letters) < len(line):
+                out.append((line[len(letters) :],))
+        else:
+            out.append((line,) if bare or k else line)
+    return out
 
 
 class _Both(dict):
@@ -81,7 +139,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def batches(texts, most_chars: int = 4_000_000):
+def batches(texts, most_chars: int = 1_500_000):
     """Runs of texts of a bounded total length, as (first index, texts)."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
