@@ -8,6 +8,7 @@ MODULES = [
     "tidewright.llm.url_filter",
     "tidewright.llm.quality_classifier",
     "tidewright.llm.packing",
+    "tidewright.llm.warc",
     "tidewright.llm.quality_rules",
     "tidewright.llm.token_shards",
     "tidewright.llm.mixing",

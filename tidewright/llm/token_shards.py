@@ -137,7 +137,7 @@ def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, e
                 fs, final = filesystem(name)
                 fs.create_dir(posixpath.dirname(final), recursive=True)
                 temporary = f"{posixpath.dirname(final)}/.{uuid.uuid4().hex}.tmp"
-                out = fs.open_output_stream(temporary)
+                out = fs.open_output_stream(temporary, compression=None)
                 writer = ShardWriter(out, frame_bytes)
             for first, texts in batches(part.column(1).to_pylist()):
                 for k, got in enumerate(encode(texts)):
