@@ -12,6 +12,7 @@ MODULES = [
     "tidewright.llm.quality_rules",
     "tidewright.llm.token_shards",
     "tidewright.llm.mixing",
+    "tidewright.llm.minhash_dedup",
 ]
 
 
