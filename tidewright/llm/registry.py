@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "tidewright.llm.url_filter",
+    "tidewright.llm.html_extract",
     "tidewright.llm.embedding_dedup",
     "tidewright.llm.quality_classifier",
     "tidewright.llm.packing",
