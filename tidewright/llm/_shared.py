@@ -40,3 +40,16 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def quoted(name: str) -> str:
+    """A column's name as the SQL parser takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it if df has such a column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

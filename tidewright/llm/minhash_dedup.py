@@ -185,10 +185,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
 
     Null texts and texts without words have an empty set and link with nothing. Documents with fewer words than
     width have their whole sequence as one shingle. Rows that repeat a doc_id come out once each, with the same
-    component. Rows with a null doc_id are an error of the caller. An empty table gives no rows.
+    component. Rows with a null doc_id link with nothing and are kept, with a null component. An empty table gives
+    no rows.
     """
     rows = staged(sketch(docs, width), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
     classes = staged(classes.select(F.col("n_shingles").alias("n"), F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("first.doc_id").alias("class"), F.col("first.signature").alias("signature")), "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text")
 
@@ -206,8 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
 
     of = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("n", "a", "b", F.coalesce("component", "class").alias("component_id"))
     out = rows.join(of, (F.col("n_shingles") == F.col("n")) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import remainder, sample
-from ._shared import partitions, staged, table
+from ._shared import partitions, quoted, staged, table
 from ._words import Words, groups
 
 MOST_LABELLED = 12_000  # rows that the classifier is fitted on, at most
@@ -205,7 +205,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 def with_score(docs: DataFrame, model: QualityModel, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of docs (text, ...) and the score. Null texts score as empty ones, which score too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep)
+    kept = docs.select(*map(quoted, keep))
 
     def run(parts):
         for part in parts:
@@ -213,7 +213,7 @@ def with_score(docs: DataFrame, model: QualityModel, keep: list[str], name: str
             yield pa.RecordBatch.from_arrays([*part.column(0).flatten(), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep, name])
 
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.select(F.struct(*keep).alias("row"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.struct(*map(quoted, keep)).alias("row"), F.col("text")).mapInArrow(run, schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

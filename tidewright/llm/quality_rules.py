@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import sample
-from ._shared import table
+from ._shared import free_name, quoted, table
 from ._words import Words, groups, run_hashes, runs
 
 MOST_LABELLED = 20_000  # rows that rules are learned from, at most
@@ -74,12 +74,12 @@ def count(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs (doc_id, text, ...) with a struct column of COUNTS named by free_name(docs)."""
-    name = free_name(docs)
-    kept = docs.select(*keep)
+    """Columns ``keep`` of docs (doc_id, text, ...) with a struct column of COUNTS under a free name, "counts" if it can be."""
+    name = free_name(docs, "counts")
+    kept = docs.select(*map(quoted, keep))
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
-    source = docs.select(F.struct(*keep).alias("row"), F.col("text"))
+    source = docs.select(F.struct(*map(quoted, keep)).alias("row"), F.col("text"))
 
     def run(parts):
         for part in parts:
@@ -93,14 +93,6 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def free_name(docs: DataFrame) -> str:
-    """A column name that docs doesn't have."""
-    name = "counts"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
-
-
 @dataclass(frozen=True)
 class Test:
     feature: str
