@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Each module has QUERIES {name: callable(spark, sf_dir)} and ORACLES {name: sql}.
-MODULES: list[str] = []
+MODULES = [
+    "tidewright.operators.kv",
+]
 
 
 def queries() -> dict:
