@@ -7,6 +7,7 @@ from importlib import import_module
 #: Each module has QUERIES {name: callable(spark, sf_dir)} and ORACLES {name: sql}.
 MODULES = [
     "tidewright.operators.kv",
+    "tidewright.operators.queue",
 ]
 
 
