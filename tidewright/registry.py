@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = [
     "tidewright.operators.kv",
     "tidewright.operators.queue",
+    "tidewright.operators.metrics",
+    "tidewright.functions.scalars",
 ]
 
 
