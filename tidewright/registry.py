@@ -10,6 +10,9 @@ MODULES = [
     "tidewright.operators.queue",
     "tidewright.operators.metrics",
     "tidewright.functions.scalars",
+    "tidewright.plans.dag",
+    "tidewright.plans.merge",
+    "tidewright.plans.workflows",
 ]
 
 
