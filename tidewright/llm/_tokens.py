@@ -1,145 +1,136 @@
-"""Whole texts to token ids with the tokenizers library, remembering the ids of chunks between spaces.
+"""Whole texts to token ids with the tokenizers library, remembering the ids of units met before.
 
-Byte-level BPE splits a text before every space that a non-space follows, whatever stands around it, so a
-text's ids are those of its chunks in a row. Chunks met before are looked up; the others go to the library
-in one call a batch. The memory is bounded: past ``limit`` chunks, new ones are encoded and forgotten.
+A byte-level BPE encodes each of a text's words by itself, and its pattern parts words in places that can be
+told from the bytes around them: before a space that a non-space follows, between a visible ASCII character
+and white space, beside a lone line end, and between ASCII letters and marks. A text is cut there into units,
+whose ids in a row are the text's. Units of a whole batch are hashed and looked up at once in sorted arrays;
+only new ones go to the library. Memory is bounded: past ``limit`` units, new ones are encoded and forgotten.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 
-_ODD = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-
-
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
+from ._words import run_hashes
 
 #: Byte-level models write each byte as a character: printable bytes as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-#: Marks that make a piece of their own after letters, in whatever context.
-_MARKS = ".,;:!?*#$%&|<>()"
 
+def _table(codes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
 
-class ChunkEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object.
 
-    A chunk is what stands between two spaces. A key of ``known`` is the chunk, which has its space before it,
-    or a one-tuple of a piece that has none. Chunks that are new are put together of known pieces where a line
-    end or marks after letters part them; what is still unknown goes to the library.
-    """
+VISIBLE = _table(range(0x21, 0x7F))
+#: First bytes of what is surely no white space: the lead bytes of all wide white space are left out.
+SOLID = VISIBLE | _table(set(range(0xC3, 0x100)) - {0xE1, 0xE2, 0xE3})
+BLANK = _table([0x20, *range(0x09, 0x0E)])
+BREAK = _table(range(0x09, 0x0E))
+ALPHA = _table([*range(65, 91), *range(97, 123)])
+MARK = _table(b".,;:!?*#$%&|<>()")
 
-    def __init__(self, path: str, limit: int = 200_000):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.limit, self.known = limit, {"": b""}
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-
-    def _look_up(self, pieces: list) -> dict:
-        """Ids of new pieces: letters alone are one word of the model, the rest goes through the whole tokenizer."""
-        one, table, token, out, rest = self.tokenizer.model.tokenize, _BYTE_CHARS, self.packed, {}, []
-        for x in pieces:
-            word = x[0] if isinstance(x, tuple) else x
-            if word.isalpha():
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(table)
-                out[x] = b"".join([token[t.id] for t in one(word if isinstance(x, tuple) else "\u0120" + word)])
-            else:
-                rest.append(x)
-        if rest:
-            words = [x[0] if isinstance(x, tuple) else " " + x for x in rest]
-            got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            ids = np.array(got.ids, "<u4").tobytes()
-            cut = (np.searchsorted(of, np.arange(len(words) + 1)) * 4).tolist()
-            out.update((x, ids[i:j]) for x, i, j in zip(rest, cut, cut[1:]))
-        return out
+def default_vocabulary() -> str:
+    import public_tokenizers
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get, out, holes, new = self.known.get, [], [], {}
-        for text in texts:
-            chunks = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            if chunks[0]:
-                chunks[0] = (chunks[0],)  # no space before it
-            got = list(map(get, chunks))
-            if None in got:
-                at = [(i, chunks[i]) for i, g in enumerate(got) if g is None]
-                holes.append((got, at))
-                new.update((x, None) for _, x in at)
-            out.append(got)
-        if new:
-            found = self._found({x: _pieces(x) for x in new})
-            for got, at in holes:
-                for i, x in at:
-                    got[i] = found[x]
-            if len(self.known) + len(found) <= self.limit:
-                self.known.update(found)
-        return [b"".join(got) for got in out]
-
-    def _found(self, parts: dict) -> dict:
-        known = self.known
-        unknown = list(set(chain.from_iterable(parts.values())).difference(known))
-        found = _Both(known, self._look_up(unknown)) if unknown else known
-        get = found.__getitem__
-        out = {x: b"".join(map(get, p)) for x, p in parts.items()}
-        if unknown and len(known) + len(out) + len(unknown) <= self.limit:
-            out.update((x, found[x]) for x in unknown)
-        return out
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _pieces(chunk) -> list:
-    """Keys of the pieces of a chunk, whose ids in a row are the chunk's."""
-    bare = isinstance(chunk, tuple)
-    text = chunk[0] if bare else chunk
-    lines = text.split("\n")
-    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-        return [chunk]
-    out = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append(("\n",))
-        letters = line.rstrip(_MARKS)
-        if letters and letters.isalpha():
-            out.append((letters,) if bare or k else letters)
-            if len(letters) < len(line):
-                out.append((line[len(letters) :],))
-        else:
-            out.append((line,) if bare or k else line)
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a unit may begin: True at p if data parts before p. Any other byte below 0x21 may stand between texts."""
+    out = np.zeros(len(data), bool)
+    solid, visible, blank, alpha, mark = SOLID[data], VISIBLE[data], BLANK[data], ALPHA[data], MARK[data]
+    out[:-1] |= (data[:-1] == 0x20) & solid[1:]
+    out[1:] |= blank[1:] & visible[:-1]
+    out[2:] |= solid[2:] & BREAK[data[1:-1]] & visible[:-2]
+    out[1:] |= (alpha[:-1] & mark[1:]) | (mark[:-1] & alpha[1:])
     return out
 
 
-class _Both(dict):
-    """Looks in a second mapping for what the first lacks, without copying either."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+class Encoder:
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object."""
 
+    def __init__(self, path: str, limit: int = 1_500_000):
+        from tokenizers import Tokenizer
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.limit, self.pool, self.used = limit, np.zeros(1 << 16, kind), 0
+        self.keys, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        """Ids of new units: letters alone are one word of the model, the rest goes through the whole tokenizer."""
+        one, out, rest = self.tokenizer.model.tokenize, [], []
+        for k, word in enumerate(words):
+            letters = word[1:] if word[0] == " " else word
+            if letters.isalpha():
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+                out.append([t.id for t in one("Ġ" + letters if word[0] == " " else letters)])
+            else:
+                rest.append(k)
+                out.append([])
+        for k, got in zip(rest, self.tokenizer.encode_batch([words[k] for k in rest], add_special_tokens=False)):
+            out[k] = got.ids
+        return out
 
-def encoder(path: str) -> ChunkEncoder:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"\0".join([b"", *raw, b""]), np.uint8)
+        sizes = np.array([len(r) for r in raw], np.int64)
+        begin = np.cumsum(sizes + 1) - sizes  # of each text in data
+        part = cuts(data)
+        part[begin] = True
+        part[begin + sizes] = True  # the byte between texts, a unit that is left out
+        starts = np.flatnonzero(part)
+        ends = np.append(starts[1:], len(data))
+        kept = np.ones(len(starts), bool)
+        kept[np.searchsorted(starts, begin + sizes)] = False
+        starts, ends = starts[kept], ends[kept]
+        hashes, first, unit = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        found = np.searchsorted(self.keys, hashes)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == hashes[known]
+        at, length = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32)
+        at[known], length[known] = self.at[found[known]], self.length[found[known]]
+        new = np.flatnonzero(~known)
+        used = self.used
+        if len(new):
+            flat = data.tobytes()
+            ids = self._new([flat[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            length[new] = [len(x) for x in ids]
+            at[new] = used + np.cumsum(length[new]) - length[new]
+            used += int(length[new].sum())
+            if used > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), used - len(self.pool)), self.pool.dtype)])
+            self.pool[self.used : used] = [i for x in ids for i in x]
+        length_of, at_of = length[unit].astype(np.int64), at[unit]
+        total = np.zeros(len(unit) + 1, np.int64)
+        np.cumsum(length_of, out=total[1:])
+        ids = self.pool[np.arange(total[-1]) + np.repeat(at_of - total[:-1], length_of)].astype("<u4").tobytes()
+        if len(new) and len(self.keys) + len(new) <= self.limit:
+            place = np.searchsorted(self.keys, hashes[new])
+            self.keys, self.at, self.length = np.insert(self.keys, place, hashes[new]), np.insert(self.at, place, at[new]), np.insert(self.length, place, length[new])
+            self.used = used
+        bounds = (total[np.searchsorted(starts, np.append(begin, len(data)))] * 4).tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def batches(texts, most_chars: int = 1_500_000):
+def batches(texts, most_chars: int = 2_000_000):
     """Runs of texts of a bounded total length, as (first index, texts)."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
