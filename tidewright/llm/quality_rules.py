@@ -127,19 +127,24 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: float, n0: float) -> np.ndarray:
         return np.where(p > 0, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), 0.0)
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, quantiles: int) -> list[Test]:
+def _purity(p: np.ndarray, n: np.ndarray, p0: float, n0: float) -> np.ndarray:
+    """Covered rows in bad ones above the share so far, discounted for small numbers."""
+    return np.where(p >= 5, (p + 1) / (p + n + 2) - (p0 + 1) / (p0 + n0 + 2) + p / 1e6, 0.0)
+
+
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, measure) -> list[Test]:
     rule, live = [], np.ones(len(bad), bool)
     while (bad & live).any() and (~bad & live).any() and len(rule) < 4:
         p0, n0 = float((bad & live).sum()), float((~bad & live).sum())
         best, best_gain = None, 1e-9
         for name in FEATURES:
             v = x[name][live]
-            cuts = np.unique(np.quantile(np.unique(v), np.linspace(0, 1, quantiles)))
+            cuts = np.unique(v)
             of = np.sort(v[bad[live]])
             other = np.sort(v[~bad[live]])
             for above in (True, False):
                 side = (lambda a: len(a) - np.searchsorted(a, cuts, "left")) if above else (lambda a: np.searchsorted(a, cuts, "right"))
-                gains = _gain(side(of).astype(float), side(other).astype(float), p0, n0)
+                gains = measure(side(of).astype(float), side(other).astype(float), p0, n0)
                 k = int(np.argmax(gains))
                 if gains[k] > best_gain:
                     best, best_gain = Test(name, above, float(cuts[k])), float(gains[k])
@@ -154,30 +159,34 @@ def _covers(rule: list[Test], x: dict[str, np.ndarray]) -> np.ndarray:
     return np.logical_and.reduce([t.holds(x) for t in rule])
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 8, most_rules: int = 12, quantiles: int = 256) -> list[list[Test]]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 8, most_rules: int = 12) -> list[list[Test]]:
     """Ordered conjunctions, each of which rejects; x has an array for each of FEATURES, bad marks rows to reject.
 
-    A rule enters if on the rows left it is precise to ``precision`` at least, on all of them and on those it was
-    pruned on, and covers ``least`` bad rows. With no rows of a kind there is no rule.
+    Each round grows one rule by information gain and one by purity, prunes both, and takes the one that covers
+    more bad rows. A rule enters if on the rows left it is precise to ``precision`` at least, on all of them and on
+    those it was pruned on, and covers ``least`` bad rows. With no rows of a kind there is no rule.
     """
     rules: list[list[Test]] = []
     left = np.arange(len(bad))
+    part = lambda rows: ({k: v[rows] for k, v in x.items()}, bad[rows])
     while len(rules) < most_rules and bad[left].sum() >= least and (~bad[left]).any():
         growing = left % 3 != 2
-        part = lambda rows: ({k: v[rows] for k, v in x.items()}, bad[rows])
-        rule = _grow(*part(left[growing]), quantiles)
         px, pbad = part(left[~growing])
         value = lambda r: (lambda c: ((c & pbad).sum() - (c & ~pbad).sum()) / max(c.sum(), 1))(_covers(r, px)) if r else -1.0
-        while len(rule) > 1 and value(rule[:-1]) >= value(rule):
-            rule = rule[:-1]
-        if not rule:
-            break
-        covered = _covers(rule, part(left)[0])
-        right, pruned = int((covered & bad[left]).sum()), _covers(rule, px)
-        if right < least or right < precision * covered.sum() or (pruned & pbad).sum() < precision * pruned.sum():
+        best, most = None, 0
+        for measure in (_gain, _purity):
+            rule = _grow(*part(left[growing]), measure)
+            while len(rule) > 1 and value(rule[:-1]) >= value(rule):
+                rule = rule[:-1]
+            if rule:
+                covered, pruned = _covers(rule, part(left)[0]), _covers(rule, px)
+                right = int((covered & bad[left]).sum())
+                if right >= max(least, most + 1) and right >= precision * covered.sum() and (pruned & pbad).sum() >= precision * pruned.sum():
+                    best, most = rule, right
+        if best is None:
             break
-        rules.append(rule)
-        left = left[~covered]
+        rules.append(best)
+        left = left[~_covers(best, part(left)[0])]
     return rules
 
 
