@@ -130,21 +130,20 @@ def _docs(s, d):
     return load(s, d, "documents").where("text is not null")
 
 
-_T = F.col("text")
 _P = lambda s, d: load(s, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("kb", " MB", "GiB", "b", "", "xb", "KiB "))), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("t"))
 _E = lambda s, d: load(s, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("validation", "network", "storage", "raft", "workflow"))), (F.col("event_id") % 5 + 1).cast("int")).alias("category"), F.element_at(F.array(*map(F.lit, ("field required", "Invalid id", "Timeout reached", "connection lost", "key Not Found", "conflict", "please retry", "other"))), (F.col("user_id") % 8 + 1).cast("int")).alias("message"))
 _SQL_E = "e AS (SELECT event_id, ['validation', 'network', 'storage', 'raft', 'workflow'][event_id % 5 + 1] AS category, ['field required', 'Invalid id', 'Timeout reached', 'connection lost', 'key Not Found', 'conflict', 'please retry', 'other'][user_id % 8 + 1] AS message FROM events)"
 
 QUERIES = {
-    "fn_type": lambda s, d: _docs(s, d).select("doc_id", document_type(_T).alias("type")),
-    "fn_language": lambda s, d: _docs(s, d).select("doc_id", language(_T).alias("language")),
-    "fn_priority": lambda s, d: _docs(s, d).select("doc_id", priority(_T, word_count(_T), document_type(_T)).alias("priority")),
-    "fn_sentiment": lambda s, d: _docs(s, d).select("doc_id", sentiment(_T).alias("sentiment")),
-    "fn_keywords": lambda s, d: _docs(s, d).select("doc_id", F.concat_ws("|", keywords(_T)).alias("keywords")),
-    "fn_quality": lambda s, d: _docs(s, d).select("doc_id", F.round(quality_score(word_count(_T), language(_T), F.lit(4)), 3).alias("score")),
-    "fn_repair": lambda s, d: _docs(s, d).select("doc_id", F.md5(repaired(F.replace(_T, F.lit("th"), F.lit("ERROR")))).alias("digest")),
-    "fn_process": lambda s, d: _docs(s, d).select("doc_id", F.md5(enhanced(ocr(translated(processed(_T, document_type(_T)), F.lit("english"))))).alias("digest")),
-    "fn_word_count": lambda s, d: _docs(s, d).select("doc_id", word_count(_T).alias("words")),
+    "fn_type": lambda s, d: _docs(s, d).select("doc_id", document_type(F.col("text")).alias("type")),
+    "fn_language": lambda s, d: _docs(s, d).select("doc_id", language(F.col("text")).alias("language")),
+    "fn_priority": lambda s, d: _docs(s, d).select("doc_id", priority(F.col("text"), word_count(F.col("text")), document_type(F.col("text"))).alias("priority")),
+    "fn_sentiment": lambda s, d: _docs(s, d).select("doc_id", sentiment(F.col("text")).alias("sentiment")),
+    "fn_keywords": lambda s, d: _docs(s, d).select("doc_id", F.concat_ws("|", keywords(F.col("text"))).alias("keywords")),
+    "fn_quality": lambda s, d: _docs(s, d).select("doc_id", F.round(quality_score(word_count(F.col("text")), language(F.col("text")), F.lit(4)), 3).alias("score")),
+    "fn_repair": lambda s, d: _docs(s, d).select("doc_id", F.md5(repaired(F.replace(F.col("text"), F.lit("th"), F.lit("ERROR")))).alias("digest")),
+    "fn_process": lambda s, d: _docs(s, d).select("doc_id", F.md5(enhanced(ocr(translated(processed(F.col("text"), document_type(F.col("text"))), F.lit("english"))))).alias("digest")),
+    "fn_word_count": lambda s, d: _docs(s, d).select("doc_id", word_count(F.col("text")).alias("words")),
     "er_classify": lambda s, d: _E(s, d).select("event_id", error_code(F.col("category"), F.col("message")).alias("code"), retryable(F.col("category"), F.col("message")).alias("retryable"), user_facing(F.col("category")).alias("user_facing")),
     "lb_parse_bytes": lambda s, d: _P(s, d).select("p_partkey", parse_bytes(F.col("t")).alias("bytes")),
     "wf_retry_backoff": lambda s, d: s.range(26).select(F.col("id").cast("int").alias("retry"), backoff_seconds(F.col("id")).alias("delay_s"), (F.least(F.col("id"), F.lit(20)) + 1).cast("int").alias("next_retry")),

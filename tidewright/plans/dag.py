@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources.tables import load
 
-EMPTY = F.array().cast("array<string>")
+def empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def run(state: DataFrame, registry: Registry, start: list[str], most_steps: int
     of the last by name.
     """
     columns = [c for c in state.columns if c != "workflow_id"]
-    now = state.withColumns({"_waiting": F.array(*map(F.lit, start)), "_done": EMPTY, "steps": F.lit(0), "executed": F.lit(0), "errors": EMPTY, "_active": F.lit(True)})
+    now = state.withColumns({"_waiting": F.array(*map(F.lit, start)), "_done": empty(), "steps": F.lit(0), "executed": F.lit(0), "errors": empty(), "_active": F.lit(True)})
     ended = None
     for _ in range(most_steps):
         ready, changes, following, failures = [], {c: F.col(c) for c in columns}, [], []
@@ -86,7 +87,7 @@ def run(state: DataFrame, registry: Registry, start: list[str], most_steps: int
             failures.append(F.when(runs & fails, node.fails if node.fails is not None else F.lit(None).cast("string")))
             for c, value in node.sets.items():
                 changes[c] = F.when(runs & ~fails, value).otherwise(changes[c])
-            following.append(F.when(runs & ~fails, node.next if node.next is not None else EMPTY).otherwise(EMPTY))
+            following.append(F.when(runs & ~fails, node.next if node.next is not None else empty()).otherwise(empty()))
         ran = F.filter(F.array(*ready), lambda x: x.isNotNull())
         step = now.select(
             "workflow_id", *(changes[c].alias(c) for c in columns), F.array_union(F.array_except("_waiting", ran), F.array_distinct(F.flatten(F.array(*following)))).alias("_waiting"), F.col("_done"),
@@ -147,13 +148,13 @@ def document_pipeline(gate: float = 0.0, ocr: bool = True, nlp: bool = True) ->
 def simple_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = load(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("bad", F.lit(True))
     docs = load(spark, sf_dir, "documents").select("doc_id").join(bad, "doc_id", "left")
-    return docs.select(F.col("doc_id").alias("workflow_id"), F.lit("new").alias("status"), F.coalesce("bad", F.lit(False)).alias("needs_repair"), EMPTY.alias("history"), F.lit("p").alias("processor"), F.lit(True).alias("allow_repair"))
+    return docs.select(F.col("doc_id").alias("workflow_id"), F.lit("new").alias("status"), F.coalesce("bad", F.lit(False)).alias("needs_repair"), empty().alias("history"), F.lit("p").alias("processor"), F.lit(True).alias("allow_repair"))
 
 
 def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("workflow_id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("").alias("type"), F.lit("").alias("language"), F.lit("").alias("status"), F.lit(0).alias("word_count"), F.lit(0).alias("priority"),
-        F.lit(0).alias("steps_done"), F.lit(None).cast("string").alias("sentiment"), EMPTY.alias("keywords"), F.lit(None).cast("double").alias("quality"), F.lit(False).alias("expedited"),
+        F.lit(0).alias("steps_done"), F.lit(None).cast("string").alias("sentiment"), empty().alias("keywords"), F.lit(None).cast("double").alias("quality"), F.lit(False).alias("expedited"),
     )
 
 

@@ -9,6 +9,7 @@ MODULES = [
     "tidewright.operators.kv",
     "tidewright.operators.queue",
     "tidewright.operators.metrics",
+    "tidewright.operators.state",
     "tidewright.functions.scalars",
     "tidewright.plans.dag",
     "tidewright.plans.merge",
