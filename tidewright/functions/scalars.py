@@ -85,6 +85,11 @@ ERROR_CODES = {
     "validation": (("required", "VALIDATION_REQUIRED"), ("invalid", "VALIDATION_INVALID"), ("", "VALIDATION_ERROR")),
     "network": (("timeout", "NETWORK_TIMEOUT"), ("connection", "NETWORK_CONNECTION"), ("", "NETWORK_ERROR")),
     "storage": (("not found", "STORAGE_NOT_FOUND"), ("conflict", "STORAGE_CONFLICT"), ("", "STORAGE_ERROR")),
+    "raft": (("leader", "RAFT_LEADER"), ("election", "RAFT_ELECTION"), ("", "RAFT_ERROR")),
+    "workflow": (("timeout", "WORKFLOW_TIMEOUT"), ("state", "WORKFLOW_STATE"), ("", "WORKFLOW_ERROR")),
+    "timeout": (("", "TIMEOUT_ERROR"),),
+    "permission": (("", "PERMISSION_DENIED"),),
+    "resource": (("limit", "RESOURCE_LIMIT"), ("full", "RESOURCE_EXHAUSTED"), ("", "RESOURCE_ERROR")),
 }
 RETRYABLE, FINAL = ("network", "timeout", "resource", "raft"), ("validation", "configuration", "permission")
 
@@ -95,13 +100,18 @@ def error_code(category: Column, message: Column) -> Column:
         for word, code in codes:
             hit = (category == name) & low.contains(word)
             out = F.when(hit, code) if out is None else out.when(hit, code)
-    return out.otherwise(F.concat(F.upper(category), F.lit("_ERROR")))
+    return out.otherwise("UNKNOWN_ERROR")
 
 
-def retryable(category: Column, message: Column) -> Column:
+def retryable(category: Column, of_cause: Column | bool = False) -> Column:
+    """By category; others take after the error that caused them."""
+    return F.when(category.isin(*RETRYABLE), True).when(category.isin(*FINAL), False).otherwise(of_cause)
+
+
+def retryable_text(message: Column) -> Column:
+    """Whether the text of an error without a category speaks of something that may pass."""
     low = F.lower(message)
-    by_text = low.contains("timeout") | low.contains("connection") | low.contains("temporary") | low.contains("retry")
-    return F.when(category.isin(*RETRYABLE), True).when(category.isin(*FINAL), False).otherwise(by_text)
+    return low.contains("timeout") | low.contains("connection") | low.contains("temporary") | low.contains("retry")
 
 
 def user_facing(category: Column) -> Column:
@@ -131,8 +141,8 @@ def _docs(s, d):
 
 
 _P = lambda s, d: load(s, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("kb", " MB", "GiB", "b", "", "xb", "KiB "))), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("t"))
-_E = lambda s, d: load(s, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("validation", "network", "storage", "raft", "workflow"))), (F.col("event_id") % 5 + 1).cast("int")).alias("category"), F.element_at(F.array(*map(F.lit, ("field required", "Invalid id", "Timeout reached", "connection lost", "key Not Found", "conflict", "please retry", "other"))), (F.col("user_id") % 8 + 1).cast("int")).alias("message"))
-_SQL_E = "e AS (SELECT event_id, ['validation', 'network', 'storage', 'raft', 'workflow'][event_id % 5 + 1] AS category, ['field required', 'Invalid id', 'Timeout reached', 'connection lost', 'key Not Found', 'conflict', 'please retry', 'other'][user_id % 8 + 1] AS message FROM events)"
+_E = lambda s, d: load(s, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("validation", "network", "storage", "raft", "workflow", "resource", "other"))), (F.col("event_id") % 7 + 1).cast("int")).alias("category"), F.element_at(F.array(*map(F.lit, ("field required", "Invalid id", "Timeout reached", "connection lost", "key Not Found", "conflict", "please retry", "queue full", "no leader", "bad state"))), (F.col("user_id") % 10 + 1).cast("int")).alias("message"))
+_SQL_E = "e AS (SELECT event_id, ['validation', 'network', 'storage', 'raft', 'workflow', 'resource', 'other'][event_id % 7 + 1] AS category, ['field required', 'Invalid id', 'Timeout reached', 'connection lost', 'key Not Found', 'conflict', 'please retry', 'queue full', 'no leader', 'bad state'][user_id % 10 + 1] AS message FROM events)"
 
 QUERIES = {
     "fn_type": lambda s, d: _docs(s, d).select("doc_id", document_type(F.col("text")).alias("type")),
@@ -144,7 +154,7 @@ QUERIES = {
     "fn_repair": lambda s, d: _docs(s, d).select("doc_id", F.md5(repaired(F.replace(F.col("text"), F.lit("th"), F.lit("ERROR")))).alias("digest")),
     "fn_process": lambda s, d: _docs(s, d).select("doc_id", F.md5(enhanced(ocr(translated(processed(F.col("text"), document_type(F.col("text"))), F.lit("english"))))).alias("digest")),
     "fn_word_count": lambda s, d: _docs(s, d).select("doc_id", word_count(F.col("text")).alias("words")),
-    "er_classify": lambda s, d: _E(s, d).select("event_id", error_code(F.col("category"), F.col("message")).alias("code"), retryable(F.col("category"), F.col("message")).alias("retryable"), user_facing(F.col("category")).alias("user_facing")),
+    "er_classify": lambda s, d: _E(s, d).select("event_id", error_code(F.col("category"), F.col("message")).alias("code"), retryable(F.col("category")).alias("retryable"), retryable_text(F.col("message")).alias("by_text"), user_facing(F.col("category")).alias("user_facing")),
     "lb_parse_bytes": lambda s, d: _P(s, d).select("p_partkey", parse_bytes(F.col("t")).alias("bytes")),
     "wf_retry_backoff": lambda s, d: s.range(26).select(F.col("id").cast("int").alias("retry"), backoff_seconds(F.col("id")).alias("delay_s"), (F.least(F.col("id"), F.lit(20)) + 1).cast("int").alias("next_retry")),
 }
@@ -165,8 +175,11 @@ ORACLES = {
 WHEN 'validation' THEN CASE WHEN lower(message) LIKE '%required%' THEN 'VALIDATION_REQUIRED' WHEN lower(message) LIKE '%invalid%' THEN 'VALIDATION_INVALID' ELSE 'VALIDATION_ERROR' END
 WHEN 'network' THEN CASE WHEN lower(message) LIKE '%timeout%' THEN 'NETWORK_TIMEOUT' WHEN lower(message) LIKE '%connection%' THEN 'NETWORK_CONNECTION' ELSE 'NETWORK_ERROR' END
 WHEN 'storage' THEN CASE WHEN lower(message) LIKE '%not found%' THEN 'STORAGE_NOT_FOUND' WHEN lower(message) LIKE '%conflict%' THEN 'STORAGE_CONFLICT' ELSE 'STORAGE_ERROR' END
-ELSE upper(category) || '_ERROR' END AS code,
-CASE WHEN category IN ('network', 'raft') THEN true WHEN category = 'validation' THEN false ELSE regexp_matches(lower(message), 'timeout|connection|temporary|retry') END AS retryable, category = 'validation' AS user_facing FROM e""",
+WHEN 'raft' THEN CASE WHEN lower(message) LIKE '%leader%' THEN 'RAFT_LEADER' WHEN lower(message) LIKE '%election%' THEN 'RAFT_ELECTION' ELSE 'RAFT_ERROR' END
+WHEN 'workflow' THEN CASE WHEN lower(message) LIKE '%timeout%' THEN 'WORKFLOW_TIMEOUT' WHEN lower(message) LIKE '%state%' THEN 'WORKFLOW_STATE' ELSE 'WORKFLOW_ERROR' END
+WHEN 'resource' THEN CASE WHEN lower(message) LIKE '%limit%' THEN 'RESOURCE_LIMIT' WHEN lower(message) LIKE '%full%' THEN 'RESOURCE_EXHAUSTED' ELSE 'RESOURCE_ERROR' END
+ELSE 'UNKNOWN_ERROR' END AS code,
+category IN ('network', 'raft', 'resource') AS retryable, regexp_matches(lower(message), 'timeout|connection|temporary|retry') AS by_text, category = 'validation' AS user_facing FROM e""",
     "lb_parse_bytes": "SELECT p_partkey, CAST(CAST(p_size AS BIGINT) * [1000, 1000000, 1073741824, 1, 1, NULL, 1024][p_partkey % 7 + 1] AS BIGINT) AS bytes FROM part",
     "wf_retry_backoff": "SELECT CAST(r AS INT) AS retry, least(pow(2.0, least(r, 20)), 300.0)::DOUBLE AS delay_s, CAST(least(r, 20) + 1 AS INT) AS next_retry FROM range(26) t(r)",
 }
