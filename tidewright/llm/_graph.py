@@ -13,24 +13,27 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one, then every node to its smallest
     neighbour only; both keep components whole and shrink paths, so rounds grow with the logarithm of the
-    longest path. It ends when a round changes nothing. Nodes without links are not in the result.
+    longest path. It ends when every node has one link, to a node without any: those are the smallest of their
+    components. Nodes without links are not in the result.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
     for k in range(most_rounds):
-        large = _star(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), only_larger=True)
-        small = _star(large, only_larger=False)
-        edges = staged(small, f"stars-{k}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if _settled(edges):
             break
-        mark = now
+        large = _star(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), only_larger=True)
+        edges = staged(_star(large, only_larger=False).distinct(), f"stars-{k}")
     else:
         raise RuntimeError("components did not settle")
-    # settled: every node has one link, to the smallest of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select("b", "b").distinct().toDF("node", "component"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether links (larger, smaller) are stars: one link a node, and none from a node that another links to."""
+    rows, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
+    roots = edges.select(F.col("b").alias("root")).distinct()
+    return rows == nodes and edges.join(roots, F.col("a") == F.col("root"), "left_semi").isEmpty()
+
+
 def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:
     """Neighbours of a (and a itself) to a's smallest neighbour; only_larger: those above a alone."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("of", "m").alias("m"))
@@ -39,4 +42,4 @@ def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")

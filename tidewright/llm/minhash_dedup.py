@@ -6,9 +6,9 @@ errors, and leaving out each set of so many symbols of a chunk enumerates what b
 
 Documents with equal shingle sets are one class first. Classes that share a key are linked to the smallest of
 the key and confirmed on their full sets; components of confirmed links settle nearly every key. Keys whose
-classes are still of several components are then compared class by class, in blocks, where the signatures
-are within DISTANCE and the components differ. So no pair within DISTANCE is left out, and a key that
-thousands of like documents share costs one pair each.
+classes are still of several components are then compared class by class, in blocks: pairs of different
+components within DISTANCE whose sizes and longer signatures allow the similarity are confirmed too. So no pair
+within DISTANCE is left out, and a key that thousands of like documents share costs one pair each.
 
 A pair at Jaccard similarity J differs in about (1 - J) * SYMBOLS symbols; with 64 symbols and distance 22 a
 pair at 0.85 is missed with a chance below 1 in 10,000.
@@ -28,6 +28,8 @@ from ._shared import partitions, staged, table
 from ._words import Words, groups, mix
 
 SYMBOLS, DISTANCE, CHUNKS, BLOCK = 64, 22, 13, 256
+LONG = 512  # 8-bit minima of the second look
+_LONG_SEEDS = np.random.default_rng(20240301).integers(1, 1 << 63, (2, LONG // 2), dtype=np.uint64) | np.uint64(1)
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,13 +70,41 @@ def signatures(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def long_signatures(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """n rows of LONG 8-bit symbols, two from each mixed hash; rows of empty sets are zeros."""
+    out = np.zeros((n, LONG), np.uint8)
+    full, first = np.unique(of, return_index=True)
+    for k in range(LONG // 2 if len(full) else 0):
+        x = h * _LONG_SEEDS[0, k]
+        x ^= x >> np.uint64(32)
+        x *= _LONG_SEEDS[1, k]
+        for half, least in enumerate((np.minimum.reduceat(x >> np.uint64(32), first), np.minimum.reduceat(x & np.uint64(0xFFFFFFFF), first))):
+            out[full, 2 * k + half] = least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+    return out
+
+
+def with_long(texts: DataFrame, width: int) -> DataFrame:
+    """class, text, n (shingles) and long signature of texts (class, text)."""
+
+    def run(parts):
+        for part in parts:
+            n, out = [], []
+            for _, some in groups(part.column(1), 200_000):
+                of, h = shingles(some, width)
+                n += np.bincount(of, minlength=len(some)).tolist()
+                out += [x.tobytes() for x in long_signatures(of, h, len(some))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["class", "text", "n", "long"])
+
+    return texts.mapInArrow(run, "class long, text string, n long, long binary")
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128 bits that tell sets apart) and signature of every row."""
 
     def run(parts):
         for part in parts:
             counts, a, b, signature = [], [], [], []
-            for _, texts in groups(part.column(1).to_pylist(), 400_000):
+            for _, texts in groups(part.column(1), 200_000):
                 of, h = shingles(texts, width)
                 n, edges = len(texts), np.searchsorted(of, np.arange(len(texts) + 1))
                 counts.append(np.diff(edges))
@@ -89,22 +119,29 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
+def patterns(symbols: int, distance: int, chunks: int) -> list[np.ndarray]:
+    """The symbols that each key is made of: for each chunk and each choice of distance // chunks of its symbols, the rest."""
+    out = []
+    for part in np.array_split(np.arange(symbols), chunks):
+        out += [np.delete(part, leave) for leave in combinations(range(len(part)), min(distance // chunks, len(part) - 1))]
+    return out
+
+
 def keys_of(signature: np.ndarray, distance: int = DISTANCE, chunks: int = CHUNKS) -> np.ndarray:
-    """The keys of each row: for each chunk and each choice of distance // chunks symbols to leave out, a 64-bit hash."""
+    """The keys of each row, a 64-bit hash for each pattern."""
     out = []
-    for c, part in enumerate(np.array_split(np.arange(signature.shape[1]), chunks)):
-        for k, out_of in enumerate(combinations(range(len(part)), min(distance // chunks, len(part) - 1))):
-            key = np.full(len(signature), (c << 16 | k) + 1, np.uint64)
-            for at in np.delete(part, out_of):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, at])
-            out.append(key)
+    for k, kept in enumerate(patterns(signature.shape[1], distance, chunks)):
+        key = np.full(len(signature), k + 1, np.uint64)
+        for at in kept:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, at])
+        out.append(key)
     return np.stack(out, 1).view(np.int64)
 
 
 def with_keys(classes: DataFrame, extra: list[str], distance: int, chunks: int) -> DataFrame:
-    """key, class and the extra columns: a row for each key of each row of classes (class, signature, extra...)."""
+    """key, pattern (its number), class and the extra columns: a row for each key of each row of classes (class, signature, extra...)."""
     kinds = classes.select("class", *extra).schema
-    names = ["key", *kinds.names]
+    names = ["key", "pattern", *kinds.names]
 
     def run(parts):
         for part in parts:
@@ -112,9 +149,10 @@ def with_keys(classes: DataFrame, extra: list[str], distance: int, chunks: int)
                 some = part.slice(at, 2000)
                 keys = keys_of(np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint16).reshape(-1, SYMBOLS), distance, chunks)
                 rows = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(some.column(i).take(rows) for i in range(1, some.num_columns))], names=names)
+                number = pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), number, *(some.column(i).take(rows) for i in range(1, some.num_columns))], names=names)
 
-    return classes.select("signature", "class", *extra).mapInArrow(run, f"key long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kinds)}")
+    return classes.select("signature", "class", *extra).mapInArrow(run, f"key long, pattern int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kinds)}")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -125,7 +163,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     def run(parts):
         last, known = None, None
         for part in parts:
-            good, rows = [], zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())
+            good, rows = [], ((part.column(k)[i].as_py() for k in (0, 2, 3)) for i in range(part.num_rows))
             for a, text_a, text_b in rows:
                 if a != last:
                     last, known = a, shingles([text_a], width)[1]
@@ -137,47 +175,75 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def unsettled(classes: DataFrame, labels: DataFrame, distance: int, chunks: int) -> DataFrame:
-    """Pairs (a, b) of classes (class, signature) of different components that share a key and are within distance.
+def long_distance(percent: int) -> int:
+    """Differing long symbols that a pair at percent exceeds with a chance of a few in a million."""
+    p = (1 - percent / 100) * 255 / 256
+    return int(LONG * p + 4.5 * (LONG * p * (1 - p)) ** 0.5) + 1
 
-    labels: class, component. Members of a key are cut into blocks, and each pair of blocks is one row group of
-    at most 2 * BLOCK members, so a long key is shared among tasks and no task holds it whole.
+
+def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int, chunks: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a key and may reach percent, each pair once.
+
+    classes: class, signature, n, long; labels: class, component. A pair passes if its signatures are within
+    distance, its sizes allow percent, and its long signatures are near enough. It is emitted at the first pattern
+    that both share. Members of a key are cut into blocks, and each pair of blocks is a group of at most about
+    2 * BLOCK members, so a long key is shared among tasks and no task holds it whole.
     """
     labelled = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     keyed = with_keys(labelled, ["component"], distance, chunks)
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
     members = keyed.join(mixed, "key").join(classes, "class")
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("blocks", n).withColumn("mine", F.pmod(F.xxhash64("class"), n).cast("int"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class"), blocks).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "component", "signature")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "pattern", "mine", "class", "component", "n", "signature", "long")
+    kept, most_long = patterns(SYMBOLS, distance, chunks), long_distance(percent)
+    masks = np.zeros((SYMBOLS, len(kept)), np.int16)
+    for k, at in enumerate(kept):
+        masks[at, k] = 1
+    sizes = masks.sum(0)
 
     def compare(one_block, rows):
-        out = set()
-        ids, component, mine = (np.array([r[k] for r in rows]) for k in range(3))
-        symbols = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
-        for x in range(len(rows) - 1):
-            rest = slice(x + 1, None)
-            near = (symbols[rest] != symbols[x]).sum(1) <= distance
-            good = near & (component[rest] != component[x]) & ((mine[rest] != mine[x]) | one_block)
-            out.update((min(int(ids[x]), int(y)), max(int(ids[x]), int(y))) for y in ids[rest][good])
-        return out
+        pattern = rows[0][0]
+        ids, component, mine, n = (np.array([r[k] for r in rows]) for k in (2, 3, 1, 4))
+        symbols = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
+        long = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        for x in range(len(rows) - 1):  # from the cheapest test to the dearest
+            ok = (component[x + 1 :] != component[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+            ok &= one_block | (mine[x + 1 :] != mine[x])
+            at = np.flatnonzero(ok) + x + 1
+            same = symbols[at] == symbols[x]
+            near = same.sum(1) >= SYMBOLS - distance
+            at, same = at[near], same[near]
+            near = (long[at] != long[x]).sum(1) <= most_long
+            at, same = at[near], same[near]
+            if len(at):
+                first = (same.astype(np.int16) @ masks == sizes).argmax(1)
+                for y in ids[at[first == pattern]].tolist():
+                    yield min(int(ids[x]), y), max(int(ids[x]), y)
 
     def run(parts):
-        group, held = None, []
+        def flush():
+            if len(held) > 1:
+                out.extend(compare(group[1] == group[2], held))
+
+        group, held, out = None, [], []
         for part in parts:
-            out = set()
-            for key, i, j, mine, *row in zip(*(part.column(k).to_pylist() for k in range(7))):
+            for key, i, j, *row in zip(*(part.column(k).to_pylist() for k in range(part.num_columns))):
                 if (key, i, j) != group:
-                    out |= compare(group[1] == group[2], held) if len(held) > 1 else set()
+                    flush()
                     group, held = (key, i, j), []
-                held.append((row[0], row[1], mine, row[2]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-        out = compare(group[1] == group[2], held) if len(held) > 1 else set()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+                held.append(row)
+            yield pairs(out)
+            out = []
+        flush()
+        yield pairs(out)
+
+    def pairs(out):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     spread = dealt.repartition(partitions(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
@@ -198,11 +264,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
     stars = staged(keyed.join(smallest, "key").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "stars")
     ends = staged(stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "class"), "ends")
     # one text an end, whatever rows repeat its id
-    wanted = staged(texts.join(ends, "class").groupBy("class").agg(F.min("text").alias("text")), "texts")
+    wanted = staged(with_long(texts.join(ends, "class").groupBy("class").agg(F.min("text").alias("text")), width), "texts")
     links = staged(confirm(stars, wanted, width, percent), "confirmed")
     labels = staged(components(links).withColumnRenamed("node", "class"), "labels")
-    near = classes.join(ends, "class").select("class", "signature")
-    more = staged(unsettled(near, labels, distance, chunks).join(stars, ["a", "b"], "left_anti"), "unsettled")
+    near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "long"), "class"), "near")
+    more = staged(unsettled(near, labels, percent, distance, chunks).join(stars, ["a", "b"], "left_anti"), "unsettled")
     final = components(links.unionAll(confirm(more, wanted, width, percent)))
 
     of = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("n", "a", "b", F.coalesce("component", "class").alias("component_id"))
