@@ -126,9 +126,9 @@ def test_vectors_equal_brute_force(spark, sf_dir, cell):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(1, None, 0), (2, [], 0), (3, [0.0, -0.0], 0), (4, [nan, 1.0], 0), (5, [inf, 1.0], 0), (6, [None, 1.0], 0), (7, [1.0, 0.0], 0), (8, [2.0, 0.0], 0), (9, [1.0, 0.0], 0), (10, [1.0], 0), (11, [5.0], 0), (12, [-1.0], 0), (13, [1e300, 1e300], 0), (14, [1.0, 1.0], 0)]
+    data = [(1, None, 0), (2, [], 0), (3, [0.0, -0.0], 0), (4, [nan, 1.0], 0), (5, [inf, 1.0], 0), (6, [None, 1.0], 0), (7, [1.0, 0.0], 0), (8, [2.0, 0.0], 0), (9, [1.0, 0.0], 0), (10, [1.0], 0), (11, [5.0], 0), (12, [-1.0], 0), (13, [1e300, 1e300], 0), (14, [1.0, 1.0], 0), (None, [1.0, 0.0], 0)]
     rows = spark.createDataFrame(data, "vec_id long, embedding array<double>, key int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(rows).collect()}
-    want = {i: (0, i) for i in range(1, 15)} | {7: (2, 7), 8: (2, 7), 9: (2, 7), 10: (1, 10), 11: (1, 10), 13: (1, 13), 14: (1, 13)}
+    want = {i: (0, i) for i in range(1, 15)} | {7: (2, 7), 8: (2, 7), 9: (2, 7), 10: (1, 10), 11: (1, 10), 13: (1, 13), 14: (1, 13), None: (0, None)}
     assert got == want
     assert embedding_dedup.near_vectors(rows.limit(0)).count() == 0 and embedding_dedup.near_vectors(rows.limit(2)).count() == 2

@@ -78,12 +78,12 @@ def test_warc_round_trip(spark, sf_dir):
 
 
 def test_warc_of_odd_rows(spark):
-    data = [(5, "http://a/ b", "x", 1), (3, None, "x", 1), (3, "u", "x", 2), (9, "v", None, 1), (7, "w", "", 1), (3, "u", "y", 1), (8, "z", "é", 0), (11, "l", "long " * 400_000, 0)]
+    data = [(5, "http://a/ b", "x", 1), (3, None, "x", 1), (3, "u", "x", 2), (9, "v", None, 1), (7, "w", "", 1), (3, "u", "y", 1), (8, "z", "é", 0), (11, "l", "long " * 400_000, 0), (None, "n", "x", 0), (None, "n", "alone", 0)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, payload int")
     manifest = warc.write_warc(pages, f"{shared_dir(spark)}/w", roll_bytes=600).cache()
     assert manifest.agg({"part": "max"}).first()[0] >= 1  # files rolled
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read_warc(manifest).fillna(-1, "refers_to").collect())
-    want = [(3, "response", -1, sha("x")), (3, "response", -1, sha("y")), (3, "revisit", 3, sha("x")), (5, "revisit", 3, sha("x")), (7, "response", -1, sha("")), (8, "response", -1, sha("é")), (9, "revisit", 7, sha("")), (11, "response", -1, sha("long " * 400_000))]
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read_warc(manifest).fillna(-1, ["refers_to", "page_id"]).collect())
+    want = [(3, "response", -1, sha("x")), (3, "response", -1, sha("y")), (3, "revisit", 3, sha("x")), (5, "revisit", 3, sha("x")), (7, "response", -1, sha("")), (8, "response", -1, sha("é")), (9, "revisit", 7, sha("")), (11, "response", -1, sha("long " * 400_000)), (-1, "revisit", 3, sha("x")), (-1, "response", -1, sha("alone"))]
     assert got == sorted(want)
     large = warc.read_warc(warc.write_warc(pages, f"{shared_dir(spark)}/v", least=2)).where("record_type = 'revisit'")
     assert large.count() == 0

@@ -35,9 +35,10 @@ def keyed(vectors: DataFrame) -> DataFrame:
     def run(parts):
         for part in parts:
             keys, out = [], []
-            for v in part.column(1).to_pylist():
+            for at, v in zip(part.column(0), part.column(1)):
+                v = v.as_py()
                 x = np.array([np.nan if c is None else c for c in v], float) if v else np.zeros(0)
-                ok = x.size > 0 and np.isfinite(x).all() and x.any()
+                ok = at.is_valid and x.size > 0 and np.isfinite(x).all() and x.any()
                 keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if ok else None)
                 out.append(x if ok else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "key", "vector"])
@@ -215,7 +216,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> Da
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding); least is above 0.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of
-    different lengths do not link. Rows that repeat a vec_id count as vectors of their own in n_links. An empty
+    different lengths do not link. A row without vec_id links with nothing, has no component and is kept. Rows that repeat a vec_id count as vectors of their own in n_links. An empty
     table gives no rows.
     """
     spark = vectors.sparkSession
@@ -248,7 +249,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> Da
     of = reps.select("key", "rep", "weight").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("key", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "key").join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return rows.select("vec_id", "key").join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

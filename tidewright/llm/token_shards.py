@@ -31,6 +31,7 @@ from ._shared import filesystem, partitions, shared_dir, staged, table
 from ._tokens import batches, default_vocabulary, encoder
 
 END_ID = 2
+NO_ID = -(1 << 63)  # in a shard, stands for a null doc_id
 SKIPPABLE, FOOTER_MAGIC = 0x184D2A5E, 0x544B5348
 FRAME = np.dtype([("at", "<u8"), ("packed", "<u4"), ("raw", "<u4"), ("crc", "<u4"), ("first", "<u8"), ("docs", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u4")])
@@ -117,12 +118,13 @@ def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, e
 
     Each range of ids is one shard, written to a temporary name and renamed; the manifest, one row a shard, is
     what Spark commits, so a task that runs twice leaves one shard. Null texts count as empty; empty texts are
-    the end id alone; equal doc_ids keep one record a row, in order of their text; a null doc_id is an error.
+    the end id alone; equal doc_ids keep one record a row, in order of their text; rows with a null doc_id come
+    first and read back with a null doc_id.
     An empty table gives no shard.
     """
     spark = docs.sparkSession
     path, n = vocabulary or default_vocabulary(), shards or partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     end = struct.pack("<I", end_id)
 
     def write(parts):
@@ -139,7 +141,7 @@ def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, e
                 temporary = f"{posixpath.dirname(final)}/.{uuid.uuid4().hex}.tmp"
                 out = fs.open_output_stream(temporary, compression=None)
                 writer = ShardWriter(out, frame_bytes)
-            for first, texts in batches(part.column(1).to_pylist()):
+            for first, texts in batches(part.column(1)):
                 for k, got in enumerate(encode(texts)):
                     writer.add(ids[first + k], got + end)
         if writer is not None:
@@ -173,7 +175,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     reader = ShardReader(file, row["file_bytes"])
                 got = list(reader.read(row["frame"]))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([x[0] for x in got], pa.int64()),
+                    "doc_id": pa.array([None if x[0] == NO_ID else x[0] for x in got], pa.int64()),
                     "start": pa.array([row["base"] + x[1] for x in got], pa.int64()),
                     "n_tokens": pa.array([len(x[2]) // 4 for x in got], pa.int64()),
                     "ids": pa.array([x[2] for x in got], pa.binary()),

@@ -33,7 +33,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, nth: int) -> str:
+def record_id(page_id: int | None, nth: int) -> str:
     """A record's urn, from the page's id and its number among rows of that id."""
     return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page:{page_id}:{nth}')}>"
 
@@ -42,7 +42,7 @@ def _clean(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "about:blank")
 
 
-def record(page_id: int, nth: int, url: str | None, payload: bytes, refers_to: tuple[int, str] | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refers_to: tuple[int, str] | None, date: str = DATE) -> bytes:
     """One record, compressed as a gzip member. refers_to: id and url of the response that a revisit repeats."""
     sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -50,7 +50,7 @@ def record(page_id: int, nth: int, url: str | None, payload: bytes, refers_to: t
     block = http + body
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, nth)), ("WARC-Date", date), ("WARC-Target-URI", _clean(url)),
-        ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Payload-Length", len(payload)), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
+        *([("WARC-Page-ID", page_id)] if page_id is not None else []), ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Payload-Length", len(payload)), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
     ]
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to[0], 0)), ("WARC-Refers-To-Page-ID", refers_to[0]), ("WARC-Refers-To-Target-URI", _clean(refers_to[1]))]
@@ -62,7 +62,8 @@ def record(page_id: int, nth: int, url: str | None, payload: bytes, refers_to: t
 def first_of_payload(pages: DataFrame, least: int) -> DataFrame:
     """page_id, sha, first_id, first_url of the rows whose payload, of least bytes at least, more than one row has."""
     rows = pages.select("page_id", "url", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
-    first = rows.groupBy("sha", "n").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("first")).where("copies > 1")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = rows.groupBy("sha", "n").agg(F.count("*").alias("copies"), F.min(known).alias("first")).where("copies > 1 and first is not null")
     first = first.select(F.col("sha").alias("of"), F.col("n").alias("of_n"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     again = rows.join(first, (F.col("sha") == F.col("of")) & (F.col("n") == F.col("of_n")))
     return again.select("page_id", "sha", "first_id", "first_url").distinct()
@@ -73,8 +74,8 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0, roll_bytes: int =
 
     The payload is the html in UTF-8, a null html an empty one, a null url about:blank. Of equal payloads of at
     least ``least`` bytes the row with the smallest page_id is the response and the others revisit it; of rows
-    with that same page_id one is the response. Other columns are ignored; a null page_id is an error; an empty
-    table gives no file.
+    with that same page_id one is the response. A row without page_id revisits a row with one, if that has its
+    payload, and is a response else; it reads back without id. Other columns are ignored; an empty table gives no file.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
@@ -87,7 +88,7 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0, roll_bytes: int =
         place = TaskContext.get().partitionId()
         files, last, nth, firsts = Files(out_dir, place, roll_bytes), None, 0, {}
         for part in parts:
-            for page_id, url, payload, sha, first_id in zip(*(part.column(i).to_pylist() for i in range(5))):
+            for page_id, url, payload, sha, first_id in ((part.column(k)[i].as_py() for k in range(5)) for i in range(part.num_rows)):
                 if page_id != last:
                     last, nth, firsts = page_id, 0, {}
                 if payload is None:
@@ -180,7 +181,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                         if headers["WARC-Type"] == "response" and digest(payload) != sha:
                             raise ValueError(f"damaged payload in {headers['WARC-Record-ID']}")
                         refers = headers.get("WARC-Refers-To-Page-ID")
-                        held.append((int(headers["WARC-Page-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], int(headers["WARC-Payload-Length"]), sha, refers and int(refers), payload))
+                        held.append((int(headers["WARC-Page-ID"]) if "WARC-Page-ID" in headers else None, headers["WARC-Target-URI"], headers["WARC-Type"], int(headers["WARC-Payload-Length"]), sha, refers and int(refers), payload))
                         size += len(payload)
                         if size > 8 << 20 or len(held) >= 2000:
                             yield batch(held)
