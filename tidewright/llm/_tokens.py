@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._words import run_hashes
+from ._words import groups, run_hashes
 
 #: Byte-level models write each byte as a character: printable bytes as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -130,15 +130,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts, most_chars: int = 2_000_000):
-    """Runs of texts of a bounded total length, as (first index, texts)."""
-    run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > most_chars:
-            yield first, run
-            run, size, first = [], 0, i
-        run.append(t)
-        size += len(t)
-    if run:
-        yield first, run
+def batches(texts, most_chars: int = 700_000):
+    """(first index, texts) as groups() has them, with empty texts for nulls."""
+    for first, run in groups(texts, most_chars):
+        yield first, [t or "" for t in run]

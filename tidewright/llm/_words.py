@@ -8,6 +8,7 @@ one set of array operations serves a whole batch. Words and lines are told apart
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -92,12 +93,12 @@ class Words:
         return at, mix(h)
 
 
-def groups(texts, most_bytes: int = 1_000_000):
-    """(first index, texts) with a bounded number of characters each, one text at least."""
+def groups(texts, most_chars: int = 300_000):
+    """(first index, texts) with a bounded number of characters each, one text at least; an Arrow column is read bit by bit."""
     run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate((x.as_py() for x in texts) if isinstance(texts, pa.Array) else texts):
         n = len(t) if t else 0
-        if run and size + n > most_bytes:
+        if run and size + n > most_chars:
             yield first, run
             run, size, first = [], 0, i
         run.append(t)

@@ -445,9 +445,9 @@ def extract(pages: DataFrame, key: str = "page_id", model: TreeModel | None = No
 
     def run(parts):
         for part in parts:
-            texts, htmls = [], part.column(2).to_pylist()
-            for at in range(0, len(htmls), 64):
-                texts += main_texts(htmls[at : at + 64], shared.value)
+            texts = []
+            for at in range(0, part.num_rows, 64):
+                texts += main_texts(part.column(2).slice(at, 64).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     return pages.select(F.col(key).alias("key"), "url", "html").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)

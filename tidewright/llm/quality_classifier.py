@@ -178,7 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
     def counts(parts):
         total = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
         for part in parts:
-            for _, texts in groups(part.column(0).to_pylist()):
+            for _, texts in groups(part.column(0)):
                 total += context_sums(Words(texts)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"sums": [total.astype(np.int32).tobytes()]}, pa.schema([("sums", pa.large_binary())]))
 
@@ -191,8 +191,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 
     def pool(parts):
         for part in parts:
-            texts = part.column(3).to_pylist()
-            x = np.concatenate([pooled(Words(t), shared.value) for _, t in groups(texts)]) if texts else np.zeros((0, 3 * DIM + 3))
+            texts = part.column(3)
+            x = np.concatenate([pooled(Words(t), shared.value) for _, t in groups(texts)]) if len(texts) else np.zeros((0, 3 * DIM + 3))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "tuned", "x"])
 
     got = rows.select("doc_id", F.col("label").cast("int").alias("label"), tuned.alias("tuned"), "text").mapInArrow(pool, "doc_id long, label int, tuned boolean, x array<double>").toPandas()
@@ -209,7 +209,7 @@ def with_score(docs: DataFrame, model: QualityModel, keep: list[str], name: str
 
     def run(parts):
         for part in parts:
-            scores = [shared.value.score(t) for _, t in groups(part.column(1).to_pylist())]
+            scores = [shared.value.score(t) for _, t in groups(part.column(1))]
             yield pa.RecordBatch.from_arrays([*part.column(0).flatten(), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep, name])
 
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])

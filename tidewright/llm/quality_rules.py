@@ -84,7 +84,7 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(parts):
         for part in parts:
             got: dict[str, list] = {c: [] for c in COUNTS}
-            for _, texts in groups(part.column(1).to_pylist()):
+            for _, texts in groups(part.column(1)):
                 for c, v in count(texts).items():
                     got[c].append(v)
             columns = [pa.array(np.concatenate(got[c]) if got[c] else [], pa.int64()) for c in COUNTS]
