@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dag import _cut
+from ..plans.dag import WHOLE, _cut
 from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, load, workflows
 from .kv import latest
 from .metrics import breaker, token_bucket, _calls, _requests, _RATE, _BURST
@@ -43,20 +43,23 @@ def cluster_policy(stored: Column, own: Column, policy: str) -> Column:
     return F.when(stored.isNull(), "write").when(stored == own, "keep").otherwise(other)
 
 
-def span_tree(spans: DataFrame, most_depth: int = 100) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """span_id, root_id, depth of spans (span_id, parent_span_id), level by level; a missing parent makes a root."""
     known = spans.select(F.col("span_id").alias("known_id"))
     marked = _cut(spans.join(known, F.col("parent_span_id") == F.col("known_id"), "left").select("span_id", F.col("known_id").alias("parent")))
     level = _cut(marked.where("parent is null").select("span_id", F.col("span_id").alias("root_id"), F.lit(0).alias("depth")))
-    out, depth = level, 0
-    while depth < most_depth:
+    out, depth, most = level, 0, marked.count()
+    while True:
         depth += 1
         up = level.select(F.col("span_id").alias("parent"), "root_id")
         level = _cut(marked.join(up, "parent").select("span_id", "root_id", F.lit(depth).alias("depth")))
         if level.isEmpty():
-            break
+            return out
+        if depth > most:
+            raise RuntimeError("spans that repeat an id make a cycle")
         out = out.unionByName(level)
-    return out
+        if depth % WHOLE == 0:
+            out = _cut(out)
 
 
 def span_durations(spans: DataFrame) -> DataFrame:

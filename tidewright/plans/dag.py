@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources.tables import load
 
+#: Rounds after which the parts of a growing result are written as one.
+WHOLE = 16
+
 def empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -158,15 +161,22 @@ def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_depth: int = 10) -> DataFrame:
-    """node, depth of every node reachable from starts (node) over edges (src, dst), the least depth of each."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, depth of every node reachable from starts (node) over edges (src, dst), the least depth of each.
+
+    A front holds only nodes not seen before, so it ends on any finite graph, after as many rounds as the longest
+    of the shortest paths has edges.
+    """
     seen = _cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
-    while depth < most_depth and not front.isEmpty():
+    while not front.isEmpty():
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        known = seen.select(F.col("node").alias("known"))
+        front = _cut(step.join(known, F.col("node").eqNullSafe(F.col("known")), "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
+        if depth % WHOLE == 0:
+            seen = _cut(seen)
     return seen
 
 
@@ -187,7 +197,7 @@ def _edges(s, d):
 QUERIES = {
     "dag_simple_pipeline": _dag_simple,
     "dag_document_pipeline": _dag_document,
-    "dag_reachability": lambda s, d: reachable(_edges(s, d), s.createDataFrame([(1,)], "node long"), 6),
+    "dag_reachability": lambda s, d: reachable(_edges(s, d), s.createDataFrame([(1,)], "node long")),
 }
 _TYPE = "CASE WHEN contains(t, 'ERROR') THEN 'corrupted' WHEN contains(t, 'IMAGE_DATA') THEN 'image' WHEN strlen(t) > 1000 THEN 'document' ELSE 'text' END"
 ORACLES = {
