@@ -10,13 +10,15 @@ classes are still of several components are then compared class by class, in blo
 components within DISTANCE whose sizes and longer signatures allow the similarity are confirmed too. So no pair
 within DISTANCE is left out, and a key that thousands of like documents share costs one pair each.
 
-A pair at Jaccard similarity J differs in about (1 - J) * SYMBOLS symbols; with 64 symbols and distance 22 a
-pair at 0.85 is missed with a chance below 1 in 10,000.
+A pair at Jaccard similarity J differs in about (1 - J) * SYMBOLS symbols. Distance and chunks follow from the
+least similarity, so that a pair at it is missed with a chance below 1 in 10,000: 22 and 13 at 0.85 (3.0e-5), 27 and
+14 at 0.80 (1.4e-5).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +177,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def beyond(percent: int, distance: int) -> float:
+    """The chance that signatures of a pair at percent differ in more than distance symbols."""
+    p = (1 - percent / 100) * (1 - 2**-16)
+    return sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+
+
+def limits(percent: int, chance: float = 1e-4) -> tuple[int, int]:
+    """(distance, chunks) at which a pair at percent is missed with less than chance.
+
+    With at most one error in some chunk, chunks guarantee 2 * chunks - 1 differing symbols, and the number of keys
+    is the same for any number of chunks.
+    """
+    if beyond(percent, DISTANCE) < chance:
+        return DISTANCE, CHUNKS
+    chunks = next((c for c in range(CHUNKS, SYMBOLS // 2 + 1) if beyond(percent, 2 * c - 1) < chance), None)
+    if chunks is None:
+        raise ValueError(f"signatures of {SYMBOLS} symbols cannot find pairs at {percent} %")
+    return 2 * chunks - 1, chunks
+
+
 def long_distance(percent: int) -> int:
     """Differing long symbols that a pair at percent exceeds with a chance of a few in a million."""
     p = (1 - percent / 100) * 255 / 256
@@ -246,14 +268,16 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
     return spread.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance: int | None = None, chunks: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs (doc_id, text).
 
     Null texts and texts without words have an empty set and link with nothing. Documents with fewer words than
     width have their whole sequence as one shingle. Rows that repeat a doc_id come out once each, with the same
     component. Rows with a null doc_id link with nothing and are kept, with a null component. An empty table gives
-    no rows.
+    no rows. distance and chunks are those of limits(percent) unless given.
     """
+    if distance is None or chunks is None:
+        distance, chunks = (derived if given is None else given for given, derived in zip((distance, chunks), limits(percent)))
     rows = staged(sketch(docs, width), "sketches")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
     classes = staged(classes.select(F.col("n_shingles").alias("n"), F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("first.doc_id").alias("class"), F.col("first.signature").alias("signature")), "classes")
