@@ -9,6 +9,8 @@ only new ones go to the library. Memory is bounded: past ``limit`` units, new on
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from ._words import groups, run_hashes
@@ -51,13 +53,23 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object.
+
+    added: strings of the vocabulary's added tokens become their ids, as with a tokenizer at its defaults; else
+    those of special tokens are ordinary text.
+    """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_500_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # units are parts of texts, where no such string is left whole
+        tokens = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tokenizer.normalizer) for _, t in tokens.values()):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        self.added = {text: np.array([i], "<u4").tobytes() for text, (i, _) in tokens.items()}
+        # the library takes the leftmost token, and the longest of those
+        self.between = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if tokens else None
         kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.limit, self.pool, self.used = limit, np.zeros(1 << 16, kind), 0
         self.keys, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -79,6 +91,13 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.between is None:
+            return self._encode(texts)
+        parts = [self.between.split(t) for t in texts]  # every second one is a token
+        ids = iter(self._encode([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(p)) for p in parts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b"\0".join([b"", *raw, b""]), np.uint8)
         sizes = np.array([len(r) for r in raw], np.int64)
@@ -124,9 +143,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and Python worker."""
+    """One encoder for each vocabulary file and Python worker, with the ids of a tokenizer at its defaults."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 
