@@ -23,12 +23,17 @@ from pyspark.sql import functions as F
 
 from ._shared import table
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img picture source object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button option map".split())
+DROPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe canvas audio video select textarea button option map".split())
 #: An opening tag of the key closes open elements of the value, up to the nearest of the scope.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
+#: Within an element that is left out, these end an open paragraph; IMPLIED is CLOSES there, whose end tags authors may omit too.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_TOP = ("caption", "colgroup")
+IMPLIED = {**CLOSES, "tr": (*CLOSES["tr"], *_TOP), "tbody": (*CLOSES["tbody"], *_TOP), "tfoot": (*CLOSES["tfoot"], *_TOP), "thead": _TOP, "colgroup": _TOP, "option": ("option",), "optgroup": ("option", "optgroup")}
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 ELEMENTS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "fieldset", "dl", "details", "dialog", "address", "menu", "search")
 #: Words of class, id and role, by what they name.
 NAMES = {
@@ -105,12 +110,10 @@ class Page(HTMLParser):
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
-        if self.skipped:
-            if tag == self.skipped[-1] and tag not in VOID:
+        if self.skipped and not self._ends_skip(tag):
+            if tag not in VOID:
                 self.skipped.append(tag)
             return
-        if tag == "body" and "head" in self.skipped:
-            self.skipped.clear()
         if tag in DROPPED:
             self.skipped.append(tag)
             return
@@ -128,6 +131,13 @@ class Page(HTMLParser):
             return
         named = kinds(" ".join(str(attributes.get(k) or "") for k in ("class", "id", "role")))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower()
+        if tag not in INLINE:
+            for k in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph, and elements that can't nest in themselves
+                e = self.open[k][0]
+                if e == "p" or e in CLOSES.get(tag, ()) or (e in ("h1", "h2", "h3", "h4", "h5", "h6") and tag[0] == "h" and tag[1:].isdigit()):
+                    self._close(k)
+                elif e in SCOPE.get(tag, ()) or (tag not in CLOSES and e not in INLINE):
+                    break
         if hidden:
             self.skipped.append(tag)
             return
@@ -139,23 +149,47 @@ class Page(HTMLParser):
                 self.open.append((tag, self.open[-1][1]))
             self.links += tag == "a"
             return
-        for k in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph, and elements that can't nest in themselves
-            e = self.open[k][0]
-            if e == "p" or e in CLOSES.get(tag, ()) or (e in ("h1", "h2", "h3", "h4", "h5", "h6") and tag[0] == "h" and tag[1:].isdigit()):
-                self._close(k)
-            elif e in SCOPE.get(tag, ()) or (tag not in CLOSES and e not in INLINE):
-                break
         self._break()
         self._enter(tag, named, False)
 
+    def _ends_skip(self, tag: str) -> bool:
+        """Whether a start tag ends what is left out; elements within that it ends are closed."""
+        if self.skipped[0] == "head" and (tag == "body" or (len(self.skipped) == 1 and tag not in HEAD)):
+            self.skipped.clear()
+            return True
+        if tag in ENDS_P or tag in IMPLIED:
+            for k in range(len(self.skipped) - 1, -1, -1):
+                e = self.skipped[k]
+                if (e == "p" and tag in ENDS_P) or e in IMPLIED.get(tag, ()):
+                    del self.skipped[k:]
+                elif e in SCOPE.get(tag, ()) or (tag not in IMPLIED and e not in INLINE):
+                    break
+        return not self.skipped
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if self.skipped and tag not in VOID:  # it was put there just now and has no content: a closed svg, an XHTML page's script
+            self.skipped.pop()
+
+    def _parent_ends(self, tag: str) -> bool:
+        """Whether an end tag is that of an element around what is left out."""
+        if tag in INLINE and any(e in ELEMENTS for e in self.skipped):
+            return False
+        for e, _ in self.open[:0:-1]:
+            if e == tag:
+                return True
+            if tag in INLINE and e not in INLINE:
+                return False
+        return False
 
     def handle_endtag(self, tag):
         if self.skipped:
             if tag in self.skipped:
                 del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
-            return
+                return
+            if not self._parent_ends(tag):
+                return
+            self.skipped.clear()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 if tag not in INLINE or all(e in INLINE for e, _ in self.open[k:]):
@@ -165,6 +199,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.skipped == ["head"] and data.strip():
+            self.skipped.clear()
         if self.skipped:
             return
         if len(self.open) == 1 and data.strip():
