@@ -2,10 +2,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidewright.functions import scalars as S
 from tidewright.operators import kv, metrics, queue
-from tidewright.plans import dag, merge
+from tidewright.plans import documents, merge
 from tidewright.plans.fold import ordered_fold
 from tidewright.plans.ranks import global_rank
 
@@ -87,22 +88,39 @@ def test_scalars(spark):
     assert got[5][5] == ["terrible", "lengthier"] and got[6][5] == ["sentence"]
 
 
-def test_document_dag_covers_every_branch(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    state = docs.select(F.col("doc_id").alias("workflow_id"), F.col("text").alias("content"), *(F.lit("").alias(c) for c in ("type", "language", "status")), *(F.lit(0).alias(c) for c in ("word_count", "priority", "steps_done")), F.lit(None).cast("string").alias("sentiment"), dag.empty().alias("keywords"), F.lit(None).cast("double").alias("quality"), F.lit(False).alias("expedited"))
-    out = {r["workflow_id"]: r for r in dag.run(state, dag.document_pipeline(), ["document_ingest"]).collect()}
+def test_document_pipeline_covers_every_branch(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "workflow_id long, content string")
+    out = {r["workflow_id"]: r for r in documents.document_pipeline(docs).collect()}
     done = {k for k in range(7) if out[k]["status"] == "completed"}
-    assert {0, 1, 2, 3, 5} <= done and 4 not in done and {r["outcome"] for r in out.values()} <= {"completed", "stalled"}
+    assert {0, 1, 2, 3, 5} <= done and 4 not in done and out[4]["status"] == "ingested"
     assert out[1]["expedited"] and "EXTRACTED_TEXT" in out[1]["content"] and out[0]["errors"][0].startswith("document is corrupted")
-    assert out[0]["type"] == "text" and out[4]["errors"][0] == "document content too short"
-
-
-def test_registry():
-    r = dag.Registry()
-    r.register("a", None)
-    with pytest.raises(ValueError):
-        r.register("a", None)
-    with pytest.raises(ValueError):
-        r.register("", None)
-    r.unregister("a")
-    assert r.names() == []
+    assert out[0]["type"] == "text" and out[4]["errors"] == ["document content too short"] * 2
+    assert out[0]["content"] == "[PROCESSED] [TRANSLATED] hola REPAIRED"
+
+
+def test_document_quality_gate(spark):
+    docs = spark.createDataFrame([(1, "hello there, good friend"), (2, "one two three four")], "workflow_id long, content string")
+    out = {r["workflow_id"]: r for r in documents.document_pipeline(docs, 0.85).collect()}
+    assert (out[1]["status"], out[1]["errors"]) == ("completed", []) and (out[2]["status"], out[2]["errors"]) == ("processed", ["quality check failed"])
+    checked = documents.document_pipeline(docs, 0.85)
+    assert [r["content"].startswith("[ENHANCED_QUALITY]") for r in documents.enhance(checked, 0.85).orderBy("workflow_id").collect()] == [False, True]
+
+
+def test_simple_pipeline(spark):
+    rows = spark.createDataFrame([(1, False, True, "p"), (2, True, True, "p"), (3, True, False, "p")], "workflow_id long, needs_repair boolean, allow_repair boolean, processor string")
+    got = {r["workflow_id"]: r["history"] for r in documents.simple_pipeline(rows).collect()}
+    assert got[1] == got[3] == ["p:intake", "p:validate", "p:process"] and got[2] == ["p:intake", "p:validate", "p:repair", "p:validate", "p:process"]
+
+
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_rank_of_wide_rows(spark, partitions):
+    """Every number once, in order, whatever columns the reader takes."""
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(300_000, numPartitions=12).select(((F.col("id") * 7919) % 300_000).alias("k"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") % 7).alias("w"), F.col("id").cast("string").alias("_at"))
+        ranked = global_rank(rows, ["w", "k"], "n", 1)
+        assert ranked.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (300_000, 1, 300_000)
+        assert ranked.select(F.lag("k").over(W.partitionBy("w").orderBy("n")).alias("before"), "k").where("before >= k").count() == 0
+        assert ranked.groupBy("w").agg(F.min("n").alias("a"), F.max("n").alias("b")).orderBy("a").select("w").toPandas()["w"].tolist() == list(range(7))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)

@@ -1,7 +1,8 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewright.operators import kv, metrics, queue
-from tidewright.sources.connectors import Connectors, files
+from tidewright.sources.connectors import files
 from tidewright.sources.tables import commands
 from tidewright.streaming import jobs
 
@@ -50,14 +51,41 @@ def test_windows(spark, sf_dir, tmp_path):
     assert got == want
 
 
-def test_connectors(spark, tmp_path):
+def test_sources(spark, tmp_path):
     spark.range(20).write.parquet(str(tmp_path / "src"))
-    c = Connectors(spark, str(tmp_path / "run"))
-    c.register("files", files)
-    config = {"format": "parquet", "path": str(tmp_path / "src"), "schema": "id long"}
-    assert c.sync({"one": ("files", config)}) == {"one": "start"}
-    c.running["one"][2].processAllAvailable()
-    assert spark.read.parquet(str(tmp_path / "run/one/data")).count() == 20
-    assert c.sync({"one": ("files", config), "two": ("files", config)}) == {"one": "keep", "two": "start"}
-    assert [r["id"] for r in c.status().collect()] == ["one", "two"]
-    assert c.sync({}) == {"one": "stop", "two": "stop"}
+    stream = files(spark, {"format": "parquet", "path": str(tmp_path / "src"), "schema": "id long"})
+    jobs.to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_latest_state_keeps_two_versions(spark, tmp_path):
+    log = spark.range(60).selectExpr("id as log_index", "cast(id % 7 as string) as key", "cast(id as string) as value")
+    live = as_stream(spark, log, tmp_path / "in", 6)
+    jobs.latest_state(live, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+    versions = sorted(int(p.name[2:]) for p in (tmp_path / "table").iterdir())
+    assert len(versions) == 2 and rows(spark.read.parquet(str(tmp_path / f"table/v={versions[-1]}")).select("key", "value", "version")) == rows(kv.latest(log))
+
+
+def test_idle_keys_leave_the_state():
+    group, held = ("k",), jobs.stepped(("log_index",), lambda: {"n": 0}, lambda s, r: s.update(n=s["n"] + 1) or {"n": s["n"]}, ["k", "n"], 1000)
+
+    class State:
+        def __init__(self):
+            self.value, self.exists, self.hasTimedOut, self.waits = None, False, False, None
+
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+        def setTimeoutDuration(self, ms):
+            self.waits = ms
+
+    state = State()
+    out = [f["n"].tolist() for part in ([1, 2], [3]) for f in held(group, iter([pd.DataFrame({"k": "k", "log_index": part})]), state)]
+    assert out == [[1, 2], [3]] and state.waits == 1000
+    state.hasTimedOut = True
+    assert [len(f) for f in held(group, iter([]), state)] in ([], [0]) and not state.exists

@@ -103,6 +103,26 @@ def error_code(category: Column, message: Column) -> Column:
     return out.otherwise("UNKNOWN_ERROR")
 
 
+def inherited_code(category: Column, message: Column, cause_code: Column) -> Column:
+    """The code of the error that caused it, if that is a domain error (not null), else the code of its own."""
+    return F.coalesce(cause_code, error_code(category, message))
+
+
+#: Sentinels of what is missing.
+NOT_FOUND, LEASE_NOT_FOUND = "not found", "lease not found"
+
+
+def is_not_found(category: Column, code: Column, message: Column) -> Column:
+    """Whether an error says that something is missing: a domain error by category and code, others by their text; null is none."""
+    text = message.contains("not found") | message.contains("no such key")
+    return F.coalesce(F.when(category.isNotNull(), (category == "storage") & code.contains("NOT_FOUND")).otherwise(text), F.lit(False))
+
+
+def is_lease_lost(sentinel: Column) -> Column:
+    """Whether the error wraps one of the two sentinels that mean a lost lease."""
+    return F.coalesce(sentinel.isin(NOT_FOUND, LEASE_NOT_FOUND), F.lit(False))
+
+
 def retryable(category: Column, of_cause: Column | bool = False) -> Column:
     """By category; others take after the error that caused them."""
     return F.when(category.isin(*RETRYABLE), True).when(category.isin(*FINAL), False).otherwise(of_cause)
@@ -144,6 +164,16 @@ _P = lambda s, d: load(s, d, "part").select("p_partkey", F.concat(F.col("p_size"
 _E = lambda s, d: load(s, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("validation", "network", "storage", "raft", "workflow", "resource", "other"))), (F.col("event_id") % 7 + 1).cast("int")).alias("category"), F.element_at(F.array(*map(F.lit, ("field required", "Invalid id", "Timeout reached", "connection lost", "key Not Found", "conflict", "please retry", "queue full", "no leader", "bad state"))), (F.col("user_id") % 10 + 1).cast("int")).alias("message"))
 _SQL_E = "e AS (SELECT event_id, ['validation', 'network', 'storage', 'raft', 'workflow', 'resource', 'other'][event_id % 7 + 1] AS category, ['field required', 'Invalid id', 'Timeout reached', 'connection lost', 'key Not Found', 'conflict', 'please retry', 'queue full', 'no leader', 'bad state'][user_id % 10 + 1] AS message FROM events)"
 
+def _kinds(e):
+    """Every third error has a cause with a code, every fifth has no category; the sentinel is that of some."""
+    n = F.col("event_id")
+    cause = F.when(n % 3 == 0, F.concat(F.lit("CAUSE_"), (n % 4).cast("string")))
+    category = F.when(n % 5 > 0, F.col("category"))
+    code = inherited_code(F.col("category"), F.col("message"), cause)
+    message = F.when(n % 11 == 0, F.lit("log not found")).when(n % 13 == 0, F.lit("no such key")).otherwise(F.col("message"))
+    return e.select("event_id", code.alias("code"), is_not_found(category, code, message).alias("not_found"), is_lease_lost(F.when(n % 6 == 0, NOT_FOUND).when(n % 6 == 1, LEASE_NOT_FOUND).when(n % 6 == 2, "key exists")).alias("lease_lost"))
+
+
 QUERIES = {
     "fn_type": lambda s, d: _docs(s, d).select("doc_id", document_type(F.col("text")).alias("type")),
     "fn_language": lambda s, d: _docs(s, d).select("doc_id", language(F.col("text")).alias("language")),
@@ -155,13 +185,28 @@ QUERIES = {
     "fn_process": lambda s, d: _docs(s, d).select("doc_id", F.md5(enhanced(ocr(translated(processed(F.col("text"), document_type(F.col("text"))), F.lit("english"))))).alias("digest")),
     "fn_word_count": lambda s, d: _docs(s, d).select("doc_id", word_count(F.col("text")).alias("words")),
     "er_classify": lambda s, d: _E(s, d).select("event_id", error_code(F.col("category"), F.col("message")).alias("code"), retryable(F.col("category")).alias("retryable"), retryable_text(F.col("message")).alias("by_text"), user_facing(F.col("category")).alias("user_facing")),
+    "er_kinds": lambda s, d: _kinds(_E(s, d)),
     "lb_parse_bytes": lambda s, d: _P(s, d).select("p_partkey", parse_bytes(F.col("t")).alias("bytes")),
     "wf_retry_backoff": lambda s, d: s.range(26).select(F.col("id").cast("int").alias("retry"), backoff_seconds(F.col("id")).alias("delay_s"), (F.least(F.col("id"), F.lit(20)) + 1).cast("int").alias("next_retry")),
 }
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 _TYPE = "CASE WHEN contains(text, 'ERROR') THEN 'corrupted' WHEN contains(text, 'IMAGE_DATA') THEN 'image' WHEN strlen(text) > 1000 THEN 'document' ELSE 'text' END"
+_SENTIMENT = "CASE WHEN lower(text) LIKE '%good%' OR lower(text) LIKE '%excellent%' THEN 'positive' WHEN lower(text) LIKE '%bad%' OR lower(text) LIKE '%terrible%' THEN 'negative' ELSE 'neutral' END"
 _LANG = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in ws)} THEN '{a}'" for a, ws in LANGUAGES) + " ELSE 'unknown' END"
+_CODE = """CASE category
+WHEN 'validation' THEN CASE WHEN lower(message) LIKE '%required%' THEN 'VALIDATION_REQUIRED' WHEN lower(message) LIKE '%invalid%' THEN 'VALIDATION_INVALID' ELSE 'VALIDATION_ERROR' END
+WHEN 'network' THEN CASE WHEN lower(message) LIKE '%timeout%' THEN 'NETWORK_TIMEOUT' WHEN lower(message) LIKE '%connection%' THEN 'NETWORK_CONNECTION' ELSE 'NETWORK_ERROR' END
+WHEN 'storage' THEN CASE WHEN lower(message) LIKE '%not found%' THEN 'STORAGE_NOT_FOUND' WHEN lower(message) LIKE '%conflict%' THEN 'STORAGE_CONFLICT' ELSE 'STORAGE_ERROR' END
+WHEN 'raft' THEN CASE WHEN lower(message) LIKE '%leader%' THEN 'RAFT_LEADER' WHEN lower(message) LIKE '%election%' THEN 'RAFT_ELECTION' ELSE 'RAFT_ERROR' END
+WHEN 'workflow' THEN CASE WHEN lower(message) LIKE '%timeout%' THEN 'WORKFLOW_TIMEOUT' WHEN lower(message) LIKE '%state%' THEN 'WORKFLOW_STATE' ELSE 'WORKFLOW_ERROR' END
+WHEN 'resource' THEN CASE WHEN lower(message) LIKE '%limit%' THEN 'RESOURCE_LIMIT' WHEN lower(message) LIKE '%full%' THEN 'RESOURCE_EXHAUSTED' ELSE 'RESOURCE_ERROR' END
+ELSE 'UNKNOWN_ERROR' END"""
+
 ORACLES = {
+    "er_kinds": f"""WITH {_SQL_E}, k AS (SELECT event_id, category, CASE WHEN event_id % 3 = 0 THEN 'CAUSE_' || event_id % 4 ELSE {_CODE} END AS code,
+  CASE WHEN event_id % 11 = 0 THEN 'log not found' WHEN event_id % 13 = 0 THEN 'no such key' ELSE message END AS text FROM e)
+SELECT event_id, code, CASE WHEN event_id % 5 > 0 THEN category = 'storage' AND contains(code, 'NOT_FOUND') ELSE contains(text, 'not found') OR contains(text, 'no such key') END AS not_found,
+  event_id % 6 < 2 AS lease_lost FROM k""",
     "fn_type": f"SELECT doc_id, {_TYPE} AS type FROM documents WHERE text IS NOT NULL",
     "fn_language": f"SELECT doc_id, {_LANG} AS language FROM documents WHERE text IS NOT NULL",
     "fn_priority": f"SELECT doc_id, CAST(least(10, 5 + CASE WHEN contains(lower(text), 'urgent') THEN 3 ELSE 0 END + CASE WHEN {_WORDS} > 1000 THEN 2 ELSE 0 END + CASE WHEN {_TYPE} = 'image' THEN 1 ELSE 0 END) AS INT) AS priority FROM documents WHERE text IS NOT NULL",

@@ -50,6 +50,25 @@ def placement(loads: DataFrame, now_us: int, self_id: int) -> DataFrame:
     return fresh.withColumn("rank", rank)
 
 
+def active(loads: DataFrame, members: DataFrame) -> DataFrame:
+    """Loads of nodes that are members (node_id) of the cluster."""
+    return loads.join(members.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def node_metrics(loads: DataFrame) -> DataFrame:
+    """What monitoring shows of each load (node_id, units, weight, latency_ms, error_rate, updated_us).
+
+    Without units, a node counts as active by its rounded weight, halves away from zero; without an update it is not available.
+    """
+    running = F.when((F.col("units") == 0) & (F.col("weight") > 0), F.floor(F.col("weight") + 0.5)).otherwise(F.col("units")).cast("long")
+    return loads.select("node_id", running.alias("active"), F.col("weight").alias("pressure"), F.col("latency_ms").alias("response_ms"), "error_rate", (F.col("updated_us") > 0).alias("available"))
+
+
+def runs_without_view(policy: str) -> Column:
+    """Whether a node that has no view of the cluster runs the work."""
+    return F.lit(policy != "fail-closed")
+
+
 def winner(loads: DataFrame, now_us: int, self_id: int) -> DataFrame:
     fresh = loads.where((F.col("updated_us") >= now_us - FRESH_US) | (F.col("node_id") == self_id))
     return fresh.orderBy(F.col("weight").cast("long"), "pressure", "node_id").limit(1)
@@ -84,16 +103,14 @@ def matches(key: Column, pattern: Column) -> Column:
 
 
 def subscribe(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Each event of each subscription (name, prefix) whose prefix its key has: prefixes by length, joined on equality.
+    """Each event of each subscription (name, prefix) whose prefix its key has.
 
-    Prefix lengths are few, so the join is one equality join a length and not a comparison of all with all.
+    A key is exploded to its prefixes of the lengths that subscriptions have, a handful, and joined once on equality.
+    An empty prefix takes all keys.
     """
-    out = None
-    for (n,) in subscriptions.select(F.length("prefix")).distinct().collect():  # a handful of lengths
-        same = subscriptions.where(F.length("prefix") == n).select("name", F.col("prefix").alias("_prefix"))
-        hit = events.join(same, F.substring("key", 1, n) == F.col("_prefix")).drop("_prefix")
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else events.withColumn("name", F.lit(None).cast("string")).limit(0)
+    lengths = [r[0] for r in subscriptions.where("prefix is not null").select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]  # a handful
+    prefixes = F.explode(F.filter(F.array(*(F.when(F.length("key") >= n, F.substring("key", 1, n)) for n in lengths)), lambda p: p.isNotNull())) if lengths else F.lit(None).cast("string")
+    return events.withColumn("_prefix", prefixes).join(subscriptions.select("name", F.col("prefix").alias("_prefix")), "_prefix").drop("_prefix")
 
 
 def deltas(log: DataFrame) -> DataFrame:
@@ -201,7 +218,22 @@ def _calls(s, d):
 
 _RATE, _BURST = 1 / 4096, 3  # a power of two, so both engines round alike
 
+def _node_events(s, d):
+    """Keys of five segments, of three, and of one."""
+    n = F.col("log_index")
+    key = F.when(n % 3 == 0, F.concat(F.lit("workflow:"), F.col("user_id").cast("string"), F.lit(":node:"), "kind", F.lit(":started"))).when(n % 7 == 0, F.col("kind")).otherwise(F.col("key"))
+    return commands(s, d).select("log_index", key.alias("key"))
+
+
+def _node_loads(s, d):
+    return _loads(s, d).select("node_id", F.when(F.col("node_id") % 3 == 0, 0).otherwise(F.col("node_id") % 4).cast("long").alias("units"), "weight", (F.col("node_id") % 50).alias("latency_ms"), F.col("pressure").alias("error_rate"), F.when(F.col("node_id") % 5 > 0, F.col("updated_us")).otherwise(0).alias("updated_us"))
+
+
 QUERIES = {
+    "ev_route_nodes": lambda s, d: _node_events(s, d).select("log_index", route(F.col("key")).alias("r")).where("r is not null").select("log_index", "r.*"),
+    "lb_active": lambda s, d: active(_loads(s, d), load(s, d, "nation").where("n_regionkey > 1").select(F.col("n_nationkey").alias("node_id"))).select("node_id", "weight"),
+    "lb_node_metrics": lambda s, d: node_metrics(_node_loads(s, d)),
+    "lb_failure_policy": lambda s, d: _loads(s, d).select("node_id", *(runs_without_view(p).alias(p.replace("-", "_")) for p in ("fail-open", "fail-closed"))),
     "ag_metrics": lambda s, d: execution_metrics(executions(s, d), ["node_name"], "duration", F.col("node_name").startswith("R")),
     "ag_cluster": lambda s, d: cluster_metrics(workflows(s, d)),
     "ag_error_rate_100": lambda s, d: rolling_error_rate(_status_log(s, d), "key", "log_index", F.col("status") == "node_error").select("key", "log_index", F.round("rate", 6).alias("rate")),
@@ -229,6 +261,11 @@ _BUCKET = f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id AS VARCHA
 f AS (SELECT key, log_index, ts_us, k, {_BURST}.0::DOUBLE >= n AS allowed, CASE WHEN {_BURST}.0::DOUBLE >= n THEN {_BURST}.0::DOUBLE - n ELSE {_BURST}.0::DOUBLE END AS tokens FROM l WHERE k = 1
 UNION ALL SELECT key, log_index, ts_us, k, t >= n, CASE WHEN t >= n THEN t - n ELSE t END FROM (SELECT l.*, least(f.tokens + (l.ts_us - f.ts_us)::DOUBLE / 1e6::DOUBLE * (1.0::DOUBLE / 4096), {_BURST}.0::DOUBLE) AS t FROM f JOIN l ON l.key = f.key AND l.k = f.k + 1))"""
 ORACLES = {
+    "ev_route_nodes": f"WITH {SQL_COMMANDS} SELECT log_index, 'workflow' AS channel, CAST(user_id AS VARCHAR) AS id, CASE WHEN log_index % 3 = 0 THEN kind END AS node, CASE WHEN log_index % 3 = 0 THEN 'started' ELSE kind END AS type FROM c WHERE log_index % 3 = 0 OR log_index % 7 > 0",
+    "lb_active": f"WITH {_LOADS} SELECT node_id, weight FROM n WHERE node_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1)",
+    "lb_node_metrics": f"""WITH {_LOADS}, l AS (SELECT *, CASE WHEN node_id % 3 = 0 THEN 0 ELSE node_id % 4 END AS units FROM n)
+SELECT node_id, CAST(CASE WHEN units = 0 AND weight > 0 THEN floor(weight + 0.5) ELSE units END AS BIGINT) AS active, weight AS pressure, node_id % 50 AS response_ms, pressure AS error_rate, node_id % 5 > 0 AS available FROM l""",
+    "lb_failure_policy": "SELECT s_suppkey AS node_id, true AS fail_open, false AS fail_closed FROM supplier",
     "ag_metrics": f"WITH {SQL_EXECUTIONS} SELECT node_name, count(*) AS executed, count(*) FILTER (starts_with(node_name, 'R')) AS failed, round(count(*) FILTER (starts_with(node_name, 'R')) / count(*), 6) AS error_rate, round(sum(duration), 2) AS total, round(avg(duration), 6) AS average, min(duration) FILTER (duration > 0) AS least, max(duration) AS most FROM x GROUP BY 1",
     "ag_cluster": f"WITH {SQL_WORKFLOWS} SELECT status, count(*) AS n FROM w GROUP BY ROLLUP (status)",
     "ag_error_rate_100": f"WITH {SQL_COMMANDS} SELECT CAST(user_id AS VARCHAR) AS key, log_index, round(avg(CASE WHEN kind = 'node_error' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY log_index ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS rate FROM c",

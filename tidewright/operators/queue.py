@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fold import ordered_fold
-from ..sources.tables import SQL_COMMANDS, commands, executions
+from ..plans.ranks import global_rank
+from ..sources.connectors import status
+from ..sources.tables import SQL_COMMANDS, commands, executions, load
 
 MOST_BYTES, MOST_DEFERRALS, CLAIM_TTL_US, ORPHAN_US = 1 << 20, 10, 300_000_000, 30_000_000
 
@@ -22,8 +24,6 @@ def enqueue(items: DataFrame, first: int = 0, order: tuple[str, ...] = ("workflo
     The numbering is one global order, so ranges are counted first and numbered from their offsets: no task
     holds all rows.
     """
-    from ..plans.ranks import global_rank
-
     fits = items.where(F.octet_length("data") <= MOST_BYTES)
     return global_rank(fits, list(order), "sequence", first).withColumn("tier", F.lit(tier))
 
@@ -91,6 +91,17 @@ def extract_workflow_id(data: Column) -> Column:
     return F.regexp_extract(data, '"workflow_id":"([^"]*)"', 1)
 
 
+def id_of_prefix(prefix: Column) -> Column:
+    """The id in a data prefix "workflow_id":"...": up to the next quote, or the rest without one; empty for others."""
+    return F.regexp_extract(prefix, '^"workflow_id":"([^"]*)', 1)
+
+
+def send_to_dead_letters(items: DataFrame, reason: Column, at_us: int, first: int = 1) -> DataFrame:
+    """sequence, dead_id, data, reason, retry_count and at_us of items: dead letters are numbered by themselves, in the items' order."""
+    rows = global_rank(items.select(F.col("sequence").alias("of_sequence"), "data", reason.alias("reason")), ["of_sequence", "data"], "sequence", first)
+    return rows.select("sequence", F.concat(F.lit("dlq-"), F.col("sequence").cast("string"), F.lit(f"-{at_us * 1000}")).alias("dead_id"), "data", "reason", F.lit(0).alias("retry_count"), F.lit(at_us).cast("long").alias("at_us"))
+
+
 def dead_letters(items: DataFrame, limit: int = 0) -> DataFrame:
     """Dead letters by key order, all of them for a limit of 0."""
     rows = items.where("tier = 'deadletter'").orderBy("sequence")
@@ -188,8 +199,37 @@ FROM (SELECT l.key, l.n, l.log_index, l.op, l.owner, l.ts_us, f.holder, f.genera
   CASE l.op WHEN 'acquire' THEN f.holder IS NULL OR f.holder = l.owner OR f.expires_us <= l.ts_us WHEN 'renew' THEN f.holder IS NOT NULL AND f.holder = l.owner
     WHEN 'release' THEN f.holder IS NULL OR f.holder = l.owner ELSE true END AS ok FROM f JOIN l ON l.key = f.key AND l.n = f.n + 1))"""
 
+_ORDER = ("workflow_id", "worker", "amount", "data", "process_after_us", "claim_id")
+
+
+def _enqueued(s, d):
+    return enqueue(_items(s, d).drop("sequence", "tier"), 1, _ORDER)
+
+
+def _retried(s, d):
+    items = _items(s, d)
+    return retry_dead_letter(items, items.where("tier = 'deadletter' and workflow_id % 3 > 0"), 1_000_000_001)
+
+
+def _connectors(s, d):
+    configs = load(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    return status(configs, latest_leases(_lease_log(s, d)), 1706659200000000)
+
+
 QUERIES = {
-    "queue_enqueue": lambda s, d: enqueue(_items(s, d).drop("sequence", "tier").where("workflow_id < 2000000000"), 1, ("workflow_id", "worker", "amount", "data", "process_after_us", "claim_id")).agg(F.count("*").alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count_distinct("sequence").alias("distinct_n")),
+    "cn_status": _connectors,
+    "queue_enqueue_rows": lambda s, d: _enqueued(s, d).select("sequence", "workflow_id", "worker", "claim_id", "tier"),
+    "queue_dlq_retry": lambda s, d: _retried(s, d).select("sequence", "was", "data", "tier"),
+    "queue_dlq_records": lambda s, d: send_to_dead_letters(_items(s, d).where("tier = 'claimed' and deferrals >= 9"), F.concat(F.lit("exceeded deferrals of "), F.col("workflow_id").cast("string")), NOW_US),
+    "queue_claimed_text": lambda s, d: with_text(_items(s, d), '"node":"NO"', "claimed").select("sequence", "data"),
+    "queue_blocked_text": lambda s, d: with_text(_items(s, d), '"workflow_id":"7', "blocked").select("sequence", "data"),
+    "queue_ready_text": lambda s, d: with_text(_items(s, d), '"workflow_id":"7', "ready").select("sequence", "data"),
+    "queue_demote": lambda s, d: demote(_items(s, d)).select("sequence", "tier"),
+    "queue_blocked_for_workflow": lambda s, d: _items(s, d).where((F.col("tier") == "blocked") & (extract_workflow_id(F.col("data")) == "68")).select("sequence", "data"),
+    "queue_claim": lambda s, d: claim(_items(s, d), NOW_US, 20).select("sequence", "workflow_id"),
+    "queue_prefix_id": lambda s, d: _items(s, d).select("sequence", id_of_prefix(F.expr("substr(data, 2, 10 + sequence % 12)")).alias("id")),
+    "lease_node_cleanup": lambda s, d: without_owner(latest_leases(_lease_log(s, d)), "n1").select("key", "holder"),
+    "queue_enqueue": lambda s, d: _enqueued(s, d).agg(F.count("*").alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count_distinct("sequence").alias("distinct_n")),
     "queue_peek": lambda s, d: peek(_items(s, d)).select("sequence", "workflow_id"),
     "queue_claim_topk": lambda s, d: claim_per_queue(_items(s, d).dropDuplicates(["worker", "sequence"]), "worker", NOW_US, 3).select("worker", "sequence", "nth"),
     "queue_complete": lambda s, d: complete(_items(s, d), _items(s, d).where("tier = 'claimed' and worker % 2 = 0").select("claim_id")).groupBy("tier").agg(F.count("*").alias("n")),
@@ -206,6 +246,20 @@ QUERIES = {
     "lease_latest": lambda s, d: latest_leases(_lease_log(s, d)),
 }
 ORACLES = {
+    "cn_status": f"{_LEASE_FOLD}, h AS (SELECT key, holder FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1 AND holder IS NOT NULL AND expires_us > 1706659200000000) SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, holder AS owner, holder IS NOT NULL AS active FROM nation LEFT JOIN h ON key = CAST(n_nationkey AS VARCHAR)",
+    "queue_enqueue_rows": """WITH x AS (SELECT l_orderkey AS workflow_id, l_suppkey AS worker, l_extendedprice AS amount, '{"workflow_id":"' || l_orderkey || '","node":"' || l_returnflag || l_linestatus || '"}' AS data, epoch_us(l_shipdate) AS at_us,
+  CAST(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS VARCHAR) AS claim_id FROM lineitem)
+SELECT row_number() OVER (ORDER BY workflow_id, worker, amount, data, at_us, claim_id) AS sequence, workflow_id, worker, claim_id, 'ready' AS tier FROM x""",
+    "queue_dlq_retry": f"WITH {_ITEMS} SELECT row_number() OVER (ORDER BY sequence) + 1000000000 AS sequence, sequence AS was, data, 'ready' AS tier FROM i WHERE tier = 'deadletter' AND workflow_id % 3 > 0",
+    "queue_dlq_records": f"WITH {_ITEMS}, d AS (SELECT row_number() OVER (ORDER BY sequence, data) AS n, data, 'exceeded deferrals of ' || workflow_id AS reason FROM i WHERE tier = 'claimed' AND deferrals >= 9) SELECT n AS sequence, 'dlq-' || n || '-{NOW_US * 1000}' AS dead_id, data, reason, 0 AS retry_count, CAST({NOW_US} AS BIGINT) AS at_us FROM d",
+    "queue_claimed_text": f"WITH {_ITEMS} SELECT sequence, data FROM i WHERE tier = 'claimed' AND node = 'NO'",
+    "queue_blocked_text": f"WITH {_ITEMS} SELECT sequence, data FROM i WHERE tier = 'blocked' AND starts_with(CAST(workflow_id AS VARCHAR), '7')",
+    "queue_ready_text": f"WITH {_ITEMS} SELECT sequence, data FROM i WHERE tier = 'ready' AND starts_with(CAST(workflow_id AS VARCHAR), '7')",
+    "queue_demote": f"WITH {_ITEMS} SELECT sequence, CASE tier WHEN 'ready' THEN 'blocked' ELSE tier END AS tier FROM i",
+    "queue_blocked_for_workflow": f"WITH {_ITEMS} SELECT sequence, data FROM i WHERE tier = 'blocked' AND workflow_id = 68",
+    "queue_claim": f"WITH {_ITEMS} SELECT sequence, workflow_id FROM i WHERE tier = 'ready' AND process_after_us <= {NOW_US} ORDER BY sequence LIMIT 20",
+    "queue_prefix_id": f"WITH {_ITEMS} SELECT sequence, CASE WHEN 10 + sequence % 12 < 15 THEN '' ELSE substr(CAST(workflow_id AS VARCHAR), 1, CAST(sequence % 12 - 5 AS INT)) END AS id FROM i",
+    "lease_node_cleanup": f"{_LEASE_FOLD} SELECT key, holder FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1 AND holder IS NOT NULL AND holder <> 'n1'",
     "queue_enqueue": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first, count(*) AS last, count(*) AS distinct_n FROM lineitem",
     "queue_peek": f"WITH {_ITEMS} SELECT sequence, workflow_id FROM i WHERE tier = 'ready' ORDER BY sequence LIMIT 1",
     "queue_claim_topk": f"WITH {_ITEMS} SELECT worker, sequence, CAST(n AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY sequence) AS n FROM (SELECT DISTINCT ON (worker, sequence) * FROM i) WHERE tier = 'ready' AND process_after_us <= {NOW_US}) WHERE n <= 3",

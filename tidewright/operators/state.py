@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dag import WHOLE, _cut
+from ..plans.dag import WHOLE
+from ..plans.shared import staged
 from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, load, workflows
-from .kv import latest
+from .kv import _REPLAY, _versioned, latest, since_delete
 from .metrics import breaker, token_bucket, _calls, _requests, _RATE, _BURST
 from .queue import _ITEMS, _items, size
 
@@ -26,6 +27,24 @@ def restore(snap: DataFrame, suffix: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("value", "log_index").alias("value"), F.sum("version").alias("version"))
 
 
+def snapshot_all(log: DataFrame, upto: int) -> DataFrame:
+    """key, value, version, expire_at_us of a log of puts and deletes with expiry (see kv.since_delete) as of an index.
+
+    Deleted keys are in it only if an expiry has outlived them, with version 0.
+    """
+    return since_delete(log.where(F.col("log_index") <= upto)).where("version > 0 or expire_at_us is not null").select("key", "value", "version", "expire_at_us")
+
+
+def restore_all(snap: DataFrame, suffix: DataFrame) -> DataFrame:
+    """key, value, version, expire_at_us of such a snapshot and the commands after it; a delete restarts the version."""
+    new = since_delete(suffix).withColumnsRenamed({c: f"new_{c}" for c in ("value", "version", "log_index", "expire_at_us")})
+    both = snap.join(new, "key", "full")
+    old = ~F.coalesce("deleted", F.lit(False))
+    version = F.when(old, F.coalesce("version", F.lit(0))).otherwise(0) + F.coalesce("new_version", F.lit(0))
+    value = F.when(F.col("new_version") > 0, F.col("new_value")).when(old, F.col("value"))
+    return both.select("key", value.alias("value"), version.alias("version"), F.coalesce("new_expire_at_us", "expire_at_us").alias("expire_at_us")).where("version > 0")
+
+
 def checksum(state: Column) -> Column:
     return F.sha2(state, 256)
 
@@ -46,20 +65,20 @@ def cluster_policy(stored: Column, own: Column, policy: str) -> Column:
 def span_tree(spans: DataFrame) -> DataFrame:
     """span_id, root_id, depth of spans (span_id, parent_span_id), level by level; a missing parent makes a root."""
     known = spans.select(F.col("span_id").alias("known_id"))
-    marked = _cut(spans.join(known, F.col("parent_span_id") == F.col("known_id"), "left").select("span_id", F.col("known_id").alias("parent")))
-    level = _cut(marked.where("parent is null").select("span_id", F.col("span_id").alias("root_id"), F.lit(0).alias("depth")))
+    marked = staged(spans.join(known, F.col("parent_span_id") == F.col("known_id"), "left").select("span_id", F.col("known_id").alias("parent")))
+    level = staged(marked.where("parent is null").select("span_id", F.col("span_id").alias("root_id"), F.lit(0).alias("depth")))
     out, depth, most = level, 0, marked.count()
     while True:
         depth += 1
         up = level.select(F.col("span_id").alias("parent"), "root_id")
-        level = _cut(marked.join(up, "parent").select("span_id", "root_id", F.lit(depth).alias("depth")))
+        level = staged(marked.join(up, "parent").select("span_id", "root_id", F.lit(depth).alias("depth")))
         if level.isEmpty():
             return out
         if depth > most:
             raise RuntimeError("spans that repeat an id make a cycle")
         out = out.unionByName(level)
         if depth % WHOLE == 0:
-            out = _cut(out)
+            out = staged(out)
 
 
 def span_durations(spans: DataFrame) -> DataFrame:
@@ -89,13 +108,32 @@ def _spans(s, d):
 _SPANS = "s AS (SELECT event_id AS span_id, CASE WHEN event_id % 100 > 0 THEN event_id - event_id % 100 + (event_id % 100 - 1) // 3 END AS parent_span_id, epoch_us(ts) AS start_us, CASE WHEN event_type <> 'error' THEN epoch_us(ts) + user_id * 1000 END AS end_us FROM events)"
 
 
+def _middle(log):
+    """The index in the middle of the log, where the snapshots are taken."""
+    return log.agg(F.floor(F.max("log_index") / 2)).first()[0] or 0
+
+
+def _snapshot(s, d):
+    log = commands(s, d)
+    return snapshot(log, _middle(log))
+
+
 def _restored(s, d):
     log = commands(s, d)
-    return restore(snapshot(log, 5000), log.where("log_index > 5000"))
+    upto = _middle(log)
+    return restore(snapshot(log, upto), log.where(F.col("log_index") > upto))
+
+
+def _restored_all(s, d):
+    log = _versioned(s, d)
+    upto = _middle(log)
+    return restore_all(staged(snapshot_all(log, upto)), log.where(F.col("log_index") > upto))
 
 
 QUERIES = {
-    "kv_snapshot": lambda s, d: snapshot(commands(s, d), 5000),
+    "kv_snapshot": _snapshot,
+    "kv_snapshot_all": lambda s, d: snapshot_all(_versioned(s, d), _middle(_versioned(s, d))),
+    "kv_restore_all": _restored_all,
     "kv_restore": _restored,
     "state_checksum": lambda s, d: latest(commands(s, d).withColumn("value", F.col("payload"))).select("key", checksum(F.col("value")).alias("sha256"), compresses(F.col("value")).alias("compressed")),
     "state_compressed": lambda s, d: load(s, d, "documents").where("text is not null").select("doc_id", compresses(F.col("text")).alias("compressed")),
@@ -108,7 +146,9 @@ QUERIES = {
     "rl_global": lambda s, d: token_bucket(_requests(s, d), _RATE, _BURST).agg(F.count("*").alias("total"), F.count_distinct("key").alias("keys")),
 }
 ORACLES = {
-    "kv_snapshot": f"WITH {SQL_COMMANDS} SELECT key, arg_max(value, log_index) AS value, count(*) AS version, max(log_index) AS log_index FROM c WHERE log_index <= 5000 GROUP BY key",
+    "kv_snapshot": f"WITH {SQL_COMMANDS} SELECT key, arg_max(value, log_index) AS value, count(*) AS version, max(log_index) AS log_index FROM c WHERE log_index <= (SELECT max(event_id) // 2 FROM events) GROUP BY key",
+    "kv_snapshot_all": f"{_REPLAY.replace('FROM events)', 'FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))', 1)} SELECT key, value, version, expire_at_us FROM r WHERE version > 0 OR expire_at_us IS NOT NULL",
+    "kv_restore_all": f"{_REPLAY} SELECT key, value, version, expire_at_us FROM r WHERE version > 0",
     "kv_restore": f"WITH {SQL_COMMANDS} SELECT key, arg_max(value, log_index) AS value, count(*) AS version FROM c GROUP BY key",
     "state_checksum": f"WITH {SQL_COMMANDS} SELECT key, sha256(arg_max(payload, log_index)) AS sha256, strlen(arg_max(payload, log_index)) >= 1024 AS compressed FROM c GROUP BY key",
     "state_compressed": "SELECT doc_id, strlen(text) >= 1024 AS compressed FROM documents WHERE text IS NOT NULL",

@@ -1,165 +1,16 @@
-"""Dynamic DAG workflows over tables: supersteps of native column expressions with explicit merge semantics.
-
-A node is a gate and changes to the state, as columns, and the nodes it sends the workflow to, as an array of
-names. The frontier is one row for each workflow and node that waits. A superstep runs every waiting node whose
-gate is open on the state that the step began with, merges the changes of a workflow's nodes in name order, and
-replaces those nodes by their successors; nodes whose gate is closed wait on. A workflow whose frontier does not
-change any more has stalled. All workflows advance together, one job a step.
-"""
+"""Reachability in graphs that one machine can't hold, front by front."""
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..sources.tables import load
+from .shared import staged
 
 #: Rounds after which the parts of a growing result are written as one.
 WHOLE = 16
 
-def empty() -> Column:
-    return F.array().cast("array<string>")
-
-
-@dataclass(frozen=True)
-class Node:
-    """gate: may it run; sets: changes of state columns; next: array of node names; fails: error text or null."""
-
-    gate: Column
-    sets: dict[str, Column] = field(default_factory=dict)
-    next: Column | None = None
-    fails: Column | None = None
-
-
-class Registry:
-    """Node types by name; a name is taken once."""
-
-    def __init__(self):
-        self.nodes: dict[str, Node] = {}
-
-    def register(self, name: str, node: Node) -> None:
-        if not name or name in self.nodes:
-            raise ValueError(f"node {name!r} is registered already" if name else "a node needs a name")
-        self.nodes[name] = node
-
-    def unregister(self, name: str) -> None:
-        del self.nodes[name]
-
-    def get(self, name: str) -> Node:
-        return self.nodes[name]
-
-    def names(self) -> list[str]:
-        return sorted(self.nodes)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares and read back, so that plans don't grow with the steps."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = posixpath.join(base, f"tidewright-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def run(state: DataFrame, registry: Registry, start: list[str], most_steps: int = 50) -> DataFrame:
-    """state (workflow_id and state columns) after all workflows have ended, with steps, executed, errors and outcome.
-
-    executed counts node runs, errors holds their error texts in order, outcome is completed (nothing waits) or
-    stalled (what waits cannot run). State columns of one workflow that several nodes set in a step take the value
-    of the last by name.
-    """
-    columns = [c for c in state.columns if c != "workflow_id"]
-    now = state.withColumns({"_waiting": F.array(*map(F.lit, start)), "_done": empty(), "steps": F.lit(0), "executed": F.lit(0), "errors": empty(), "_active": F.lit(True)})
-    ended = None
-    for _ in range(most_steps):
-        ready, changes, following, failures = [], {c: F.col(c) for c in columns}, [], []
-        for name in registry.names():
-            node = registry.get(name)
-            runs = F.array_contains("_waiting", name) & F.coalesce(node.gate, F.lit(False))
-            fails = F.coalesce(node.fails.isNotNull(), F.lit(False)) if node.fails is not None else F.lit(False)
-            ready.append(F.when(runs, F.lit(name)))
-            failures.append(F.when(runs & fails, node.fails if node.fails is not None else F.lit(None).cast("string")))
-            for c, value in node.sets.items():
-                changes[c] = F.when(runs & ~fails, value).otherwise(changes[c])
-            following.append(F.when(runs & ~fails, node.next if node.next is not None else empty()).otherwise(empty()))
-        ran = F.filter(F.array(*ready), lambda x: x.isNotNull())
-        step = now.select(
-            "workflow_id", *(changes[c].alias(c) for c in columns), F.array_union(F.array_except("_waiting", ran), F.array_distinct(F.flatten(F.array(*following)))).alias("_waiting"), F.col("_done"),
-            (F.col("steps") + (F.size(ran) > 0).cast("int")).alias("steps"), (F.col("executed") + F.size(ran)).alias("executed"),
-            F.concat("errors", F.filter(F.array(*failures), lambda x: x.isNotNull())).alias("errors"), (F.size(ran) > 0).alias("_active"),
-        )
-        step = _cut(step)
-        over = (F.size("_waiting") == 0) | ~F.col("_active")
-        out = step.where(over).withColumn("outcome", F.when(F.size("_waiting") == 0, "completed").otherwise("stalled"))
-        ended = out if ended is None else ended.unionByName(out)
-        now = step.where(~over)
-        if now.isEmpty():
-            break
-    else:
-        ended = ended.unionByName(now.withColumn("outcome", F.lit("running")))
-    return ended.drop("_waiting", "_done", "_active")
-
-
-def names(*n: str) -> Column:
-    return F.array(*map(F.lit, n))
-
-
-def simple_pipeline() -> Registry:
-    """Intake, validation with repair, processing."""
-    status, r = F.col("status"), Registry()
-    mark = lambda what: F.concat("history", F.array(F.concat("processor", F.lit(f":{what}"))))
-    mend = F.col("needs_repair") & F.col("allow_repair")
-    r.register("intake_node", Node(status == "new", {"status": F.lit("validated_pending"), "history": mark("intake")}, names("validator_node")))
-    r.register("validator_node", Node(status == "validated_pending", {"status": F.when(mend, "repair_needed").otherwise("processing_pending"), "needs_repair": mend, "history": mark("validate")}, F.when(mend, names("repair_node")).otherwise(names("processor_node"))))
-    r.register("repair_node", Node((status == "repair_needed") & F.col("allow_repair"), {"status": F.lit("validated_pending"), "needs_repair": F.lit(False), "history": mark("repair")}, names("validator_node")))
-    r.register("processor_node", Node(status == "processing_pending", {"status": F.lit("completed"), "history": mark("process")}))
-    return r
-
-
-def document_pipeline(gate: float = 0.0, ocr: bool = True, nlp: bool = True) -> Registry:
-    """Thirteen nodes from ingestion to the finalizer, without their random failures; the quality gate is a parameter."""
-    status, text, kind, lang, r = F.col("status"), F.col("content"), F.col("type"), F.col("language"), Registry()
-    open_ = status != "completed"
-    steps = F.col("steps_done")
-    add = {"steps_done": steps + 1}
-    score = S.quality_score(F.col("word_count"), lang, steps + 1)
-    r.register("document_ingest", Node(open_, {**add, "status": F.lit("ingested"), "type": F.when(kind == "", S.document_type(text)).otherwise(kind), "language": F.when(lang == "", S.language(text)).otherwise(lang)}, names("document_validator", "content_analyzer")))
-    r.register("document_validator", Node(status == "ingested", {**add, "status": F.lit("validated")}, names("content_processor"), F.when(F.octet_length(text) < 10, "document content too short").when(kind == "corrupted", "document is corrupted and cannot be processed")))
-    r.register("content_analyzer", Node(open_, {**add, "word_count": S.word_count(text), "language": S.language(text), "priority": S.priority(text, S.word_count(text), kind)}, names("language_processor", "document_repair")))
-    r.register("content_processor", Node(status == "validated", {**add, "content": S.processed(text, kind), "status": F.lit("processed")}, F.when((kind == "image") & F.lit(ocr), names("quality_checker", "ocr_processor")).otherwise(names("quality_checker"))))
-    r.register("language_processor", Node(~lang.isin("", "unknown"), {**add, "content": S.translated(text, lang)}, names("nlp_processor")))
-    r.register("ocr_processor", Node(open_, {**add, "content": F.when(kind == "image", S.ocr(text)).otherwise(text), "type": F.when(kind == "image", "text").otherwise(kind)}, names("quality_checker")))
-    r.register("nlp_processor", Node(open_, {**add, **({"sentiment": S.sentiment(text), "keywords": S.keywords(text)} if nlp else {})}, names("quality_checker")))
-    r.register("quality_checker", Node(open_, {**add, "status": F.lit("quality_approved"), "quality": score}, F.when(F.col("priority") >= 8, names("document_finalizer", "priority_handler")).otherwise(names("document_finalizer")), F.when(score < gate, "quality check failed")))
-    r.register("quality_enhancer", Node(open_, {**add, "content": S.enhanced(text)}, names("quality_checker")))
-    r.register("priority_handler", Node(open_, {**add, "expedited": F.lit(True)}, names("notification_sender")))
-    r.register("document_repair", Node(open_, {**add, "content": F.when(kind == "corrupted", S.repaired(text)).otherwise(text), "type": F.when(kind == "corrupted", "text").otherwise(kind)}, names("document_validator")))
-    r.register("notification_sender", Node(open_, add, names("document_finalizer")))
-    r.register("document_finalizer", Node(status == "quality_approved", {**add, "status": F.lit("completed")}))
-    return r
-
-
-def simple_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = load(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("bad", F.lit(True))
-    docs = load(spark, sf_dir, "documents").select("doc_id").join(bad, "doc_id", "left")
-    return docs.select(F.col("doc_id").alias("workflow_id"), F.lit("new").alias("status"), F.coalesce("bad", F.lit(False)).alias("needs_repair"), empty().alias("history"), F.lit("p").alias("processor"), F.lit(True).alias("allow_repair"))
-
-
-def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("workflow_id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("").alias("type"), F.lit("").alias("language"), F.lit("").alias("status"), F.lit(0).alias("word_count"), F.lit(0).alias("priority"),
-        F.lit(0).alias("steps_done"), F.lit(None).cast("string").alias("sentiment"), empty().alias("keywords"), F.lit(None).cast("double").alias("quality"), F.lit(False).alias("expedited"),
-    )
-
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node, depth of every node reachable from starts (node) over edges (src, dst), the least depth of each.
@@ -167,43 +18,28 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     A front holds only nodes not seen before, so it ends on any finite graph, after as many rounds as the longest
     of the shortest paths has edges.
     """
-    seen = _cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = staged(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while not front.isEmpty():
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         known = seen.select(F.col("node").alias("known"))
-        front = _cut(step.join(known, F.col("node").eqNullSafe(F.col("known")), "left_anti").withColumn("depth", F.lit(depth)))
+        front = staged(step.join(known, F.col("node").eqNullSafe(F.col("known")), "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
         if depth % WHOLE == 0:
-            seen = _cut(seen)
+            seen = staged(seen)
     return seen
 
 
-def _dag_simple(s, d):
-    out = run(simple_state(s, d), simple_pipeline(), ["intake_node"])
-    return out.select(F.col("workflow_id").alias("doc_id"), "status", "executed", F.concat_ws(",", "history").alias("history"), "outcome")
-
-
-def _dag_document(s, d):
-    out = run(document_state(s, d), document_pipeline(), ["document_ingest"])
-    return out.select(F.col("workflow_id").alias("doc_id"), "status", "type", "language", "word_count", "priority", F.concat_ws("|", "errors").alias("errors"), "outcome")
-
-
 def _edges(s, d):
-    return load(s, d, "lineitem").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") * 7 % 500).alias("dst")).where("src % 50 < 3").distinct()
+    """Parts lead to their suppliers, and a supplier to the part of the same number."""
+    return load(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
-QUERIES = {
-    "dag_simple_pipeline": _dag_simple,
-    "dag_document_pipeline": _dag_document,
-    "dag_reachability": lambda s, d: reachable(_edges(s, d), s.createDataFrame([(1,)], "node long")),
-}
-_TYPE = "CASE WHEN contains(t, 'ERROR') THEN 'corrupted' WHEN contains(t, 'IMAGE_DATA') THEN 'image' WHEN strlen(t) > 1000 THEN 'document' ELSE 'text' END"
+QUERIES = {"dag_reachability": lambda s, d: reachable(_edges(s, d), s.createDataFrame([(1,)], "node long"))}
 ORACLES = {
-    "dag_simple_pipeline": """SELECT doc_id, 'completed' AS status, CASE WHEN bad THEN 5 ELSE 3 END AS executed, CASE WHEN bad THEN 'p:intake,p:validate,p:repair,p:validate,p:process' ELSE 'p:intake,p:validate,p:process' END AS history, 'completed' AS outcome
-FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS bad FROM documents)""",
-    "dag_reachability": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey * 7 % 500 AS dst FROM lineitem WHERE l_partkey % 500 % 50 < 3),
-r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 6)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+    "dag_reachability": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
+r(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(r.depth + 1) FROM r JOIN e ON e.src = r.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS known WHERE known.node = e.dst) GROUP BY e.dst)
+SELECT node, depth FROM r""",
 }

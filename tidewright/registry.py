@@ -10,8 +10,10 @@ MODULES = [
     "tidewright.operators.queue",
     "tidewright.operators.metrics",
     "tidewright.operators.state",
+    "tidewright.operators.history",
     "tidewright.functions.scalars",
     "tidewright.plans.dag",
+    "tidewright.plans.documents",
     "tidewright.plans.merge",
     "tidewright.plans.workflows",
 ]

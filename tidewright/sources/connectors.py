@@ -1,17 +1,14 @@
-"""Connectors: named streaming sources that run under an id, with configs that can be diffed and synchronised.
+"""Sources by config, and which node runs them, as a join of configs with leases.
 
-A factory turns a config into a streaming DataFrame. The checkpoint below an id's folder owns its progress, so a
-connector that starts again, here or on another driver, goes on where it stopped.
+A factory turns a config into a streaming DataFrame; the checkpoint of its query owns its progress, so that a source
+which starts again, here or on another driver, goes on where it stopped. What to start and stop is
+operators.metrics.config_diff.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-
-Factory = Callable[[SparkSession, dict], DataFrame]
+from pyspark.sql import functions as F
 
 
 def files(spark: SparkSession, config: dict) -> DataFrame:
@@ -23,51 +20,10 @@ def rate(spark: SparkSession, config: dict) -> DataFrame:
     return spark.readStream.format("rate").options(**config).load()
 
 
-class Connectors:
-    """Factories by name and the queries that run, by id."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.factories: dict[str, Factory] = {}
-        self.running: dict[str, tuple[str, dict, StreamingQuery]] = {}
-
-    def register(self, name: str, factory: Factory) -> None:
-        if not name or name in self.factories:
-            raise ValueError(f"connector {name!r} cannot be registered")
-        self.factories[name] = factory
-
-    def unregister(self, name: str) -> None:
-        del self.factories[name]
-
-    def start(self, name: str, id_: str, config: dict) -> StreamingQuery:
-        """Runs the connector into folder/id; the same config again changes nothing, another one restarts it."""
-        if id_ in self.running:
-            was, before, query = self.running[id_]
-            if was != name:
-                raise ValueError(f"{id_} belongs to connector {was}")
-            if before == config and query.isActive:
-                return query
-            query.stop()
-        df = self.factories[name](self.spark, config)
-        query = df.writeStream.format("parquet").option("path", f"{self.folder}/{id_}/data").option("checkpointLocation", f"{self.folder}/{id_}/checkpoint").queryName(id_).start()
-        self.running[id_] = (name, config, query)
-        return query
-
-    def stop(self, id_: str) -> None:
-        self.running.pop(id_)[2].stop()
-
-    def sync(self, desired: dict[str, tuple[str, dict]]) -> dict[str, str]:
-        """Starts, restarts and stops connectors until they are the desired ones; what was done, by id."""
-        done = {}
-        for id_ in [x for x in self.running if x not in desired]:
-            self.stop(id_)
-            done[id_] = "stop"
-        for id_, (name, config) in desired.items():
-            before = self.running.get(id_)
-            done[id_] = "start" if before is None else "keep" if before[1] == config and before[2].isActive else "restart"
-            self.start(name, id_, config)
-        return done
+def status(configs: DataFrame, leases: DataFrame, now_us: int) -> DataFrame:
+    """id, name, owner and active of configs (id, name) with the leases (key, holder, expires_us) of their ids.
 
-    def status(self) -> DataFrame:
-        rows = [(n, i, q.isActive, q.lastProgress["numInputRows"] if q.lastProgress else 0) for i, (n, _, q) in sorted(self.running.items())]
-        return self.spark.createDataFrame(rows, "name string, id string, active boolean, last_rows long")
+    A lease that has run out, or none, leaves a connector without owner.
+    """
+    held = leases.where((F.col("expires_us") > now_us) & F.col("holder").isNotNull()).select(F.col("key").alias("id"), F.col("holder").alias("owner"))
+    return configs.select("id", "name").join(held, "id", "left").withColumn("active", F.col("owner").isNotNull())

@@ -7,9 +7,11 @@ functions of the batch folds with their state in Spark's state store.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,22 +46,35 @@ def windowed_rates(events: DataFrame, ts: str, late: str, width: str) -> DataFra
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), "kind").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "node_error").alias("failed"))
 
 
-def stateful_fold(events: DataFrame, key: str, order: Sequence[str], start: Callable[[], dict], step: Callable[[dict, dict], dict | None], schema: str) -> DataFrame:
-    """step's result for every row, keys' states kept between micro-batches; rows of a batch are stepped in order."""
-    out = T.StructType([events.schema[key], *T._parse_datatype_string(schema).fields])
-    names = out.names
+def stepped(order: Sequence[str], start: Callable[[], dict], step: Callable[[dict, dict], dict | None], names: Sequence[str], idle_ms: int | None):
+    """The function that steps one key's rows of a micro-batch; a key without rows for idle_ms leaves the state."""
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = json.loads(state.get[0]) if state.exists else start()
-        rows = pd.concat(list(parts)).sort_values(list(order), kind="stable")  # one key's rows of one micro-batch
+        rows = pd.concat(list(parts)).sort_values(list(order), kind="stable")  # one key's rows of one micro-batch, which maxFilesPerTrigger bounds
         got = []
         for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             if (result := step(held, row)) is not None:
                 got.append((group[0], *(result[n] for n in names[1:])))
         state.update((json.dumps(held),))
-        yield pd.DataFrame(got, columns=names)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(got, columns=list(names))
+
+    return run
+
+
+def stateful_fold(events: DataFrame, key: str, order: Sequence[str], start: Callable[[], dict], step: Callable[[dict, dict], dict | None], schema: str, idle_ms: int | None = None) -> DataFrame:
+    """step's result for every row, keys' states kept between micro-batches; rows of a batch are stepped in order.
 
-    return events.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.NoTimeout)
+    With idle_ms, a key that has no rows for so long starts anew: for states that mean nothing by then.
+    """
+    out = T.StructType([events.schema[key], *T._parse_datatype_string(schema).fields])
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy(key).applyInPandasWithState(stepped(order, start, step, out.names, idle_ms), out, "state string", "append", timeout)
 
 
 def kv_results(log: DataFrame) -> DataFrame:
@@ -70,16 +85,20 @@ def lease_results(log: DataFrame) -> DataFrame:
     return stateful_fold(log, "key", ["log_index"], lambda: {"owner": None, "generation": 0, "expires_us": None}, _lease, "log_index long, ok boolean, error string, holder string, generation long, expires_us long")
 
 
-def rate_limited(log: DataFrame, rate: float, burst: int) -> DataFrame:
+def rate_limited(log: DataFrame, rate: float, burst: int, forget: bool = False) -> DataFrame:
+    """forget: a bucket that has been idle for the time it takes to fill is full, as a new one is, and leaves the state.
+
+    That is for queries that run on: with a trigger of what is available now, Spark waits for the timeouts forever.
+    """
     start, step = _token_bucket(rate, burst)
-    return stateful_fold(log, "key", ["log_index"], start, step, "log_index long, allowed boolean, tokens double")
+    return stateful_fold(log, "key", ["log_index"], start, step, "log_index long, allowed boolean, tokens double", math.ceil(burst / rate * 1000) + 1 if forget else None)
 
 
 def latest_state(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps a table of the last value and version of each key: every micro-batch merges into a new version of it.
 
     Versions are written beside each other and a batch that runs again overwrites its own, so a lost driver or
-    executor leaves the table of the batch before.
+    executor leaves the table of the batch before. The one before that is deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -88,6 +107,10 @@ def latest_state(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             new = new.unionByName(batch.sparkSession.read.parquet(f"{path}/v={batch_id - 1}"))
         merged = new.groupBy("key").agg(F.max_by("value", "log_index").alias("value"), F.sum("version").alias("version"), F.max("log_index").alias("log_index"))
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch_id > 1:
+            fs, at = FileSystem.from_uri(f"{path}/v={batch_id - 2}")
+            if fs.get_file_info(at).type == FileType.Directory:
+                fs.delete_dir(at)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
