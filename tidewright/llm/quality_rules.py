@@ -218,7 +218,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
 def apply_rules(docs: DataFrame, rules: list[list[Test]], keep: list[str]) -> tuple[DataFrame, str]:
     """Columns ``keep`` with a struct of COUNTS, base_failed and kept, and that struct's name.
 
-    Null and empty texts have no word and fail the base rules. Rows that repeat get the same verdict.
+    Null and empty texts have no word and fail the base rules; a text of any length is counted whole. Rows that repeat
+    get the same verdict; of rules that both fit (ties) the first decides, to the same effect. Columns may have any
+    name. An empty table gives no rows.
     """
     counted = with_counts(docs, keep)
     name = counted.columns[-1]

@@ -18,6 +18,7 @@ from ._shared import table
 STRICT = ("casino", "escort", "hentai", "porn", "viagra", "warez", "xxx")
 SOFT = {"adult": 2, "bets": 2, "bonus": 1, "buy": 1, "cheap": 1, "deals": 1, "farm": 1, "free": 1, "loans": 2, "pills": 2, "poker": 2, "replica": 2, "spam": 2, "win": 1}
 THRESHOLD = 3
+MOST_TERMS = 200_000
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 HOST = r"^(?s:.*?)://([^/?#]*)"
@@ -31,6 +32,20 @@ def url_parts(url) -> tuple:
     return F.translate(F.regexp_extract(url, HOST, 1), *ASCII_LOWER), F.regexp_extract(url, PATH, 1)
 
 
+def vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], dict[str, int]]:
+    """strict and soft for filter_urls from a table (term, weight); a null weight makes a term strict.
+
+    Terms are lower-cased (A-Z); null and empty ones are left out; of a term that repeats, strict wins, then the largest
+    weight. More than ``most`` terms are an error: each task holds the automaton.
+    """
+    term = F.translate("term", *ASCII_LOWER)
+    one = terms.where("term <> ''").groupBy(term.alias("term")).agg(F.count_if(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight"))
+    rows = one.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return sorted(r["term"] for r in rows if r["strict"]), {r["term"]: int(r["weight"]) for r in sorted(rows) if not r["strict"]}
+
+
 class Vocabulary:
     """Counts terms in a text; a term that stands inside a longer word is no hit."""
 
@@ -85,8 +100,10 @@ class Rules:
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", strict=STRICT, soft=SOFT, threshold: int = THRESHOLD, rules=RULES) -> DataFrame:
     """key, host, path, rule, verdict, strict_hits, soft_hits, soft_weight of every row.
 
-    A null url or one without :// has an empty host and path, fits no rule and, without terms, is allowed. Rows
-    that repeat are judged each; other columns are dropped; an empty table gives no rows.
+    A null url or one without :// has an empty host and path, fits no rule and, without terms, is allowed. A url of any
+    length is read whole. Of rules that fit and are equally long (ties) the one with the longer host decides. Rows that
+    repeat are judged each; other columns are dropped, whatever their names; an empty table gives no rows. strict and
+    soft may come from a table of any size that a task can hold: see vocabulary.
     """
     host, path = url_parts(F.col(url))
     low = F.translate(F.coalesce(F.col(url), F.lit("")), *ASCII_LOWER)
