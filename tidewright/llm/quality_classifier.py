@@ -2,9 +2,10 @@
 
 A word stands for two terms: its hash bucket and its shape (kinds of its first and last byte, length). Each
 term has a fixed sparse ternary index vector; a term's context vector is the sum of the index vectors of the
-terms up to two words away, over a bounded sample of labelled documents. A document pools the context vectors
-of its words and the index vectors of their shapes. The network is trained on the driver on those pooled rows,
-and a temperature fitted on a part that it hasn't seen calibrates its probabilities.
+terms up to two words away, over all documents. Words that share one of the BUCKETS share a vector: the table has a
+fixed size, whatever the vocabulary. A document pools the context vectors of its words and the index vectors of their
+shapes. The network is trained on the driver on the pooled rows of a bounded sample of labelled documents, and a
+temperature fitted on a part that it hasn't seen calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def index_vectors(terms: int, dim: int = DIM, ones: int = 4, seed: int = 7) -> n
 
 
 INDEX = index_vectors(BUCKETS + SHAPES)
+INDEX_BYTES = INDEX.astype(np.int8)
 
 
 def terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -54,22 +56,22 @@ def terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (w.hashes >> np.uint64(50)).astype(np.int64), BUCKETS + shape
 
 
-def context_sums(w: Words) -> np.ndarray:
-    """Whole-number sums of index vectors around each term, over these texts."""
-    out = np.zeros((BUCKETS + SHAPES, DIM), np.float64)
+def context_sums(w: Words, out: np.ndarray) -> None:
+    """Adds to out, whole numbers, the index vectors around each term of these texts."""
     bucket, shape = terms(w)
-    around = INDEX[bucket] + INDEX[shape]
-    for d in range(1, WINDOW + 1):
-        if len(bucket) <= d:
-            break
-        near = w.text[d:] == w.text[:-d]
-        for here, there in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
-            vectors = around[there][near]
-            for term in (bucket, shape):
-                at = term[here][near]
-                for k in range(DIM):
-                    out[:, k] += np.bincount(at, weights=vectors[:, k], minlength=len(out))
-    return out
+    n = len(bucket)
+    if n < 2:
+        return
+    own = INDEX_BYTES[bucket] + INDEX_BYTES[shape]
+    around = np.zeros((n, DIM), np.int8)  # at most 2 * WINDOW words of two terms each
+    for d in range(1, min(WINDOW, n - 1) + 1):
+        near = (w.text[d:] == w.text[:-d])[:, None].astype(np.int8)
+        around[d:] += own[:-d] * near
+        around[:-d] += own[d:] * near
+    for term in (bucket, shape):
+        order = np.argsort(term, kind="stable")
+        which, first = np.unique(term[order], return_index=True)
+        out[which] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
 
 
 def unit_rows(sums: np.ndarray) -> np.ndarray:
@@ -167,26 +169,42 @@ class QualityModel:
         return self.network.score(pooled(Words(texts), self.vectors))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
-    """Fits on at most ``most`` labelled documents that are not held out; a fifth of them sets the temperature.
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The context vectors of all terms over every text of docs.
 
-    Executors count contexts and pool the sample; the driver gets four count tables and one short row a document.
+    Each task sums its texts into one table of (BUCKETS + SHAPES) * DIM numbers and emits the rows that are not zero;
+    Spark adds those up by term, so the driver gets one table whatever the input.
     """
-    spark = docs.sparkSession
-    rows = staged(sample(docs, labels, most).repartition(partitions(spark), "doc_id"), "labelled")
+    columns = [f"d{k}" for k in range(DIM)]
 
-    def counts(parts):
+    def run(parts):
         total = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
         for part in parts:
-            for _, texts in groups(part.column(0)):
-                total += context_sums(Words(texts)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"sums": [total.astype(np.int32).tobytes()]}, pa.schema([("sums", pa.large_binary())]))
+            for _, texts in groups(part.column(0), 150_000):
+                context_sums(Words(texts), total)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(total[some, k], pa.int64()) for k in range(DIM))], names=["term", *columns])
+
+    partial = docs.select("text").where("text is not null").mapInArrow(run, "term int, " + ", ".join(f"{c} long" for c in columns))
+    got = partial.groupBy("term").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # a row a term at most
+    sums = np.zeros((BUCKETS + SHAPES, DIM))
+    sums[got["term"].to_numpy(int)] = got[columns].to_numpy(float)
+    return unit_rows(sums)
+
 
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
+    """Context vectors of all documents, and a network fitted on at most ``most`` labelled ones that are not held out.
+
+    A fifth of the labelled documents sets the temperature. Executors count contexts and pool the sample; the driver
+    gets the summed table and one short row a labelled document. Null, empty, repeated and very long texts count by
+    their words. Rows that share an id with contradictory labels (ties) are left out. Without documents or labels, or
+    with one label only, every text scores the smoothed share of the labels. Only doc_id and text are read, and
+    doc_id and quality of labels, whatever other columns there are.
+    """
+    spark = docs.sparkSession
+    vectors = context_vectors(docs)
+    rows = staged(sample(docs, labels, most).repartition(partitions(spark), "doc_id"), "labelled")
     tuned = remainder("doc_id") == 1
-    sums = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
-    for r in rows.where(~tuned).select("text").coalesce(4).mapInArrow(counts, "sums binary").toLocalIterator():
-        sums += np.frombuffer(r["sums"], np.int32).reshape(sums.shape)
-    vectors = unit_rows(sums.astype(float))
     shared = spark.sparkContext.broadcast(vectors)
 
     def pool(parts):
@@ -203,7 +221,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 
 
 def with_score(docs: DataFrame, model: QualityModel, keep: list[str], name: str = "score") -> DataFrame:
-    """Columns ``keep`` of docs (text, ...) and the score. Null texts score as empty ones, which score too."""
+    """Columns ``keep`` of docs (text, ...) and the score.
+
+    Null texts score as empty ones, which score too; a text of any length is pooled whole. Rows that repeat score the
+    same (ties have no order here). Columns may have any name but ``name``. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*map(quoted, keep))
 
