@@ -30,39 +30,39 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
     """(packs, lengths of their pieces) for counts by length; a pattern's lengths sum to at most size.
 
-    Packs with equal room are one group, split only when fewer pieces than packs are left. Equal patterns
-    are merged at the end. Counts may be of any magnitude: the work depends on the number of lengths.
+    Longest pieces first, each goes into the shortest pack that has room for it, a new one if none has. Packs of one
+    pattern are one group, split only when fewer pieces than packs are left: while a piece is laid in each pack of the
+    group with most room, the others of it stay the shortest. Equal patterns are merged at the end. Counts may be of
+    any magnitude: the work depends on the number of lengths.
     """
     groups: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by room left
     rooms: list[int] = []
+
+    def lay(room: int, packs: int, inside: tuple[int, ...]) -> None:
+        if room not in groups:
+            insort(rooms, room)
+        groups[room].append((packs, inside))
+
     for length in sorted((x for x, n in histogram.items() if n), reverse=True):
-        left, moved = histogram[length], []
+        left = histogram[length]
         while left and rooms and rooms[-1] >= length:
             room = rooms[-1]
             packs, inside = groups[room].pop()
-            used = min(packs, left)
-            if packs > used:
-                groups[room].append((packs - used, inside))
             if not groups[room]:
                 rooms.pop()
                 del groups[room]
-            # the pack goes on taking this length while it is the shortest with room for it
-            moved.append((room - length, used, (*inside, length)))
+            used = min(packs, left)
+            if packs > used:
+                lay(room, packs - used, inside)
+            lay(room - length, used, (*inside, length))
             left -= used
-            if left and moved and not (rooms and rooms[-1] >= length):
-                for room, packs, inside in moved:
-                    if room not in groups:
-                        insort(rooms, room)
-                    groups[room].append((packs, inside))
-                moved = []
-        if left:
+        if left:  # a new pack takes this length until it is full
             each = size // length
             whole, rest = divmod(left, each)
-            moved += [(size - length * each, whole, (length,) * each)] * bool(whole) + [(size - length * rest, 1, (length,) * rest)] * bool(rest)
-        for room, packs, inside in moved:
-            if room not in groups:
-                insort(rooms, room)
-            groups[room].append((packs, inside))
+            if whole:
+                lay(size - length * each, whole, (length,) * each)
+            if rest:
+                lay(size - length * rest, 1, (length,) * rest)
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for packs, inside in (x for room in sorted(groups) for x in groups[room]):
         merged[inside] += packs
@@ -107,9 +107,10 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary:
 def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
-    Null and empty texts are one piece of the end id. Repeated rows are packed once each. A null doc_id is
-    kept. An empty table gives no rows. padded_length is what the sequence takes: its own length if that is a
-    power of two, else size.
+    Null and empty texts are one piece of the end id; a text of any length is cut into as many pieces as it takes.
+    Repeated rows are packed once each; pieces of equal length (ties) are ranked by task and order of reading. A null
+    doc_id is kept. Other columns are not read, whatever their names. An empty table gives no rows. padded_length is
+    what the sequence takes: its own length if that is a power of two, else size.
     """
     spark = docs.sparkSession
     cut = staged(pieces(docs, size, end_id, vocabulary), "pieces")
@@ -117,7 +118,8 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: st
     patterns = shortest_pack_first({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
+    # a row for each task and length grows with the tasks, so it is merged, not broadcast
+    ranked = cut.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
     totals, at = [], 0
     for packs, inside in patterns:
         totals.append((at, sum(inside)))
