@@ -42,6 +42,43 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class NewFile:
+    """An open file that has its name only once it is complete, whichever attempt of a task completes it.
+
+    It is written under a name of its own and moved; where a move does not replace a file, one of the same size is what
+    another attempt left, since all attempts write the same bytes, and any other is replaced.
+    """
+
+    def __init__(self, uri: str):
+        self.fs, self.path = filesystem(uri)
+        folder = posixpath.dirname(self.path)
+        self.fs.create_dir(folder, recursive=True)
+        self.temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
+        self.out, self.size = self.fs.open_output_stream(self.temporary, compression=None), 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def commit(self) -> None:
+        self.out.close()
+        try:
+            self.fs.move(self.temporary, self.path)
+        except OSError:
+            there = self.fs.get_file_info(self.path)
+            if there.is_file and there.size == self.size:
+                return self.fs.delete_file(self.temporary)
+            if not there.is_file:
+                raise
+            self.fs.delete_file(self.path)
+            self.fs.move(self.temporary, self.path)
+
+    def abandon(self) -> None:
+        """After an error; a killed process leaves the temporary file, which no manifest names."""
+        self.out.close()
+        self.fs.delete_file(self.temporary)
+
+
 def quoted(name: str) -> str:
     """A column's name as the SQL parser takes it, whatever it holds."""
     return "`" + name.replace("`", "``") + "`"

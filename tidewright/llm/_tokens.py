@@ -9,6 +9,7 @@ only new ones go to the library. Memory is bounded: past ``limit`` units, new on
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -52,21 +53,35 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_unit(file: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose texts may be cut into units: byte-level BPE with its usual pattern."""
+    before, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    around = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file.get("added_tokens", ()))
+    return plain and model["type"] == "BPE" and not any(model.get(k) for k in odd) and not file.get("normalizer") and not around
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in one bytes object.
 
     added: strings of the vocabulary's added tokens become their ids, as with a tokenizer at its defaults; else
-    those of special tokens are ordinary text.
+    those of special tokens are ordinary text. A file of another kind than byte-level BPE without a normalizer, for
+    which texts cannot be cut like this, is used for whole texts, as the library does.
     """
 
     def __init__(self, path: str, limit: int = 1_500_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_unit = by_unit(json.loads(self.tokenizer.to_str()))
+        if not self.by_unit:
+            self.tokenizer.encode_special_tokens = not added
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+            return
         self.tokenizer.encode_special_tokens = True  # units are parts of texts, where no such string is left whole
         tokens = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
-        if any(t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tokenizer.normalizer) for _, t in tokens.values()):
-            raise ValueError("added tokens that take in what is around them are not supported")
         self.added = {text: np.array([i], "<u4").tobytes() for text, (i, _) in tokens.items()}
         # the library takes the leftmost token, and the longest of those
         self.between = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if tokens else None
@@ -91,6 +106,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_unit:
+            got = (self.tokenizer.encode_batch(some, add_special_tokens=False) for _, some in groups(texts, 100_000))
+            return [np.array(x.ids, "<u4").tobytes() for some in got for x in some]
         if self.between is None:
             return self._encode(texts)
         parts = [self.between.split(t) for t in texts]  # every second one is a token

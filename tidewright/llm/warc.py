@@ -1,9 +1,9 @@
 """WARC 1.1 archives written in parallel, the same bytes at every run, and read back.
 
-Pages are range-sorted by id together with the ids of the first page of each repeated payload. Each task
-streams its range into files that roll when their compressed size passes a limit, one gzip member a record,
-with headers and digests made anew. A file is written to a temporary name and renamed; the manifest, one row a
-file, is what Spark commits, so a task that runs twice leaves the same files.
+Pages are range-sorted by id together with the ids of the first page of each repeated payload, in ranges whose
+bounds depend on the ids alone. Each task streams its range into files that roll when their compressed size passes
+a limit, one gzip member a record, with headers and digests made anew. A file is written to a temporary name and
+renamed; the manifest, one row a file, is what Spark commits, so a task that runs twice leaves the same files.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import filesystem, partitions, shared_dir, staged, table
+from ._ranges import bounds, range_of
+from ._shared import NewFile, filesystem, partitions, shared_dir, staged, table
+from ._skew import spread_join
 
 DATE = "2000-01-01T00:00:00Z"  # no clock in the files, unless a date is given
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -33,9 +34,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, nth: int) -> str:
-    """A record's urn, from the page's id and its number among rows of that id."""
-    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page:{page_id}:{nth}')}>"
+def record_id(page_id: int | None, sha: str, nth: int = 0) -> str:
+    """A record's urn, from the page's id, its payload's digest and its number among rows of that id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page:{page_id}:{sha}:{nth}')}>"
 
 
 def _clean(url: str | None) -> str:
@@ -49,11 +50,11 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refer
     body = payload if refers_to is None else b""
     block = http + body
     head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, nth)), ("WARC-Date", date), ("WARC-Target-URI", _clean(url)),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, sha, nth)), ("WARC-Date", date), ("WARC-Target-URI", _clean(url)),
         *([("WARC-Page-ID", page_id)] if page_id is not None else []), ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Payload-Length", len(payload)), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
     ]
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to[0], 0)), ("WARC-Refers-To-Page-ID", refers_to[0]), ("WARC-Refers-To-Target-URI", _clean(refers_to[1]))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to[0], sha)), ("WARC-Refers-To-Page-ID", refers_to[0]), ("WARC-Refers-To-Target-URI", _clean(refers_to[1]))]
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block))]
     raw = "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
     return gzip.compress(raw, compresslevel=6, mtime=0)
@@ -61,78 +62,82 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refer
 
 def first_of_payload(pages: DataFrame, least: int) -> DataFrame:
     """page_id, sha, first_id, first_url of the rows whose payload, of least bytes at least, more than one row has."""
-    rows = pages.select("page_id", "url", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
+    rows = pages.select("page_id", "url", "sha", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     first = rows.groupBy("sha", "n").agg(F.count("*").alias("copies"), F.min(known).alias("first")).where("copies > 1 and first is not null")
-    first = first.select(F.col("sha").alias("of"), F.col("n").alias("of_n"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    again = rows.join(first, (F.col("sha") == F.col("of")) & (F.col("n") == F.col("of_n")))
-    return again.select("page_id", "sha", "first_id", "first_url").distinct()
+    first = first.select("sha", "n", "copies", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    return spread_join(rows, first, ["sha", "n"], "copies", ["page_id", "url"]).select("page_id", "sha", "first_id", "first_url").distinct()
 
 
 def write_warc(pages: DataFrame, out_dir: str, least: int = 0, roll_bytes: int = 64 << 20, ranges: int | None = None, date: str = DATE) -> DataFrame:
     """Writes pages (page_id, url, html) below out_dir and returns the manifest.
 
-    The payload is the html in UTF-8, a null html an empty one, a null url about:blank. Of equal payloads of at
-    least ``least`` bytes the row with the smallest page_id is the response and the others revisit it; of rows
-    with that same page_id one is the response. A row without page_id revisits a row with one, if that has its
-    payload, and is a response else; it reads back without id. Other columns are ignored; an empty table gives no file.
+    The payload is the html in UTF-8, a null html an empty one, a null url about:blank; a payload of any length is
+    one record. Of equal payloads of at least ``least`` bytes the row with the smallest page_id is the response and
+    the others revisit it; of rows with that same page_id (ties) that with the smallest url is the response. A row
+    without page_id revisits a row with one, if that has its payload, and is a response else; it reads back without
+    id. Other columns are ignored, whatever their names; an empty table gives no file.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("sha", F.sha1("payload"))
     firsts = first_of_payload(rows, least).select("page_id", F.col("first_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first_id")
-    # a page and what is known of its payload meet in a range of ids: the second sorts before the first
-    both = rows.withColumns({"sha": F.lit(None).cast("string"), "first_id": F.lit(None).cast("long")}).unionByName(firsts)
-    dealt = both.repartitionByRange(ranges or partitions(spark), "page_id").sortWithinPartitions("page_id", F.col("payload").isNotNull(), "payload", "url")
+    # a page and what is known of its payload meet in a range of ids, the second right before the pages with that payload
+    at = bounds(rows.select("page_id"), "page_id", ranges or partitions(spark))
+    both = rows.withColumn("first_id", F.lit(None).cast("long")).unionByName(firsts).withColumn("range", range_of(F.col("page_id"), at))
+    dealt = both.repartitionById(len(at) + 1, "range").sortWithinPartitions("range", "page_id", "sha", F.col("payload").isNotNull(), "url")
 
     def write(parts):
-        place = TaskContext.get().partitionId()
-        files, last, nth, firsts = Files(out_dir, place, roll_bytes), None, 0, {}
-        for part in parts:
-            for page_id, url, payload, sha, first_id in ((part.column(k)[i].as_py() for k in range(5)) for i in range(part.num_rows)):
-                if page_id != last:
-                    last, nth, firsts = page_id, 0, {}
-                if payload is None:
-                    firsts[sha] = (first_id, url)
-                    continue
-                refers = firsts.get(hashlib.sha1(payload).hexdigest()) if len(payload) >= least else None
-                if refers is not None and refers[0] == page_id:  # the first itself; further rows of this id revisit it
-                    firsts[hashlib.sha1(payload).hexdigest()] = (page_id, refers[1], True)
-                    refers = refers if len(refers) == 3 else None
-                files.add(page_id, record(page_id, nth, url, payload, refers and refers[:2], date))
-                nth += 1
-        files.close()
-        done = files.done
-        yield pa.RecordBatch.from_arrays([pa.array([place] * len(done), pa.int32()), pa.array(range(len(done)), pa.int32()), *(pa.array(x, t) for x, t in zip(zip(*done) if done else [[]] * 5, (pa.string(), *[pa.int64()] * 4)))], names=["range", "part", "path", "file_bytes", "n_records", "first_id", "last_id"])
-
-    return staged(dealt.select("page_id", "url", "payload", "sha", "first_id").mapInArrow(write, MANIFEST), "warc-manifest")
+        files, held, nth, first = Files(out_dir, roll_bytes), None, 0, None
+        try:
+            for part in parts:
+                for place, page_id, url, payload, sha, first_id in ((part.column(k)[i].as_py() for k in range(6)) for i in range(part.num_rows)):
+                    if (page_id, sha) != held:
+                        held, nth, first = (page_id, sha), 0, None
+                    if payload is None:
+                        first = (first_id, url)
+                        continue
+                    itself = first is not None and first[0] == page_id and nth == 0
+                    files.add(place, page_id, record(page_id, nth, url, payload, None if itself or len(payload) < least else first, date))
+                    nth += 1
+            files.close()
+        except BaseException:
+            files.abandon()
+            raise
+        kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*files.done) if files.done else [[]] * 7, kinds)], names=["range", "part", "path", "file_bytes", "n_records", "first_id", "last_id"])
+
+    return staged(dealt.select("range", "page_id", "url", "payload", "sha", "first_id").mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 class Files:
-    """The files of one range; a new one begins when the last has roll_bytes."""
+    """The files of ranges that come in order; a new one begins with a range and when the last has roll_bytes."""
 
-    def __init__(self, out_dir: str, place: int, roll_bytes: int):
-        self.out_dir, self.place, self.roll_bytes, self.out, self.done = out_dir, place, roll_bytes, None, []
+    def __init__(self, out_dir: str, roll_bytes: int):
+        self.out_dir, self.roll_bytes, self.out, self.done, self.place, self.part = out_dir, roll_bytes, None, [], None, 0
 
-    def add(self, page_id: int, packed: bytes) -> None:
+    def add(self, place: int, page_id: int | None, packed: bytes) -> None:
+        if place != self.place:
+            self.close()
+            self.place, self.part = place, 0
         if self.out is None:
-            self.name = posixpath.join(self.out_dir, f"pages-{self.place:06d}-{len(self.done):04d}.warc.gz")
-            self.fs, self.final = filesystem(self.name)
-            self.fs.create_dir(posixpath.dirname(self.final), recursive=True)
-            self.temporary = f"{posixpath.dirname(self.final)}/.{uuid.uuid4().hex}.tmp"
-            self.out, self.size, self.records, self.first = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, page_id
+            self.name = posixpath.join(self.out_dir, f"pages-{place:06d}-{self.part:04d}.warc.gz")
+            self.out, self.records, self.first = NewFile(self.name), 0, page_id
         self.out.write(packed)
-        self.size += len(packed)
         self.records += 1
         self.last = page_id
-        if self.size >= self.roll_bytes:
+        if self.out.size >= self.roll_bytes:
             self.close()
 
     def close(self) -> None:
         if self.out is not None:
-            self.out.close()
-            self.fs.move(self.temporary, self.final)
-            self.done.append((self.name, self.size, self.records, self.first, self.last))
-            self.out = None
+            self.out.commit()
+            self.done.append((self.place, self.part, self.name, self.out.size, self.records, self.first, self.last))
+            self.out, self.part = None, self.part + 1
+
+    def abandon(self) -> None:
+        if self.out is not None:
+            self.out.abandon()
 
 
 def members(file, chunk: int = 1 << 20):
