@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import staged, table
+from ._shared import quoted, staged, table
+from ._skew import HOT
 
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 GROUP, LANDING = 2048, 12
@@ -28,6 +29,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -
 
     Sources in order of their UTF-8 bytes, which is code point order, nulls last, take the weights in turn. All
     words are shared by weight; a target stops at most times its source, and the excess goes to the others by weight.
+    The windows run over one row a source, in one task: sources are meant to be the few corpora of a mix.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -80,7 +82,7 @@ def _flight(keys: list[str], most: int, seed: int):
     """The flight over one group; in a source's last group, LANDING documents of all sizes wait for the landing."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "doc_id", "size"], kind="stable")
+        group = group.sort_values(["order", "row"], kind="stable")
         rng = np.random.default_rng([seed, abs(int(group["order"].iloc[0])), len(group)])
         size, p, last = group["size"].to_numpy(float), group["p"].to_numpy(float).copy(), group["n_docs"].iloc[0] <= most
         moved = np.flatnonzero((p > 0) & (p < 1))
@@ -93,28 +95,31 @@ def _flight(keys: list[str], most: int, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0, group: int = GROUP) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, text, source).
-
-    A null text has size 0 and is taken 0 words. Rows that repeat are drawn each for itself. The draw depends on
-    doc_id, size and seed alone, so reruns agree. An empty table gives no rows, a table of empty texts takes nothing.
-    """
+def draw(docs: DataFrame, columns: list[str], weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(rows, drawn): rows has every row of docs with a number, row, and its columns in a struct, held; drawn has row,
+    doc_id, source, size, source_size, target and copies of each."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "source", words.alias("size")), "sizes")
+    # rows are numbered where they are written, so the number is the same for all that read it
+    held = F.struct(*map(quoted, columns)) if columns else F.lit(None).cast("int")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "source", words.alias("size"), F.xxhash64("text").alias("text_hash"), held.alias("held"))
+    rows = staged(rows.withColumn("order", F.xxhash64("doc_id", "size", "text_hash", F.lit(seed))), "sizes")
     targets = staged(source_targets(rows, weights, most), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("share", share).withColumnRenamed("source", "of")
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of", "held")
     whole = F.least(F.floor("share"), F.lit(most))
-    order = F.xxhash64("doc_id", "size", F.lit(seed))
-    open_ = joined.withColumns({"whole": whole.cast("int"), "p": F.when(F.col("size") > 0, F.least(F.col("share") - whole, F.lit(1.0))).otherwise(0.0), "order": order})
-    keys = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "order"]
-    kinds = "doc_id long, source string, size long, source_size long, target double, whole int, p double, order long"
+    open_ = joined.withColumns({"whole": whole.cast("int"), "p": F.when(F.col("size") > 0, F.least(F.col("share") - whole, F.lit(1.0))).otherwise(0.0)})
+    # rows that repeat id and text thousands of times would all hash to one group: those are dealt by their number too
+    same = rows.groupBy("order").agg(F.count("*").alias("n")).where(F.col("n") > group).orderBy(F.desc("n"), "order").limit(HOT)
+    open_ = open_.join(F.broadcast(same.select("order", F.ceil(F.col("n") / group).alias("pieces"))), "order", "left")
+    open_ = open_.withColumn("deal", F.xxhash64("order", F.coalesce(F.pmod("row", "pieces"), F.lit(0))))
+    keys = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "p", "order", "deal"]
+    kinds = "row long, doc_id long, source string, size long, source_size long, target double, whole int, p double, order long, deal long"
     done, n, level = [], F.ceil(F.col("n_docs") / group), 0
     todo = open_.select(*keys, "n_docs")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     while True:
-        dealt = todo.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(level)), n))
+        dealt = todo.withColumn("bucket", F.pmod(F.xxhash64("deal", F.lit(level)), n))
         flown = staged(dealt.groupBy("source", "bucket").applyInPandas(_flight(keys, group, seed + level), kinds), f"flight-{level}")
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.where(~undecided))
@@ -128,7 +133,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0
     for more in done[1:]:
         out = out.unionAll(more)
     copies = (F.col("whole") + F.col("p").cast("int")).cast("int")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rows, out.select("row", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0, group: int = GROUP) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, text, source).
+
+    A null text has size 0 and is taken 0 words; texts of any length are counted whole. A null source is a source of
+    its own. Rows that repeat an id, or have none, are drawn each for itself. The draw depends on doc_id, text and
+    seed, and for rows equal in those (ties) on their place in the input, so reruns agree. Other columns are not read,
+    whatever their names. An empty table gives no rows, a table of empty texts takes nothing.
+    """
+    return draw(docs, [], weights, most, seed, group)[1].select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0, group: int = GROUP) -> DataFrame:
+    """Each row of docs as often as the mix takes it, with all its columns, whatever their names."""
+    rows, drawn = draw(docs, docs.columns, weights, most, seed, group)
+    taken = rows.select("row", "held").join(drawn.where("copies > 0").select("row", "copies"), "row")
+    return taken.select("held", F.explode(F.sequence(F.lit(1), "copies"))).select("held.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
