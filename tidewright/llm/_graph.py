@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import staged
+from ._skew import spread_join
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -35,11 +36,14 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:
-    """Neighbours of a (and a itself) to a's smallest neighbour; only_larger: those above a alone."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("of", "m").alias("m"))
-    joined = pairs.join(least, F.col("a") == F.col("of"))
+    """Neighbours of a (and a itself) to a's smallest neighbour; only_larger: those above a alone.
+
+    A hub's neighbours are dealt to many tasks, each with a copy of the hub's smallest neighbour.
+    """
+    least = pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    joined = spread_join(pairs, least, ["a"], "n", ["b"])
     if only_larger:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
+        out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import partitions, staged, table
+from ._skew import spread_join
 
 CELL, MOST_PIVOTS, BATCH = 4096, 1024, 1024
 SLACK = 1e-9  # bounds are wider by this than rounding can be
@@ -216,18 +217,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> Da
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding); least is above 0.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of
-    different lengths do not link. A row without vec_id links with nothing, has no component and is kept. Rows that repeat a vec_id count as vectors of their own in n_links. An empty
-    table gives no rows.
+    different lengths do not link. A row without vec_id links with nothing, has no component and is kept. Rows that
+    repeat a vec_id count as vectors of their own in n_links, each with the links and component of its own vector;
+    rows with the smallest vec_id of a component (ties) are all kept. Columns other than vec_id and embedding are not
+    read, whatever their names. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = staged(keyed(vectors), "vectors")
     reps = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("vec_id", "vector")).alias("first"), F.count("*").alias("weight"))
-    reps = staged(reps.select("key", F.col("first.vec_id").alias("rep"), F.col("first.vector").alias("vector"), "weight"), "representatives")
+    # a representative is numbered where it is written, so the number is the same for all that read it
+    reps = staged(reps.select(F.monotonically_increasing_id().alias("rep"), "key", F.col("first.vec_id").alias("first_id"), F.col("first.vector").alias("vector"), "weight"), "representatives")
     range_ = math.acos(least)
     links = None
     for dim, n in sorted(tuple(r) for r in reps.groupBy(F.size("vector")).count().collect()):
         same = reps.where(F.size("vector") == dim)
-        chosen = same.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(min(MOST_PIVOTS, max(1, math.ceil(n / cell)))).collect()
+        chosen = same.orderBy(F.xxhash64("first_id"), "first_id", "key").select("vector").limit(min(MOST_PIVOTS, max(1, math.ceil(n / cell)))).collect()
         pivots = _matrix(pa.array([r[0] for r in chosen], pa.list_(pa.float64())))
         homes = staged(at_home(same, pivots, range_), f"homes-{dim}")
         cells = homes.groupBy("home", "core").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.sum("weight").alias("weight"), F.min("rep").alias("least_rep")).collect()  # two rows a pivot
@@ -241,15 +245,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> Da
             tight_df = F.broadcast(spark.createDataFrame(tight, "home int, all long, other long"))  # a row a pivot at most
             found = found.unionAll(homes.where("core").join(tight_df, "home").select("rep", F.col("all") - F.col("weight"), "other"))
         links = found if links is None else links.unionAll(found)
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone
     links = staged(links, "links")
-    labels = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    labels = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
+    linked = staged(labels.join(reps.select("rep", "first_id"), "rep"), "linked")
+    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    named = spread_join(linked, smallest, ["component"], "members", ["rep"]).select("rep", "component_id")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = reps.select("key", "rep", "weight").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("key", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "key").join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    of = reps.select("key", "rep", "first_id", "weight").join(counts, "rep", "left").join(named, "rep", "left")
+    of = of.select("key", "weight", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+    out = spread_join(rows.where("key is not null").select("vec_id", "key"), of, ["key"], "weight", ["vec_id"])
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionAll(alone)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
