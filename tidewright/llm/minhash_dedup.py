@@ -7,8 +7,9 @@ errors, and leaving out each set of so many symbols of a chunk enumerates what b
 Documents with equal shingle sets are one class first. Classes that share a key are linked to the smallest of
 the key and confirmed on their full sets; components of confirmed links settle nearly every key. Keys whose
 classes are still of several components are then compared class by class, in blocks: pairs of different
-components within DISTANCE whose sizes and longer signatures allow the similarity are confirmed too. So no pair
-within DISTANCE is left out, and a key that thousands of like documents share costs one pair each.
+components within DISTANCE are confirmed too, unless their sizes or the number of 16-bit shingle prefixes that
+they share, which is never below that of shared shingles, rule the similarity out. So no pair within DISTANCE is
+left out, and a key that thousands of like documents share costs one pair each.
 
 A pair at Jaccard similarity J differs in about (1 - J) * SYMBOLS symbols. Distance and chunks follow from the
 least similarity, so that a pair at it is missed with a chance below 1 in 10,000: 22 and 13 at 0.85 (3.0e-5), 27 and
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import partitions, staged, table
+from ._skew import spread_join
 from ._words import Words, groups, mix
 
 SYMBOLS, DISTANCE, CHUNKS, BLOCK = 64, 22, 13, 256
-LONG = 512  # 8-bit minima of the second look
-_LONG_SEEDS = np.random.default_rng(20240301).integers(1, 1 << 63, (2, LONG // 2), dtype=np.uint64) | np.uint64(1)
+MOST_BRIEF = 1 << 15  # sets beyond it have no prefixes and are always confirmed in full
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -72,41 +73,30 @@ def signatures(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def long_signatures(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """n rows of LONG 8-bit symbols, two from each mixed hash; rows of empty sets are zeros."""
-    out = np.zeros((n, LONG), np.uint8)
-    full, first = np.unique(of, return_index=True)
-    for k in range(LONG // 2 if len(full) else 0):
-        x = h * _LONG_SEEDS[0, k]
-        x ^= x >> np.uint64(32)
-        x *= _LONG_SEEDS[1, k]
-        for half, least in enumerate((np.minimum.reduceat(x >> np.uint64(32), first), np.minimum.reduceat(x & np.uint64(0xFFFFFFFF), first))):
-            out[full, 2 * k + half] = least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
-    return out
-
-
-def with_long(texts: DataFrame, width: int) -> DataFrame:
-    """class, text, n (shingles) and long signature of texts (class, text)."""
+def with_brief(texts: DataFrame, width: int) -> DataFrame:
+    """class, text, n (shingles) and brief (the first 16 bits of each shingle's hash) of texts (class, text)."""
 
     def run(parts):
         for part in parts:
             n, out = [], []
             for _, some in groups(part.column(1), 200_000):
                 of, h = shingles(some, width)
-                n += np.bincount(of, minlength=len(some)).tolist()
-                out += [x.tobytes() for x in long_signatures(of, h, len(some))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["class", "text", "n", "long"])
+                counts = np.bincount(of, minlength=len(some))
+                brief, edges = (h >> np.uint64(48)).astype(np.uint16), np.cumsum(counts)
+                n += counts.tolist()
+                out += [brief[j - k : j].tobytes() if k <= MOST_BRIEF else b"" for k, j in zip(counts.tolist(), edges.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["class", "text", "n", "brief"])
 
-    return texts.mapInArrow(run, "class long, text string, n long, long binary")
+    return texts.mapInArrow(run, "class long, text string, n long, brief binary")
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that tell sets apart) and signature of every row."""
+    """doc_id, text_hash, n_shingles, set_a, set_b (128 bits that tell sets apart) and signature of every row."""
 
     def run(parts):
         for part in parts:
             counts, a, b, signature = [], [], [], []
-            for _, texts in groups(part.column(1), 200_000):
+            for _, texts in groups(part.column(2), 200_000):
                 of, h = shingles(texts, width)
                 n, edges = len(texts), np.searchsorted(of, np.arange(len(texts) + 1))
                 counts.append(np.diff(edges))
@@ -116,9 +106,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     out.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
                 signature += [s.tobytes() for s in signatures(of, h, n)]
             join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), join(counts), join(a), join(b), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), join(counts), join(a), join(b), pa.array(signature, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def patterns(symbols: int, distance: int, chunks: int) -> list[np.ndarray]:
@@ -160,7 +150,9 @@ def with_keys(classes: DataFrame, extra: list[str], distance: int, chunks: int)
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts' full sets have 100 * intersection >= percent * union; texts: class, text."""
     # the text of a, which may be in many pairs, joins last, beside texts of b that are there already
-    both = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    # (rows with texts are large, so Spark splits that join where one a has many)
+    with_b = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(parts):
         last, known = None, None
@@ -197,30 +189,24 @@ def limits(percent: int, chance: float = 1e-4) -> tuple[int, int]:
     return 2 * chunks - 1, chunks
 
 
-def long_distance(percent: int) -> int:
-    """Differing long symbols that a pair at percent exceeds with a chance of a few in a million."""
-    p = (1 - percent / 100) * 255 / 256
-    return int(LONG * p + 4.5 * (LONG * p * (1 - p)) ** 0.5) + 1
-
-
 def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int, chunks: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a key and may reach percent, each pair once.
 
-    classes: class, signature, n, long; labels: class, component. A pair passes if its signatures are within
-    distance, its sizes allow percent, and its long signatures are near enough. It is emitted at the first pattern
-    that both share. Members of a key are cut into blocks, and each pair of blocks is a group of at most about
-    2 * BLOCK members, so a long key is shared among tasks and no task holds it whole.
+    classes: class, signature, n, brief; labels: class, component. A pair passes if its signatures are within
+    distance and neither its sizes nor its briefs rule percent out, so no pair at percent is lost here. It is emitted
+    at the first pattern that both share. Members of a key are cut into blocks, and each pair of blocks is a group of
+    at most about 2 * BLOCK members, so a long key is shared among tasks and no task holds it whole.
     """
     labelled = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     keyed = with_keys(labelled, ["component"], distance, chunks)
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
+    mixed = mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     members = keyed.join(mixed, "key").join(classes, "class")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "pattern", "mine", "class", "component", "n", "signature", "long")
-    kept, most_long = patterns(SYMBOLS, distance, chunks), long_distance(percent)
-    masks = np.zeros((SYMBOLS, len(kept)), np.int16)
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "pattern", "mine", "class", "component", "n", "signature", "brief")
+    kept = patterns(SYMBOLS, distance, chunks)
+    masks = np.zeros((SYMBOLS, len(kept)), np.float32)
     for k, at in enumerate(kept):
         masks[at, k] = 1
     sizes = masks.sum(0)
@@ -229,7 +215,8 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
         pattern = rows[0][0]
         ids, component, mine, n = (np.array([r[k] for r in rows]) for k in (2, 3, 1, 4))
         symbols = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
-        long = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        briefs = [np.frombuffer(r[6], np.uint16) for r in rows]
+        has = np.zeros(1 << 16, bool)
         for x in range(len(rows) - 1):  # from the cheapest test to the dearest
             ok = (component[x + 1 :] != component[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
             ok &= one_block | (mine[x + 1 :] != mine[x])
@@ -237,12 +224,19 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
             same = symbols[at] == symbols[x]
             near = same.sum(1) >= SYMBOLS - distance
             at, same = at[near], same[near]
-            near = (long[at] != long[x]).sum(1) <= most_long
-            at, same = at[near], same[near]
-            if len(at):
-                first = (same.astype(np.int16) @ masks == sizes).argmax(1)
-                for y in ids[at[first == pattern]].tolist():
-                    yield min(int(ids[x]), y), max(int(ids[x]), y)
+            if len(at):  # once a pair, at the first pattern that both share
+                at = at[(same.astype(np.float32) @ masks == sizes).argmax(1) == pattern]
+            if len(at) and len(briefs[x]):
+                some = [briefs[y] for y in at.tolist()]
+                lengths = np.array([len(b) for b in some])
+                has[briefs[x]] = True
+                hits = np.concatenate([[0], np.cumsum(has[np.concatenate(some)])])
+                has[briefs[x]] = False
+                ends = np.cumsum(lengths)
+                shared = np.where(lengths > 0, np.minimum(hits[ends] - hits[ends - lengths], n[x]), n[x])
+                at = at[100 * shared >= percent * (n[x] + n[at] - shared)]
+            for y in ids[at].tolist():
+                yield min(int(ids[x]), y), max(int(ids[x]), y)
 
     def run(parts):
         def flush():
@@ -269,40 +263,54 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance: int | None = None, chunks: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row of docs (doc_id, text).
-
-    Null texts and texts without words have an empty set and link with nothing. Documents with fewer words than
-    width have their whole sequence as one shingle. Rows that repeat a doc_id come out once each, with the same
-    component. Rows with a null doc_id link with nothing and are kept, with a null component. An empty table gives
-    no rows. distance and chunks are those of limits(percent) unless given.
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id), text_hash and stays of every row of docs (doc_id, text).
+
+    stays marks one (doc_id, text) of each component, that with the smallest doc_id; xxhash64 of the text, text_hash,
+    tells texts of one doc_id apart. Null texts and texts without words have an empty set and link with nothing.
+    Documents with fewer words than width have their whole sequence as one shingle; texts of any length are read
+    whole. Rows that repeat a doc_id come out each: with the same text in the same component, with different texts
+    each in that of its own text. Rows with a null doc_id link with nothing, are kept and stay, with a null component.
+    Of equal doc_ids in a component (ties) the one whose set and text hash are smallest stays. Columns other than
+    doc_id and text are not read, whatever their names. An empty table gives no rows. distance and chunks are those of
+    limits(percent) unless given.
     """
     if distance is None or chunks is None:
         distance, chunks = (derived if given is None else given for given, derived in zip((distance, chunks), limits(percent)))
     rows = staged(sketch(docs, width), "sketches")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-    classes = staged(classes.select(F.col("n_shingles").alias("n"), F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("first.doc_id").alias("class"), F.col("first.signature").alias("signature")), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text")
+    links_with_others = "n_shingles > 0 and doc_id is not null"
+    sets = ["n_shingles", "set_a", "set_b"]
+    classes = rows.where(links_with_others).groupBy(*sets).agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("first"))
+    # a class is numbered where it is written, so the number is the same for all that read it
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("class"), *sets, "first.*"), "classes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     keyed = with_keys(classes.select("class", "signature"), [], distance, chunks)
     smallest = keyed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("key", "a")
     stars = staged(keyed.join(smallest, "key").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "stars")
-    ends = staged(stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "class"), "ends")
-    # one text an end, whatever rows repeat its id
-    wanted = staged(with_long(texts.join(ends, "class").groupBy("class").agg(F.min("text").alias("text")), width), "texts")
+    ends = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "class")
+    ends = staged(ends.join(classes, "class").select("class", "doc_id", "text_hash"), "ends")
+    # ends grow with the documents, so they are merged, not broadcast
+    wanted = staged(with_brief(texts.join(ends.hint("merge"), ["doc_id", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")), width), "texts")
     links = staged(confirm(stars, wanted, width, percent), "confirmed")
     labels = staged(components(links).withColumnRenamed("node", "class"), "labels")
-    near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "long"), "class"), "near")
+    near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "brief"), "class"), "near")
     more = staged(unsettled(near, labels, percent, distance, chunks).join(stars, ["a", "b"], "left_anti"), "unsettled")
-    final = components(links.unionAll(confirm(more, wanted, width, percent)))
 
-    of = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("n", "a", "b", F.coalesce("component", "class").alias("component_id"))
-    out = rows.join(of, (F.col("n_shingles") == F.col("n")) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked = components(links.unionAll(confirm(more, wanted, width, percent))).withColumnRenamed("node", "class")
+    linked = staged(linked.join(classes.select("class", *sets, "doc_id"), "class"), "linked")
+    least = linked.groupBy("component").agg(F.min(F.struct("doc_id", *sets)).alias("least"), F.count("*").alias("members"))
+    named = spread_join(linked, least, ["component"], "members", ["class"]).select("class", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", *sets) == F.col("least")).alias("is_least"))
+    of = classes.select("class", *sets, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).join(named, "class", "left")
+    of = of.select(*sets, F.coalesce("component_id", "first_id").alias("component_id"), F.when(F.coalesce("is_least", F.lit(True)), F.col("first_text")).alias("staying"))
+    columns = ["doc_id", "n_shingles", "component_id", "kept", "text_hash", "stays"]
+    out = rows.where(links_with_others).join(of, sets).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("stays", F.col("kept") & F.coalesce(F.col("text_hash") == F.col("staying"), F.lit(False)))
+    alone = rows.where(f"not ({links_with_others})").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True), "stays": F.lit(True)})
+    return out.select(*columns).unionByName(alone.select(*columns))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op10_minhash_dedup": op10_minhash_dedup}
