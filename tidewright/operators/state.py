@@ -9,6 +9,7 @@ from ..plans.dag import WHOLE
 from ..plans.shared import staged
 from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, load, workflows
 from .kv import _REPLAY, _versioned, latest, since_delete
+from .metrics import ORACLES as METRICS
 from .metrics import breaker, token_bucket, _calls, _requests, _RATE, _BURST
 from .queue import _ITEMS, _items, size
 
@@ -142,8 +143,8 @@ QUERIES = {
     "ob_span_durations": lambda s, d: span_durations(_spans(s, d)),
     "ag_tracing": lambda s, d: tracing_metrics(_spans(s, d)),
     "ob_health": lambda s, d: health(workflows(s, d), _items(s, d), "node-1"),
-    "cb_metrics": lambda s, d: breaker_metrics(breaker(_calls(s, d), 2, 1, 600_000_000)).select("key", "total", (F.col("allowed_n") + F.col("rejected_n")).alias("counted")),
-    "rl_global": lambda s, d: token_bucket(_requests(s, d), _RATE, _BURST).agg(F.count("*").alias("total"), F.count_distinct("key").alias("keys")),
+    "cb_metrics": lambda s, d: breaker_metrics(breaker(_calls(s, d), 2, 1, 600_000_000)),
+    "rl_global": lambda s, d: token_bucket(_requests(s, d), _RATE, _BURST).agg(F.count("*").alias("total"), F.count_if("allowed").alias("allowed_n"), F.count_if(~F.col("allowed")).alias("denied_n"), F.count_distinct("key").alias("keys")),
 }
 ORACLES = {
     "kv_snapshot": f"WITH {SQL_COMMANDS} SELECT key, arg_max(value, log_index) AS value, count(*) AS version, max(log_index) AS log_index FROM c WHERE log_index <= (SELECT max(event_id) // 2 FROM events) GROUP BY key",
@@ -157,6 +158,6 @@ ORACLES = {
     "ob_span_durations": f"WITH {_SPANS} SELECT span_id, end_us - start_us AS duration_us FROM s",
     "ag_tracing": f"WITH {_SPANS} SELECT count(*) AS created, count(end_us) AS finished, count(*) - count(end_us) AS active FROM s",
     "ob_health": f"WITH {_ITEMS}, {SQL_WORKFLOWS} SELECT (SELECT count(*) FROM w WHERE status = 'running') AS running, (SELECT count(*) FROM i WHERE tier IN ('ready', 'blocked')) AS queue_size, true AS has_leader, 'healthy' AS status",
-    "cb_metrics": "SELECT CAST(user_id % 10 AS VARCHAR) AS key, count(*) AS total, count(*) AS counted FROM events GROUP BY 1",
-    "rl_global": "SELECT count(*) AS total, count(DISTINCT user_id) AS keys FROM events",
+    "cb_metrics": f"SELECT key, arg_max(state, log_index) AS state, count(*) AS total, count(*) FILTER (allowed) AS allowed_n, count(*) FILTER (NOT allowed) AS rejected_n FROM ({METRICS['cb_states']}) GROUP BY key",
+    "rl_global": f"SELECT count(*) AS total, count(*) FILTER (allowed) AS allowed_n, count(*) FILTER (NOT allowed) AS denied_n, count(DISTINCT key) AS keys FROM ({METRICS['rl_token_bucket']})",
 }
