@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fold import ordered_fold
+from ..plans.ranks import global_rank
 from ..sources.tables import SQL_COMMANDS, SQL_EXECUTIONS, SQL_WORKFLOWS, commands, executions, load, workflows
 
 FRESH_US, WINDOW = 30_000_000, 100
@@ -46,8 +47,8 @@ def ewma(log: DataFrame, key: str, order: str, value: str, keep: float = 0.8) ->
 def placement(loads: DataFrame, now_us: int, self_id: int) -> DataFrame:
     """Fresh nodes (and this one) by truncated weight, pressure and id; rank 1 runs the work."""
     fresh = loads.where((F.col("updated_us") >= now_us - FRESH_US) | (F.col("node_id") == self_id))
-    rank = F.row_number().over(Window.orderBy(F.col("weight").cast("long"), "pressure", "node_id"))  # one row a node
-    return fresh.withColumn("rank", rank)
+    ranked = global_rank(fresh.withColumn("_whole", F.col("weight").cast("long")), ["_whole", "pressure", "node_id"], "rank", 1)
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_whole")
 
 
 def active(loads: DataFrame, members: DataFrame) -> DataFrame:
@@ -213,7 +214,7 @@ def _requests(s, d):
 
 
 def _calls(s, d):
-    return commands(s, d).select((F.col("user_id") % 10).cast("string").alias("key"), "log_index", "ts_us", (F.col("value") < 40).alias("ok"))
+    return commands(s, d).select(F.col("user_id").cast("string").alias("key"), "log_index", "ts_us", (F.col("value") < 40).alias("ok"))
 
 
 _RATE, _BURST = 1 / 4096, 3  # a power of two, so both engines round alike
@@ -288,7 +289,7 @@ SELECT key, log_index, round(v, 4) AS ewma FROM f""",
     "ob_prometheus_long": f"WITH {SQL_WORKFLOWS} SELECT status, 'workflows' AS metric, count(*) AS value FROM w GROUP BY 1 UNION ALL SELECT status, 'priorities', CAST(sum(priority) AS BIGINT) FROM w GROUP BY 1",
     "rl_token_bucket": f"{_BUCKET} SELECT key, log_index, allowed FROM f",
     "rl_metrics": f"{_BUCKET} SELECT key, count(*) AS total, count(*) FILTER (allowed) AS allowed_n, count(*) FILTER (NOT allowed) AS denied_n FROM f GROUP BY key",
-    "cb_states": f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id % 10 AS VARCHAR) AS key, log_index, ts_us, value < 40 AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY log_index) AS k FROM c),
+    "cb_states": f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id AS VARCHAR) AS key, log_index, ts_us, value < 40 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY log_index) AS k FROM c),
 f AS (SELECT key, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS log_index, true AS allowed, 'closed' AS state, 0 AS bad, CAST(0 AS BIGINT) AS retry FROM (SELECT DISTINCT key FROM l)
 UNION ALL SELECT key, k, log_index, was <> 'open', CASE WHEN was = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN was = 'half-open' OR bad + 1 >= 2 THEN 'open' ELSE 'closed' END,
   CASE WHEN was = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN was <> 'open' AND NOT ok AND (was = 'half-open' OR bad + 1 >= 2) THEN ts_us + 600000000 ELSE retry END

@@ -180,16 +180,16 @@ _ITEMS = """i AS (SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partke
 def _lease_log(spark, sf):
     c = commands(spark, sf)
     op = F.when(F.col("kind").isin("started", "node_started"), "acquire").when(F.col("kind") == "node_completed", "renew").when(F.col("kind") == "completed", "release").otherwise("force_release")
-    return c.select((F.col("user_id") % 20).cast("string").alias("key"), "log_index", op.alias("op"), F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("owner"), "ts_us", F.lit(3_600_000_000).alias("ttl_us"))
+    return c.select(F.col("user_id").cast("string").alias("key"), "log_index", op.alias("op"), F.concat(F.lit("n"), (F.col("log_index") % 3).cast("string")).alias("owner"), "ts_us", F.lit(3_600_000_000).alias("ttl_us"))
 
 
 def _claimed_leases(spark, sf):
     return _items(spark, sf).where("tier = 'claimed' and sequence % 2 = 0").select("claim_id", (F.col("claimed_at_us") + CLAIM_TTL_US).alias("expires_us")).groupBy("claim_id").agg(F.max("expires_us").alias("expires_us"))
 
 
-_LEASE_FOLD = f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id % 20 AS VARCHAR) AS key, log_index, ts_us, 'n' || (user_id % 3) AS owner,
+_LEASE_FOLD = f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id AS VARCHAR) AS key, log_index, ts_us, 'n' || (log_index % 3) AS owner,
   CASE WHEN kind IN ('started', 'node_started') THEN 'acquire' WHEN kind = 'node_completed' THEN 'renew' WHEN kind = 'completed' THEN 'release' ELSE 'force_release' END AS op,
-  row_number() OVER (PARTITION BY user_id % 20 ORDER BY log_index) AS n FROM c),
+  row_number() OVER (PARTITION BY user_id ORDER BY log_index) AS n FROM c),
 f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS log_index, true AS ok, CAST(NULL AS VARCHAR) AS holder, CAST(0 AS BIGINT) AS generation, CAST(NULL AS BIGINT) AS expires_us FROM (SELECT DISTINCT key FROM l)
 UNION ALL SELECT key, n, log_index, ok,
   CASE WHEN NOT ok THEN holder WHEN op = 'acquire' THEN owner WHEN op = 'renew' THEN holder ELSE NULL END,
