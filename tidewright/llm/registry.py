@@ -16,6 +16,7 @@ MODULES = [
     "tidewright.llm.mixing",
     "tidewright.llm.minhash_dedup",
     "tidewright.llm.importance",
+    "tidewright.llm.license_scan",
 ]
 
 
