@@ -15,6 +15,7 @@ MODULES = [
     "tidewright.llm.token_shards",
     "tidewright.llm.mixing",
     "tidewright.llm.minhash_dedup",
+    "tidewright.llm.lexical_search",
     "tidewright.llm.importance",
     "tidewright.llm.license_scan",
 ]
