@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fold import ordered_fold
+from ..plans.prefix import AT, PART, ordered, prefixes, running, trailing
 from ..plans.ranks import global_rank
 from ..sources.tables import SQL_COMMANDS, SQL_EXECUTIONS, SQL_WORKFLOWS, commands, executions, load, workflows
 
@@ -28,20 +29,64 @@ def cluster_metrics(w: DataFrame) -> DataFrame:
 
 
 def rolling_error_rate(log: DataFrame, key: str, order: str, failed: Column, window: int = WINDOW) -> DataFrame:
-    """Failures among the last outcomes of the key, this one included."""
-    last = Window.partitionBy(key).orderBy(order).rowsBetween(1 - window, 0)
-    return log.withColumn("rate", F.avg(failed.cast("int")).over(last))
+    """log with rate, the share of failures among the last outcomes of the key, this one included; order is unique in a key.
+
+    A key's log is cut into stretches that share their last rows with the next one, so a busy key is many tasks.
+    """
+    rate = lambda over: F.avg(F.col("_failed")).over(over)
+    return trailing(log.withColumn("_failed", failed.cast("int")), [key], [order], window, {"rate": rate}).drop("_failed")
+
+
+def _then(f: Column, g: Column) -> Column:
+    """Two smoothing steps in one: x -> a * x + b for a key that has a value, r for one that has none yet; without any value, nothing."""
+    both = F.struct(F.lit(True).alias("has"), (f["a"] * g["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), (g["a"] * f["r"] + g["b"]).alias("r"))
+    return F.when(~f["has"], g).when(~g["has"], f).otherwise(both)
 
 
 def ewma(log: DataFrame, key: str, order: str, value: str, keep: float = 0.8) -> DataFrame:
-    """keep * old + (1 - keep) * new over positive values in order; the first value starts it. Others repeat it."""
+    """key, order and ewma: keep * old + (1 - keep) * new over positive values in order; the first value starts it.
 
-    def step(state: dict, row: dict) -> dict:
-        if row[value] is not None and row[value] > 0:
-            state["v"] = row[value] if state["v"] == 0 else keep * state["v"] + (1 - keep) * row[value]
-        return {order: row[order], "ewma": state["v"]}
+    Others repeat it, and before any it is 0. A row is an affine map of the value before; maps compose, so a key of any
+    length is a parallel scan of native expressions. order is unique in a key.
+    """
+    x = F.col(value)
+    step = F.struct(F.coalesce(x > 0, F.lit(False)).alias("has"), F.lit(keep).alias("a"), (F.lit(1 - keep) * x).alias("b"), x.cast("double").alias("r"))
+    none = F.struct(F.lit(False).alias("has"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("r"))
+    rows = prefixes(log.select(key, order, value).withColumn("_own", step), [key], [order], F.col("_own"), none, _then, "_earlier")
+    return rows.select(key, order, _then(F.col("_earlier"), F.col("_own"))["r"].alias("_r"), (F.col("_earlier.has") | F.col("_own.has")).alias("_any")).select(key, order, F.when(F.col("_any"), F.col("_r")).otherwise(0.0).alias("ewma"))
 
-    return ordered_fold(log.select(key, order, value), key, [order], lambda: {"v": 0.0}, step, f"{order} long, ewma double")
+
+def node_loads(events: DataFrame) -> DataFrame:
+    """node_id, log_index, units, latency_ms and error_rate after each lifecycle event (node_id, workflow_id, log_index, kind, duration_ms).
+
+    kind is started, completed or failed. A node has a unit for each workflow that has started there and neither
+    completed nor failed since: a start beside a running unit and an end without one change nothing. So an event moves
+    the load by +1, 0 or -1 from what its workflow was on that node, and units are a sweep over those points. latency_ms
+    is the smoothed duration of completed runs above 0, error_rate the share of failures among the last WINDOW ends.
+    All three are shared among tasks by time, so one busy node is not one task. log_index is unique in a node.
+    """
+    is_on = (F.col("kind") == "started").cast("int")
+    of_workflow = Window.partitionBy("node_id", "workflow_id").orderBy("log_index")
+    points = events.withColumn("_moved", is_on - F.coalesce(F.lag(is_on).over(of_workflow), F.lit(0)))
+    units = running(points, ["node_id"], ["log_index"], {"units": F.col("_moved")}).select("node_id", "log_index", "units")
+    took = F.when(F.col("kind") == "completed", F.col("duration_ms"))
+    smoothed = ewma(events.select("node_id", "log_index", took.cast("double").alias("took")), "node_id", "log_index", "took").withColumnRenamed("ewma", "latency_ms")
+    ends = rolling_error_rate(events.where("kind <> 'started'").select("node_id", "log_index", "kind"), "node_id", "log_index", F.col("kind") == "failed")
+    ends = ends.select("node_id", "log_index", "rate")
+    # the rate of a start is that of the last end before it
+    placed = ordered(events.select("node_id", "log_index").join(ends, ["node_id", "log_index"], "left"), ["node_id"], ["log_index"])
+    within = Window.partitionBy("node_id", PART).orderBy(AT)
+    last = placed.groupBy("node_id", PART).agg(F.max_by("rate", F.when(F.col("rate").isNotNull(), F.col(AT))).alias("_last"))
+    carry = last.select("node_id", PART, F.last("_last", True).over(Window.partitionBy("node_id").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)).alias("_rate")).where("_rate is not null")
+    rates = placed.withColumn("rate", F.last("rate", True).over(within)).join(F.broadcast(carry), ["node_id", PART], "left")  # at most a row a range
+    rates = rates.select("node_id", "log_index", F.coalesce("rate", "_rate", F.lit(0.0)).alias("error_rate"))
+    return units.join(smoothed, ["node_id", "log_index"]).join(rates, ["node_id", "log_index"])
+
+
+def current_loads(loads: DataFrame) -> DataFrame:
+    """The last load of each node, as placement takes it: node_id, units, weight (the units), latency_ms, error_rate."""
+    last = loads.groupBy("node_id").agg(F.max_by(F.struct("units", "latency_ms", "error_rate"), "log_index").alias("l"))
+    return last.select("node_id", "l.*", F.col("l.units").cast("double").alias("weight"))
 
 
 def placement(loads: DataFrame, now_us: int, self_id: int) -> DataFrame:
@@ -226,6 +271,20 @@ def _node_events(s, d):
     return commands(s, d).select("log_index", key.alias("key"))
 
 
+def _lifecycle(s, d):
+    """Runs of 97 nodes: node_started and started begin one, completions end it, errors fail it."""
+    kind = F.when(F.col("kind").isin("started", "node_started"), "started").when(F.col("kind") == "node_error", "failed").otherwise("completed")
+    return commands(s, d).select((F.col("user_id") % 97).alias("node_id"), F.col("user_id").alias("workflow_id"), "log_index", kind.alias("kind"), F.col("value").alias("duration_ms"))
+
+
+_LOAD = f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT user_id % 97 AS node_id, user_id AS workflow_id, log_index, value, CASE WHEN kind IN ('started', 'node_started') THEN 1 ELSE 0 END AS is_on,
+  CASE WHEN kind IN ('node_completed', 'completed') AND value > 0 THEN value END AS took, CASE WHEN kind = 'node_error' THEN 1.0 WHEN kind IN ('node_completed', 'completed') THEN 0.0 END AS bad FROM c),
+p AS (SELECT *, is_on - coalesce(lag(is_on) OVER (PARTITION BY node_id, workflow_id ORDER BY log_index), 0) AS moved, count(bad) OVER (PARTITION BY node_id ORDER BY log_index) AS ends, row_number() OVER (PARTITION BY node_id ORDER BY log_index) AS k FROM l),
+e AS (SELECT node_id, ends, avg(bad) OVER (PARTITION BY node_id ORDER BY log_index ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS rate FROM p WHERE bad IS NOT NULL),
+u AS (SELECT p.*, CAST(sum(moved) OVER (PARTITION BY node_id ORDER BY log_index) AS BIGINT) AS units FROM p),
+f AS (SELECT node_id, k, coalesce(took, 0.0)::DOUBLE AS v FROM p WHERE k = 1 UNION ALL SELECT p.node_id, p.k, CASE WHEN took IS NULL THEN f.v WHEN f.v = 0 THEN took ELSE 0.8::DOUBLE * f.v + 0.2::DOUBLE * took END FROM f JOIN p ON p.node_id = f.node_id AND p.k = f.k + 1)"""
+
+
 def _node_loads(s, d):
     return _loads(s, d).select("node_id", F.when(F.col("node_id") % 3 == 0, 0).otherwise(F.col("node_id") % 4).cast("long").alias("units"), "weight", (F.col("node_id") % 50).alias("latency_ms"), F.col("pressure").alias("error_rate"), F.when(F.col("node_id") % 5 > 0, F.col("updated_us")).otherwise(0).alias("updated_us"))
 
@@ -239,6 +298,8 @@ QUERIES = {
     "ag_cluster": lambda s, d: cluster_metrics(workflows(s, d)),
     "ag_error_rate_100": lambda s, d: rolling_error_rate(_status_log(s, d), "key", "log_index", F.col("status") == "node_error").select("key", "log_index", F.round("rate", 6).alias("rate")),
     "ag_ewma": lambda s, d: ewma(commands(s, d).select("key", "log_index", "value"), "key", "log_index", "value").select("key", "log_index", F.round("ewma", 4).alias("ewma")),
+    "lb_node_load": lambda s, d: node_loads(_lifecycle(s, d)).select("node_id", "log_index", "units", F.round("latency_ms", 4).alias("latency_ms"), F.round("error_rate", 6).alias("error_rate")),
+    "lb_current_load": lambda s, d: current_loads(node_loads(_lifecycle(s, d))).select("node_id", "units", "weight"),
     "lb_winner": lambda s, d: winner(_loads(s, d), NOW_US, 3).select("node_id"),
     "lb_rank": lambda s, d: placement(_loads(s, d), NOW_US, 3).select("node_id", "rank"),
     "lb_fresh_peers": lambda s, d: _loads(s, d).where(F.col("updated_us") >= NOW_US - FRESH_US).select("node_id", "updated_us"),
@@ -273,6 +334,8 @@ SELECT node_id, CAST(CASE WHEN units = 0 AND weight > 0 THEN floor(weight + 0.5)
     "ag_ewma": f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT key, log_index, value, row_number() OVER (PARTITION BY key ORDER BY log_index) AS k FROM c),
 f AS (SELECT key, log_index, k, CASE WHEN value > 0 THEN value ELSE 0.0::DOUBLE END AS v FROM l WHERE k = 1 UNION ALL SELECT l.key, l.log_index, l.k, CASE WHEN NOT l.value > 0 THEN f.v WHEN f.v = 0 THEN l.value ELSE 0.8::DOUBLE * f.v + 0.2::DOUBLE * l.value END FROM f JOIN l ON l.key = f.key AND l.k = f.k + 1)
 SELECT key, log_index, round(v, 4) AS ewma FROM f""",
+    "lb_node_load": f"{_LOAD} SELECT node_id, log_index, units, round(v, 4) AS latency_ms, coalesce(round(rate, 6), 0.0)::DOUBLE AS error_rate FROM u JOIN f USING (node_id, k) LEFT JOIN e USING (node_id, ends)",
+    "lb_current_load": f"{_LOAD} SELECT node_id, arg_max(units, log_index) AS units, CAST(arg_max(units, log_index) AS DOUBLE) AS weight FROM u GROUP BY node_id",
     "lb_winner": f"WITH {_LOADS} SELECT node_id FROM n WHERE updated_us >= {NOW_US - FRESH_US} OR node_id = 3 ORDER BY trunc(weight), pressure, node_id LIMIT 1",
     "lb_rank": f"WITH {_LOADS} SELECT node_id, CAST(row_number() OVER (ORDER BY trunc(weight), pressure, node_id) AS INT) AS rank FROM n WHERE updated_us >= {NOW_US - FRESH_US} OR node_id = 3",
     "lb_fresh_peers": f"WITH {_LOADS} SELECT node_id, updated_us FROM n WHERE updated_us >= {NOW_US - FRESH_US}",

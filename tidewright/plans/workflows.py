@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, workflows
 from ..operators.queue import _ITEMS, _items
-from .fold import ordered_fold
+from .prefix import prefixes
 
 
 def process_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,26 +36,27 @@ def executed_nodes(items: DataFrame) -> DataFrame:
     return items.groupBy("workflow_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("node_name"))).alias("nodes"))
 
 
-def _transition(state: dict, row: dict) -> dict:
-    op, was, ok = row["op"], state["status"], True
-    if op == "start":
-        state["status"] = "running"
-    elif op == "pause":
-        ok = was == "running"
-        state["status"] = "paused" if ok else was
-    elif op == "resume":
-        ok = was == "paused"
-        state["status"] = "running" if ok else was
-    elif op == "stop":
-        state["status"] = "failed"
-    elif op == "complete":
-        state["status"] = "completed"
-    return {"log_index": row["log_index"], "ok": ok, "status": state["status"]}
+# The states of a workflow (none before its first transition), and where each operation leads from each.
+STATES = (None, "running", "paused", "failed", "completed")
+MOVES = {"start": (1, 1, 1, 1, 1), "pause": (0, 2, 2, 3, 4), "resume": (0, 1, 1, 3, 4), "stop": (3, 3, 3, 3, 3), "complete": (4, 4, 4, 4, 4)}
 
 
 def transitions(log: DataFrame) -> DataFrame:
-    """The outcome of every transition (workflow_id, log_index, op): pause needs running, resume paused, the others always hold."""
-    return ordered_fold(log.select("workflow_id", "log_index", "op"), "workflow_id", ["log_index"], lambda: {"status": None}, _transition, "log_index long, ok boolean, status string")
+    """workflow_id, log_index, ok and status after every transition (workflow_id, log_index, op).
+
+    pause needs running, resume paused, the others always hold; what does not hold, and an unknown op, changes nothing.
+    A transition is a map over the five states, and maps compose, so the log of one workflow is shared among tasks.
+    log_index is unique in a workflow.
+    """
+    to = lambda m: F.array(*(F.lit(x) for x in m))
+    same = to(range(len(STATES)))
+    step = F.coalesce(F.create_map(*(x for op, m in MOVES.items() for x in (F.lit(op), to(m))))[F.col("op")], same)
+    then = lambda f, g: F.transform(f, lambda x: F.element_at(g, x + 1))
+    rows = prefixes(log.select("workflow_id", "log_index", "op"), ["workflow_id"], ["log_index"], step, same, then, "_earlier")
+    was = F.element_at("_earlier", 1)
+    now = F.element_at(F.array(*(F.lit(x) for x in STATES)), F.element_at(step, was + 1) + 1)
+    ok = F.when(F.col("op") == "pause", was == STATES.index("running")).when(F.col("op") == "resume", was == STATES.index("paused")).otherwise(F.col("op").isin(*MOVES))
+    return rows.select("workflow_id", "log_index", F.coalesce(ok, F.lit(False)).alias("ok"), now.alias("status"))
 
 
 def retry_route(items: DataFrame, most: int = 3) -> DataFrame:
