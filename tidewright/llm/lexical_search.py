@@ -29,7 +29,6 @@ from ._bytes import Terms, slices, utf8
 from ._shared import partitions, shared_dir, staged, table
 
 K, SHARD_BYTES, SHARD_DOCS, BLOCK_ROWS, STEP_ENTRIES = 10, 8 << 20, 65_535, 200_000, 200_000
-LEAF = 16  # postings a term up to which a stretch is not split any more
 NONE = 0xFFFF  # no child; a shard has fewer documents, so no posting has this place
 POSTINGS = "shard long, slot long, term string, df int, root int, docs binary, impacts binary, left binary, right binary"
 
@@ -259,20 +258,6 @@ class Best:
         return (bound > 0) & ((bound > last) | (bound == last) & earlier)
 
 
-def _score_all(shard: Shard, query: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, best: Best) -> int:
-    """Adds every document of the postings [a, b) of entries to best. Returns how many there are."""
-    n = b - a
-    entry = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + a[entry]
-    those, row = np.unique(query, return_inverse=True)
-    total = np.zeros(len(those) * len(shard.ids), np.int64)
-    np.add.at(total, row[entry] * len(shard.ids) + shard.docs[at], weight[entry] * shard.impact[at])
-    found = np.flatnonzero(total)
-    row, doc = np.divmod(found, len(shard.ids))
-    best.add(those[row], total[found], shard.ids[doc], shard.nameless[doc])
-    return len(found)
-
-
 def search_shard(shard: Shard, query: np.ndarray, term: np.ndarray, weight: np.ndarray, best: Best) -> int:
     """Adds the shard's documents that enter to best; query, term, weight: entries by query. Returns how many it scored."""
     first = np.flatnonzero(np.diff(query, prepend=-1))
@@ -290,14 +275,6 @@ def search_shard(shard: Shard, query: np.ndarray, term: np.ndarray, weight: np.n
         ok = best.passes(q, np.add.reduceat(part, start), shard.ids[low], shard.nameless[low])
         if not ok.any():
             continue
-        # a short stretch is scored as a whole
-        short = ok & (np.add.reduceat(b - a, start) <= LEAF * size)
-        if short.any():
-            keep = np.repeat(short, size)
-            scored += _score_all(shard, np.repeat(q[short], size[short]), weight[keep], a[keep], b[keep], best)
-            ok &= ~short
-            if not ok.any():
-                continue
         keep = np.repeat(ok, size)
         q, low, size = q[ok], low[ok], size[ok]
         term, weight, node, a, b, part = (x[keep] for x in (term, weight, node, a, b, part))
@@ -311,13 +288,14 @@ def search_shard(shard: Shard, query: np.ndarray, term: np.ndarray, weight: np.n
         score = np.add.reduceat(np.where(there, weight * shard.impact[np.minimum(p, len(shard.impact) - 1)], 0), start)
         scored += len(q)
         best.add(q, score, shard.ids[doc], shard.nameless[doc])
+        halves = []
         for begin, end, at in ((a, p, low), (p + there, b, doc + 1)):
             some = begin < end
-            if some.any():
-                left = np.bincount(of[some], minlength=len(q))
-                has = left > 0
-                x, y = begin[some], end[some]
-                pending.append((q[has], at[has], left[has], term[some], weight[some], shard.within(node[some], x, y), x, y))
+            left = np.bincount(of[some], minlength=len(q))
+            has, x, y = left > 0, begin[some], end[some]
+            halves.append((q[has], at[has], left[has], term[some], weight[some], shard.within(node[some], x, y), x, y))
+        if any(len(x[0]) for x in halves):
+            pending.append(tuple(map(np.concatenate, zip(*halves))))
     return scored
 
 
