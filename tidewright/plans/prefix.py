@@ -86,7 +86,7 @@ def _scanned(rows: DataFrame, key: Sequence[str], unit: Column, compose: Callabl
     """rows (key, _at from 0, _step, ...) with _before, the composition of the steps before _at."""
     whole = F.struct(*(c for c in rows.columns if c not in key and c not in (AT, "_step")), F.lit(True).alias("_is"))
     block = F.floor(F.col(AT) / size)
-    items = F.array_sort(F.collect_list(F.struct(AT, "_step", whole.alias("_row"))))  # size rows at the most
+    items = sorted_by(AT, F.collect_list(F.struct(AT, "_step", whole.alias("_row"))))  # size rows at the most
     blocks = rows.groupBy(*key, block.alias("_block")).agg(items.alias("_items"))
     kind = rows.schema["_step"].dataType
     start = F.struct(unit.cast(kind).alias("all"), F.array().cast(f"array<{kind.simpleString()}>").alias("each"))
@@ -103,6 +103,11 @@ def _scanned(rows: DataFrame, key: Sequence[str], unit: Column, compose: Callabl
     return each.select(*key, F.col(f"_x._items.{AT}").alias(AT), F.col("_x._items._step").alias("_step"), *(F.col(f"_x._items._row.`{c}`").alias(c) for c in rows.columns if c not in key and c not in (AT, "_step")), compose(F.col("_ahead"), F.col("_x.each")).alias("_before"))
 
 
+def sorted_by(field: str, items: Column) -> Column:
+    """An array of structs by one of their fields; the others may be of types without an order, as maps are."""
+    return F.array_sort(items, lambda x, y: F.when(x[field] < y[field], -1).when(x[field] > y[field], 1).otherwise(0))
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -11,6 +11,7 @@ MODULES = [
     "tidewright.operators.metrics",
     "tidewright.operators.state",
     "tidewright.operators.history",
+    "tidewright.operators.chains",
     "tidewright.functions.scalars",
     "tidewright.plans.dag",
     "tidewright.plans.documents",
