@@ -12,6 +12,7 @@ MODULES = [
     "tidewright.operators.state",
     "tidewright.operators.history",
     "tidewright.operators.chains",
+    "tidewright.operators.deadlines",
     "tidewright.functions.scalars",
     "tidewright.plans.dag",
     "tidewright.plans.documents",
