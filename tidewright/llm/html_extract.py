@@ -15,7 +15,7 @@ Elements deeper than DEEPEST become siblings of the deepest ones, as in browsers
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from ._shared import table
 from ._words import groups
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img picture source object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label button map img picture source object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe canvas audio video select textarea button option map".split())
+DROPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe canvas audio video select textarea option".split())
 #: An opening tag of the key closes open elements of the value, up to the nearest of the scope.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
@@ -84,26 +84,62 @@ class Node:
     children: int = 0
 
 
+class Stack:
+    """Open elements, and where the last one of each name and the last block element stand."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.solid: list[int] = []
+
+    def push(self, name: str) -> None:
+        self.at[name].append(len(self.names))
+        if name not in INLINE:
+            self.solid.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, k: int) -> None:
+        for name in self.names[k:]:
+            self.at[name].pop()
+        while self.solid and self.solid[-1] >= k:
+            self.solid.pop()
+        del self.names[k:]
+
+    def last(self, *names: str) -> int:
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
+
+    def ended(self, tag: str, ends: tuple[str, ...], bounded: bool) -> int:
+        """Where the start tag ends an open element of ``ends``, or -1: up to its scope if it is bounded, else only the nearest block."""
+        if bounded:
+            k = self.last(*ends)
+            return k if k > self.last(*SCOPE.get(tag, ())) else -1
+        k = self.solid[-1] if self.solid else -1
+        return k if k >= 0 and self.names[k] in ends else -1
+
+    def reaches(self, tag: str) -> int:
+        """Where the element stands that an end tag ends, or -1; an inline one does not reach past a block."""
+        k = self.last(tag)
+        return -1 if tag in INLINE and self.solid and self.solid[-1] > k else k
+
+
 class Page(HTMLParser):
-    """Nodes of a page and its blocks: (node, text) in page order."""
+    """Nodes of a page and its blocks: (node, text) in page order. A block of nothing but buttons is none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.blocks: list[tuple[int, str]] = []
-        self.open: list[tuple[str, int]] = []  # element and its node; inline elements keep the node around them
-        self.tags: Counter[str] = Counter()  # how often each is open, so that a stray end tag costs nothing
-        self.held, self.links = [], 0
-        self.skipped: list[str] = []  # what is open within an element that is left out, that one first
-        self.skipped_tags: Counter[str] = Counter()
+        self.open, self.node_of = Stack(), []  # inline elements keep the node around them
+        self.held, self.plain, self.links, self.buttons = [], False, 0, 0
+        self.skipped = Stack()  # what is open within an element that is left out, that one first
         self._enter("html", (), False)
 
     def _push(self, element: str, node: int) -> None:
-        self.open.append((element, node))
-        self.tags[element] += 1
+        self.open.push(element)
+        self.node_of.append(node)
 
     def _enter(self, element: str, names: tuple[int, ...], inline: bool) -> None:
-        parent = self.open[-1][1] if self.open else -1
+        parent = self.node_of[-1] if self.node_of else -1
         if parent >= 0 and self.nodes[parent].depth >= DEEPEST:
             parent = self.nodes[parent].parent
         if parent >= 0:
@@ -114,28 +150,28 @@ class Page(HTMLParser):
     def _break(self) -> None:
         """The text so far is a block of the node that is open."""
         if self.held:
-            text = _GAPS.sub(" ", "".join(self.held)).strip()
+            text = _GAPS.sub(" ", "".join(self.held)).strip() if self.plain else ""
             if text:
-                self.blocks.append((self.open[-1][1], text))
-            self.held = []
+                self.blocks.append((self.node_of[-1], text))
+            self.held, self.plain = [], False
 
     def _close(self, at: int) -> None:
-        if any(e not in INLINE or n != self.open[at - 1][1] for e, n in self.open[at:]):
+        if any(e not in INLINE or n != self.node_of[at - 1] for e, n in zip(self.open.names[at:], self.node_of[at:])):
             self._break()
-        for e, _ in self.open[at:]:
-            self.links -= e == "a"
-            self.tags[e] -= 1
-        del self.open[at:]
+        self.links -= self.open.names[at:].count("a")
+        self.buttons -= self.open.names[at:].count("button")
+        self.open.cut(at)
+        del self.node_of[at:]
 
     def handle_starttag(self, tag, attrs):
-        if self.skipped and not self._ends_skip(tag):
+        if self.skipped.names and not self._ends_skip(tag):
             if tag not in VOID:
-                self._skip(tag)
+                self.skipped.push(tag)
             return
         if tag in DROPPED:
-            self._skip(tag)
+            self.skipped.push(tag)
             return
-        if len(self.open) == 1 and tag not in VOID and tag not in ("html", "body"):
+        if len(self.node_of) == 1 and tag not in VOID and tag not in ("html", "body"):
             self._enter("body", (), False)  # its tags may be left out
         if tag == "br":
             self.held.append(" ")
@@ -145,102 +181,69 @@ class Page(HTMLParser):
                 self._break()
             return
         attributes = dict(attrs)
-        if tag in ("html", "body") and self.tags[tag]:
+        if tag in ("html", "body") and self.open.at[tag]:
             return
-        named = kinds(" ".join(str(attributes.get(k) or "") for k in ("class", "id", "role")))
+        named = () if tag in ("html", "body") else kinds(" ".join(str(attributes.get(k) or "") for k in ("class", "id", "role")))  # a body's name is the page's
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "").lower()
         if tag not in INLINE:  # a block ends an open paragraph, and elements that can't nest in themselves
             ends = ("p", *CLOSES.get(tag, ()), *(HEADINGS if tag in HEADINGS else ()))
-            for k in range(len(self.open) - 1, 0, -1):
-                if not any(self.tags[e] for e in ends):
-                    break
-                e = self.open[k][0]
-                if e in ends:
-                    self._close(k)
-                elif e in SCOPE.get(tag, ()) or (tag not in CLOSES and e not in INLINE):
-                    break
+            while (k := self.open.ended(tag, ends, tag in CLOSES)) > 0:
+                self._close(k)
         if hidden:
-            self._skip(tag)
+            self.skipped.push(tag)
             return
         if tag in INLINE:
-            if named and tag != "a" and tag != "time":
+            if named and tag not in ("a", "time", "button"):
                 self._break()
                 self._enter(tag, named, True)
             else:
-                self._push(tag, self.open[-1][1])
+                self._push(tag, self.node_of[-1])
             self.links += tag == "a"
+            self.buttons += tag == "button"
             return
         self._break()
         self._enter(tag, named, False)
 
-    def _skip(self, tag: str) -> None:
-        self.skipped.append(tag)
-        self.skipped_tags[tag] += 1
-
-    def _unskip(self, at: int = 0) -> None:
-        self.skipped_tags.subtract(self.skipped[at:])
-        del self.skipped[at:]
-
     def _ends_skip(self, tag: str) -> bool:
         """Whether a start tag ends what is left out; elements within that it ends are closed."""
-        if self.skipped[0] == "head" and (tag == "body" or (len(self.skipped) == 1 and tag not in HEAD)):
-            self._unskip()
+        held = self.skipped
+        if held.names[0] == "head" and (tag == "body" or (len(held.names) == 1 and tag not in HEAD)):
+            held.cut(0)
             return True
-        if any(self.skipped_tags[e] for e in (*IMPLIED.get(tag, ()), *(("p",) if tag in ENDS_P else ()))):
-            for k in range(len(self.skipped) - 1, -1, -1):
-                e = self.skipped[k]
-                if (e == "p" and tag in ENDS_P) or e in IMPLIED.get(tag, ()):
-                    self._unskip(k)
-                elif e in SCOPE.get(tag, ()) or (tag not in IMPLIED and e not in INLINE):
-                    break
-        return not self.skipped
+        ends = (*IMPLIED.get(tag, ()), *(("p",) if tag in ENDS_P else ()))
+        while ends and (k := held.ended(tag, ends, tag in IMPLIED)) >= 0:
+            held.cut(k)
+        return not held.names
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if self.skipped and tag not in VOID:  # it was put there just now and has no content: a closed svg, an XHTML page's script
-            self._unskip(len(self.skipped) - 1)
-
-    def _parent_ends(self, tag: str) -> bool:
-        """Whether an end tag is that of an element around what is left out."""
-        if tag in INLINE and any(self.skipped_tags[e] for e in ELEMENTS):
-            return False
-        if not self.tags[tag]:
-            return False
-        for k in range(len(self.open) - 1, 0, -1):
-            e = self.open[k][0]
-            if e == tag:
-                return True
-            if tag in INLINE and e not in INLINE:
-                return False
-        return False
+        if self.skipped.names and tag not in VOID:  # it was put there just now and has no content: a closed svg, an XHTML page's script
+            self.skipped.cut(len(self.skipped.names) - 1)
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            if self.skipped_tags[tag]:
-                self._unskip(next(k for k in range(len(self.skipped) - 1, -1, -1) if self.skipped[k] == tag))
-                return
-            if not self._parent_ends(tag):
-                return
-            self._unskip()
-        if not self.tags[tag]:
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in INLINE or all(e in INLINE for e, _ in self.open[k:]):
-                    self._close(k)
+        if self.skipped.names:
+            if (k := self.skipped.last(tag)) >= 0:
+                self.skipped.cut(k)
                 return
-            if tag in INLINE and self.open[k][0] not in INLINE:
+            # an end tag of an element around what is left out ends that too
+            if (tag in INLINE and self.skipped.last(*ELEMENTS) >= 0) or self.open.reaches(tag) <= 0:
                 return
+            self.skipped.cut(0)
+        if (k := self.open.reaches(tag)) > 0:
+            self._close(k)
 
     def handle_data(self, data):
-        if self.skipped == ["head"] and data.strip():
-            self._unskip()
-        if self.skipped:
+        if self.skipped.names == ["head"] and data.strip():
+            self.skipped.cut(0)
+        if self.skipped.names:
             return
-        if len(self.open) == 1 and data.strip():
+        if len(self.node_of) == 1 and data.strip():
             self._enter("body", (), False)
         self.held.append(data)
-        node, n = self.nodes[self.open[-1][1]], len(data) - data.count(" ")
+        if self.buttons:
+            return
+        self.plain = self.plain or not data.isspace()
+        node, n = self.nodes[self.node_of[-1]], len(data) - data.count(" ")
         node.chars += n
         if self.links > 0:
             node.linked += n
@@ -263,6 +266,7 @@ FEATURES = (
     "page_twentieth", "page_fifth", "page_half", "prose", "short_page", "aside_above", "named_above", "content_above", "own_header", "page_header",
 )
 AT = {f: k for k, f in enumerate(FEATURES)}
+TEXTS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote"))
 ROWS = 50_000  # nodes whose evidence is weighed at once
 SECTIONS = [AT[e] for e in ("article", "main", "section", "div")]
 ASIDES = [AT[e] for e in ("nav", "header", "footer", "aside", "form", "fieldset", "dialog", "address", "menu", "search")]
@@ -276,6 +280,30 @@ def by_depth(depth: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
 
 
+def wide(page: Page) -> list[bool]:
+    """Nodes that hold so much of the page that the name or element of an aside can't be meant of all that is in them.
+
+    That is a form around half of the plain text; anything around half of it with a main heading or element in it, or,
+    but for comments, an article; and anything around most of it with several blocks of text.
+    """
+    nodes = page.nodes
+    plain = [n.chars - n.linked for n in nodes]
+    heads, articles = [n.element in ("h1", "main") for n in nodes], [n.element == "article" for n in nodes]
+    texts = [int(n.element in TEXTS and n.chars > n.linked) for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        p = nodes[k].parent
+        plain[p] += plain[k]
+        texts[p] += texts[k]
+        heads[p] |= heads[k]
+        articles[p] |= articles[k]
+    comment, out = KINDS.index("comment"), []
+    for k, n in enumerate(nodes):
+        part = plain[k] / max(plain[0], 1)
+        comments = comment in n.names
+        out.append(part > 0.5 and (n.element in ("form", "fieldset") or heads[k] or (articles[k] and not comments) or (part > 0.85 and texts[k] > 2 and not comments)))
+    return out
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a row of 0 and 1 a node, parents in the joined numbering or -1, depths) of some pages together."""
     nodes, parent, page_of, base = [], [], [], 0
@@ -293,13 +321,18 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.add.at(total, parent[at], total[at])
     x = np.zeros((len(nodes), len(FEATURES)), np.uint8)
     x[:, 0] = 1
+    large = [w for page in pages for w in wide(page)]
     for k, n in enumerate(nodes):
-        x[k, AT.get(n.element, AT["other"])] = 1
+        element, names = AT.get(n.element, AT["other"]), n.names
+        if large[k]:
+            element = AT["div"] if element in ASIDES else element
+            names = [kind for kind in names if AT[KINDS[kind]] not in NOT_CONTENT]
+        x[k, element] = 1
         x[k, AT["heading"]] = n.element in HEADINGS
         x[k, AT["inline"]] = n.inline
-        for kind in n.names:
+        for kind in names:
             x[k, AT[KINDS[kind]]] = 1
-        x[k, AT["no_name"]] = not n.names
+        x[k, AT["no_name"]] = not names
     share = below_linked / np.maximum(below, 1)
     plain = below - below_linked
     of_page = np.bincount(page_of, chars - linked, len(pages))[page_of] if len(nodes) else plain
@@ -552,7 +585,11 @@ class Writer:
             return read_page("<html>" + "".join(self.out) + "</body></html>"), np.array(self.labels)
         bare = self.rng.random() < 0.12  # no element around the text but body or a nameless div
         body = bare and self.rng.random() < 0.5
-        self.open("body", bool(body))
+        self.open("body", bool(body), self.pick(KINDS), 0.3)
+        around = "form" if not body and self.rng.random() < 0.08 else ""  # a form or a named layout around the whole page
+        around = around or ("div" if not body and self.rng.random() < 0.08 else "")
+        if around:
+            self.open(around, False, self.pick(("form", "side", "nav", "head")), 0.8)
         for _ in range(int(self.rng.integers(0 if bare else 1, 5))):
             self.boilerplate()
         wrap = 0 if bare else int(self.rng.integers(0, 3))
@@ -568,6 +605,7 @@ class Writer:
         self.out.append("</div>" * inner + f"</{outer}>" * bool(outer) + "</div>" * wrap)
         for _ in range(int(self.rng.integers(0 if bare else 1, 5))):
             self.boilerplate()
+        self.out.append(f"</{around}>" * bool(around))
         page = read_page("<html>" + "".join(self.out) + "</body></html>")
         return page, np.array(self.labels)
 
@@ -592,8 +630,8 @@ def dominant(page: Page) -> set[int]:
     """
     plain = [n.chars - n.linked for n in page.nodes]
     barred: list[bool] = []
-    for n in page.nodes:
-        own = AT.get(n.element) in ASIDES or any(AT[KINDS[k]] in NOT_CONTENT for k in n.names)
+    for n, large in zip(page.nodes, wide(page)):
+        own = not large and (AT.get(n.element) in ASIDES or any(AT[KINDS[k]] in NOT_CONTENT for k in n.names))
         barred.append(own or (n.parent >= 0 and barred[n.parent]))
     near = [0] * len(plain)
     for k, n in enumerate(page.nodes):
@@ -602,7 +640,7 @@ def dominant(page: Page) -> set[int]:
             if n.parent >= 0:
                 near[n.parent] += plain[k]
     best = max(range(len(near)), key=near.__getitem__)
-    if near[best] < 40 or 2 * near[best] <= sum(plain):
+    if 2 * near[best] <= sum(plain):
         return set()
     inside = {best}
     for k in range(best + 1, len(page.nodes)):
@@ -623,6 +661,8 @@ def main_texts(htmls: list[str | None], model: TreeModel) -> list[str]:
         if not texts and page.blocks:
             inside = dominant(page)
             texts = [text for node, text in page.blocks if node in inside]
+            if not any(c.isalnum() for text in texts for c in text):  # what is left of cut-off markup
+                texts = []
         out.append("\n\n".join(texts))
         base += len(page.nodes)
     return out
