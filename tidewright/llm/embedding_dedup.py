@@ -1,6 +1,6 @@
 """Near-duplicate vectors: an exact metric range join by cosine.
 
-Equal vectors are one weighted representative first. Pivots, a bounded sample of them, split the unit sphere
+Equal vectors are one weighted representative first. Pivots, a sample that grows with the table up to the root of its size, split the unit sphere
 into cells, each vector's home being the cell of its nearest pivot. A vector visits another cell only if a
 vector within the range can live there: by the triangle inequality its angle to that pivot exceeds neither the
 cell's radius plus the range nor its own home angle plus twice the range, and it lies no further than the
@@ -26,7 +26,8 @@ from ._graph import components
 from ._shared import partitions, staged, table
 from ._skew import spread_join
 
-CELL, MOST_PIVOTS, BATCH = 4096, 1024, 1024
+CELL, BATCH = 4096, 1024
+DENSE, CONFIRMED = 0.02, 20_000  # share of near pairs from which a block is compared in doubles at once; pairs confirmed together
 SLACK = 1e-9  # bounds are wider by this than rounding can be
 
 
@@ -82,9 +83,20 @@ class Plan:
         for (home, core), n in sorted(counts.items()):
             self.first[home, core] = (len(self.units), max(1, math.ceil(n / unit)))
             self.units += [(home, core)] * self.first[home, core][1]
-        self.of_home = {h: np.array([u for u, (x, _) in enumerate(self.units) if x == h]) for h in {h for h, _ in self.units}}
+        of_home: dict[int, list[int]] = {}
+        for u, (home, _) in enumerate(self.units):
+            of_home.setdefault(home, []).append(u)
+        self.of_home = {h: np.array(units) for h, units in of_home.items()}
         self.radius = np.array([radius.get(h, -10.0) for h in range(len(pivots))])
-        self.apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+        self.rows: dict[int, np.ndarray] = {}
+
+    def apart(self, home: int) -> np.ndarray:
+        """Distances of a pivot to all others, kept for some."""
+        if home not in self.rows:
+            if len(self.rows) >= 256:
+                self.rows.clear()
+            self.rows[home] = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots[home]), 0))
+        return self.rows[home]
 
     def unit_of(self, home: int, core: bool, at: int) -> int:
         first, n = self.first[home, core]
@@ -95,7 +107,7 @@ class Plan:
         home, core = self.units[unit]
         angles = _angle(cosines)
         reach = (angles <= self.radius + self.range + SLACK) & (angles <= angles[home] + 2 * self.range + SLACK)
-        reach &= cosines[home] - cosines <= self.chord * self.apart[home] + SLACK
+        reach &= cosines[home] - cosines <= self.chord * self.apart(home) + SLACK
         reach[home] = True
         out = np.concatenate([self.of_home[h] for h in np.flatnonzero(reach).tolist() if h in self.of_home])
         out = out[np.where((out + unit) % 2 == 0, out < unit, out > unit)]
@@ -126,6 +138,21 @@ def deal(homes: DataFrame, plan: Plan) -> DataFrame:
     return homes.select("rep", "weight", "vector", "home", "core").mapInArrow(run, "unit int, visitor boolean, rep long, weight long, vector array<double>")
 
 
+def near_pairs(a: np.ndarray, rough_a: np.ndarray, b: np.ndarray, rough_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with a[i] . b[j] >= least in doubles, by i and j; rough ones are the same rows in single precision.
+
+    Single precision only rules pairs out, by more than its error can be; the rest is confirmed in doubles.
+    """
+    error = 4 * (a.shape[1] + 8) * 2.0**-24
+    near = rough_a @ rough_b.T >= np.float32(least - error)
+    i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+    if len(i) > DENSE * near.size:
+        return np.divmod(np.flatnonzero(a @ b.T >= least), near.shape[1])
+    good = [np.einsum("ij,ij->i", a[i[k : k + CONFIRMED]], b[j[k : k + CONFIRMED]]) >= least for k in range(0, len(i), CONFIRMED)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
+    return i[good], j[good]
+
+
 class Unit:
     """The home vectors of a unit; links among them and to visitors."""
 
@@ -141,15 +168,18 @@ class Unit:
     def close_homes(self) -> None:
         self.ready = True
         self.rep, self.weight, self.x = np.concatenate(self.reps), np.concatenate(self.weights), np.concatenate(self.parts)
+        self.rough = self.x.astype(np.float32)
         self.links, self.label = np.zeros(len(self.rep), np.int64), np.arange(len(self.rep))
         for at in range(0, 0 if self.core else len(self.rep), BATCH):
-            some = slice(at, at + BATCH)
-            near = self.x[some] @ self.x[at:].T >= self.least
-            near &= np.arange(at, len(self.rep)) > np.arange(at, at + len(near))[:, None]
-            self.links[some] += near @ self.weight[at:]
-            self.links[at:] += self.weight[some] @ near
-            for i in np.flatnonzero(near.any(1)).tolist():
-                self.join(np.append(np.flatnonzero(near[i]) + at, i + at))
+            i, j = near_pairs(self.x[at : at + BATCH], self.rough[at : at + BATCH], self.x[at:], self.rough[at:], self.least)
+            i, j = i[j > i] + at, j[j > i] + at
+            np.add.at(self.links, i, self.weight[j])
+            np.add.at(self.links, j, self.weight[i])
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            for members in np.split(j, first[1:]) if len(first) else ():
+                self.join(members)
+            for a, b in zip(i[first].tolist(), j[first].tolist()):
+                self.join(np.array([a, b]))
 
     def join(self, members: np.ndarray) -> None:
         roots = np.unique(self.label[members])
@@ -160,14 +190,13 @@ class Unit:
         """(rep, links, a home it is linked to) of the visitors that link."""
         for at in range(0, len(reps), BATCH):
             some = slice(at, at + BATCH)
-            near = vectors[some] @ self.x.T >= self.least
-            hit = np.flatnonzero(near.any(1))
-            if len(hit):
-                self.links += weights[some] @ near
-                links = near[hit] @ self.weight
-                for i in hit.tolist():
-                    self.join(np.flatnonzero(near[i]))
-                yield reps[some][hit], links, self.rep[near[hit].argmax(1)]
+            i, j = near_pairs(vectors[some], vectors[some].astype(np.float32), self.x, self.rough, self.least)
+            if len(i):
+                np.add.at(self.links, j, weights[some][i])
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                for members in np.split(j, first[1:]):
+                    self.join(members)
+                yield reps[some][i[first]], np.add.reduceat(self.weight[j], first), self.rep[j[first]]
 
     def rows(self):
         """(rep, links, one of its component) of the homes that link."""
@@ -231,7 +260,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> Da
     links = None
     for dim, n in sorted(tuple(r) for r in reps.groupBy(F.size("vector")).count().collect()):
         same = reps.where(F.size("vector") == dim)
-        chosen = same.orderBy(F.xxhash64("first_id"), "first_id", "key").select("vector").limit(min(MOST_PIVOTS, max(1, math.ceil(n / cell)))).collect()
+        chosen = same.orderBy(F.xxhash64("first_id"), "first_id", "key").select("vector").limit(max(1, min(math.ceil(n / cell), math.ceil(math.sqrt(n))))).collect()  # at most the root of the vectors
         pivots = _matrix(pa.array([r[0] for r in chosen], pa.list_(pa.float64())))
         homes = staged(at_home(same, pivots, range_), f"homes-{dim}")
         cells = homes.groupBy("home", "core").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.sum("weight").alias("weight"), F.min("rep").alias("least_rep")).collect()  # two rows a pivot
