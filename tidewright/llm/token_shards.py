@@ -31,7 +31,7 @@ from ._ranges import dealt
 from ._shared import NewFile, filesystem, partitions, shared_dir, staged, table
 from ._tokens import batches, default_vocabulary, encoder
 
-END_ID = 2
+END_ID, ROLL_DOCS = 2, 1 << 18
 NO_ID = -(1 << 63)  # in a shard, stands for a null doc_id
 SKIPPABLE, FOOTER_MAGIC = 0x184D2A5E, 0x544B5348
 FRAME = np.dtype([("at", "<u8"), ("packed", "<u4"), ("raw", "<u4"), ("crc", "<u4"), ("first", "<u8"), ("docs", "<u4"), ("first_id", "<i8"), ("docs_crc", "<u4")])
@@ -134,11 +134,11 @@ class ShardReader:
 MANIFEST = "range int, part int, path string, file_bytes long, n_docs long, n_ids long, n_frames int, table_crc32 long, first_id long, last_id long"
 
 
-def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, end_id: int = END_ID, shards: int | None = None, frame_bytes: int = 1 << 20, roll_bytes: int = 256 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, end_id: int = END_ID, shards: int | None = None, frame_bytes: int = 1 << 20, roll_bytes: int = 256 << 20, roll_docs: int = ROLL_DOCS) -> DataFrame:
     """Encodes docs (doc_id, text; other columns are ignored, whatever their names), and writes shards in ascending doc_id order below out_dir.
 
     Ranges of ids, whose bounds depend on the ids alone, are written side by side; within one a new shard begins when
-    the last has roll_bytes of ids. A shard is written to a temporary name and renamed; the manifest, one row a shard,
+    the last has roll_bytes of ids or roll_docs documents, so the table that a task holds is bounded. A shard is written to a temporary name and renamed; the manifest, one row a shard,
     is what Spark commits, so a task that runs twice leaves one shard, of the same bytes. Null texts count as empty;
     empty texts are the end id alone; a very long text is one document of one frame. Equal doc_ids (ties) keep one
     record a row, in order of their text; rows with a null doc_id come first and read back with a null doc_id. An
@@ -163,7 +163,7 @@ def write_shards(docs: DataFrame, out_dir: str, vocabulary: str | None = None, e
                 ids, places = part.column(1).to_pylist(), part.column(0).to_pylist()
                 for first, texts in batches(part.column(2)):
                     for k, got in enumerate(encode(texts), first):
-                        if places[k] != place or writer.ids * 4 >= roll_bytes:
+                        if places[k] != place or writer.ids * 4 >= roll_bytes or len(writer.docs) >= roll_docs:
                             if writer is not None:
                                 close()
                             nth = nth + 1 if places[k] == place else 0
