@@ -7,7 +7,7 @@ their operator keeps them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(F.col(f"{name}.kept")).drop(name)
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column as Spark can hash it: maps and variants, wherever they stand in it, as JSON."""
+    column = F.col(quoted(field.name))
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; five words and 0.8, all texts whole.
 
@@ -51,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = docs.join(kept, (docs["doc_id"] == kept[staying]) & (F.xxhash64(docs["text"]) == kept[hash_]))
     once = out.where(F.col(n) == 1).select(*map(quoted, docs.columns))
     row, by = F.struct(*map(quoted, docs.columns)), [quoted(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
-    again = out.where(F.col(n) > 1).groupBy(staying, hash_).agg(F.min_by(row, F.struct(*by, F.xxhash64(*map(quoted, docs.columns)))).alias(n)).select(f"{n}.*")
+    again = out.where(F.col(n) > 1).groupBy(staying, hash_).agg(F.min_by(row, F.struct(*by, F.xxhash64(*(_hashable(f) for f in docs.schema)))).alias(n)).select(f"{n}.*")
     return once.unionAll(again).unionAll(docs.where("doc_id is null"))
 
 
