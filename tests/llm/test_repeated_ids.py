@@ -30,6 +30,17 @@ def test_near_duplicate_stage_keeps_texts_of_one_id(spark, sf_dir):
     assert sorted((r["doc_id"] or -1, r["text"] or "", r["source"]) for r in out.collect()) == sorted([(1, one, "x"), (1, two, "x"), (4, "", "x"), (4, "", "x"), (-1, one, "x")])
 
 
+def test_near_duplicate_stage_takes_maps_and_arrays(spark, sf_dir):
+    import corpus_pipeline
+
+    text = " ".join(f"a{i}" for i in range(40))
+    data = [(1, text, {"k": 2}, [[{"x": "y"}]], ["b"]), (1, text, {"k": 1}, None, ["a"]), (1, text, None, None, None), (2, text, {}, [], [])]
+    kinds = "doc_id long, text string, m map<string,int>, nested array<array<map<string,string>>>, names array<string>"
+    frame = spark.createDataFrame(data, kinds)
+    kept = [corpus_pipeline.near_duplicates(spark, frame.repartition(n), sf_dir).collect() for n in (1, 3)]
+    assert kept[0] == kept[1] and [r["doc_id"] for r in kept[0]] == [1] and kept[0][0].asDict() in [r.asDict() for r in frame.collect()]
+
+
 def test_a_hub_is_dealt_to_many_tasks(spark):
     links = spark.range(1, 20_000).selectExpr("0L as a", "id as b").unionAll(spark.range(20_001, 20_400).selectExpr("id - 1 as a", "id as b"))
     got = components(links)
