@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fold import ordered_fold
+from ..plans.prefix import running
+from ..sources.sorted_state import shared_path, write_sorted
 from ..sources.tables import SQL_COMMANDS, commands
 
 HIDDEN = ("v:", "ttl:")
@@ -95,22 +97,22 @@ def delete_by_prefix(state: DataFrame, prefix: str) -> tuple[DataFrame, DataFram
 
 
 def counters(log: DataFrame) -> DataFrame:
-    """log_index, key, counter after each increment (delta)."""
-    running = Window.partitionBy("key").orderBy("log_index").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("log_index", "key", F.sum("delta").over(running).alias("counter"))
+    """log_index, key, counter after each increment (delta); a key of any size is shared among tasks by ranges of log_index."""
+    return running(log.select("log_index", "key", "delta"), ["key"], ["log_index"], {"counter": F.col("delta")}).select("log_index", "key", "counter")
 
 
 def increments(log: DataFrame) -> DataFrame:
     """log_index, key, ok, counter, version, error after each increment of a log (log_index, key, delta as text).
 
-    No delta adds 1; one that is no whole number is an error and changes nothing.
+    The delta is a JSON number; no delta, an empty one and the JSON null add 1. One that is no whole number of 64 bits,
+    or no JSON (007), is an error and changes nothing. A counter beyond 64 bits goes on from the other end.
     """
-    delta = F.coalesce("delta", F.lit("1"))
-    number = F.when(delta.rlike(r"^-?\d+$"), delta.try_cast("long"))
-    rows = log.select("log_index", "key", number.alias("n"))
-    running = Window.partitionBy("key").orderBy("log_index").rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.col("n").isNotNull()
-    return rows.select("log_index", "key", ok.alias("ok"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias("counter"), F.count("n").over(running).alias("version"), F.when(~ok, "failed to parse increment value").alias("error"))
+    delta = F.trim(F.coalesce("delta", F.lit("")), F.lit(" \t\r\n"))
+    number = F.when((F.octet_length(F.coalesce("delta", F.lit(""))) == 0) | (delta == "null"), F.lit(1).cast("long")).when(delta.rlike(r"^-?(0|[1-9][0-9]*)$"), delta.try_cast("long"))
+    rows = running(log.select("log_index", "key", number.alias("n")), ["key"], ["log_index"], {"total": F.col("n").cast("decimal(20,0)"), "version": F.col("n").isNotNull().cast("long")})
+    ok, half = F.col("n").isNotNull(), F.lit("9223372036854775808").cast("decimal(38,0)")
+    wrapped = (F.pmod(F.col("total").cast("decimal(38,0)") + half, F.lit("18446744073709551616").cast("decimal(38,0)")) - half).cast("long")
+    return rows.select("log_index", "key", ok.alias("ok"), wrapped.alias("counter"), "version", F.when(~ok, "failed to parse increment value").alias("error"))
 
 
 def _conditional(state: dict, row: dict) -> dict:
@@ -219,11 +221,18 @@ SELECT key, n AS log_index, ok, error, v AS version_after, held AS value_after F
 
 def _increments(spark, sf):
     n = F.col("log_index")
-    delta = F.when(n % 11 == 0, None).when(n % 13 == 0, "x1").when(n % 17 == 0, "-3").otherwise((n % 7).cast("string"))
+    delta = F.when(n % 11 == 0, None).when(n % 19 == 0, "").when(n % 23 == 0, "007").when(n % 29 == 0, " 12 ").when(n % 13 == 0, "x1").when(n % 17 == 0, "-3").otherwise((n % 7).cast("string"))
     return increments(commands(spark, sf).select("log_index", F.col("user_id").cast("string").alias("key"), delta.alias("delta")))
 
 
+def _sorted(spark, sf):
+    return write_sorted(_state(spark, sf), shared_path(spark))
+
+
 QUERIES = {
+    "kv_sorted_prefix": lambda s, d: _sorted(s, d).list_by_prefix("workflow:1"),
+    "kv_sorted_count": lambda s, d: _sorted(s, d).count_prefix("workflow:1"),
+    "kv_sorted_next": lambda s, d: _sorted(s, d).get_next("workflow:", "workflow:2:started").select("key", "version"),
     "kv_latest": lambda s, d: _state(s, d),
     "kv_get": lambda s, d: get(_state(s, d), "workflow:7:started"),
     "kv_exists": lambda s, d: exists(_state(s, d), "workflow:7:started"),
@@ -247,6 +256,9 @@ QUERIES = {
 }
 _LATEST = f"WITH {SQL_COMMANDS}, s AS (SELECT key, arg_max(value, log_index) AS value, count(*) AS version FROM c GROUP BY key)"
 ORACLES = {
+    "kv_sorted_prefix": f"{_LATEST} SELECT * FROM s WHERE starts_with(key, 'workflow:1')",
+    "kv_sorted_count": f"{_LATEST} SELECT count(*) AS n FROM s WHERE starts_with(key, 'workflow:1')",
+    "kv_sorted_next": f"{_LATEST} SELECT key, version FROM s WHERE key = (SELECT min(key) FROM s WHERE key > 'workflow:2:started')",
     "kv_latest": f"{_LATEST} SELECT * FROM s",
     "kv_get": f"{_LATEST} SELECT * FROM s WHERE key = 'workflow:7:started'",
     "kv_exists": f"{_LATEST} SELECT count(*) > 0 AS \"exists\" FROM s WHERE key = 'workflow:7:started'",
@@ -261,7 +273,7 @@ ORACLES = {
     "kv_ttl_left": f"{_REPLAY} SELECT key, coalesce(expire_at_us - {NOW_US}, 0) AS ttl_us FROM r WHERE version > 0",
     "kv_delete_prefix": f"{_LATEST} SELECT key, version FROM s WHERE NOT starts_with(key, 'workflow:1')",
     "kv_counter": "SELECT event_id AS log_index, CAST(user_id AS VARCHAR) AS key, CAST(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS counter FROM events",
-    "kv_increment": """WITH l AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN -3 ELSE event_id % 7 END AS n FROM events)
+    "kv_increment": """WITH l AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 OR event_id % 19 = 0 THEN 1 WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 12 WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN -3 ELSE event_id % 7 END AS n FROM events)
 SELECT event_id AS log_index, CAST(user_id AS VARCHAR) AS key, n IS NOT NULL AS ok, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS counter, count(n) OVER w AS version,
   CASE WHEN n IS NULL THEN 'failed to parse increment value' END AS error FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "kv_cas": _CAS,

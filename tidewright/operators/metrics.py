@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.fold import ordered_fold
-from ..plans.prefix import AT, PART, ordered, prefixes, running, trailing
+from ..plans.prefix import following, prefixes, running, trailing
 from ..plans.ranks import global_rank
 from ..sources.tables import SQL_COMMANDS, SQL_EXECUTIONS, SQL_WORKFLOWS, commands, executions, load, workflows
 
@@ -74,12 +74,8 @@ def node_loads(events: DataFrame) -> DataFrame:
     ends = rolling_error_rate(events.where("kind <> 'started'").select("node_id", "log_index", "kind"), "node_id", "log_index", F.col("kind") == "failed")
     ends = ends.select("node_id", "log_index", "rate")
     # the rate of a start is that of the last end before it
-    placed = ordered(events.select("node_id", "log_index").join(ends, ["node_id", "log_index"], "left"), ["node_id"], ["log_index"])
-    within = Window.partitionBy("node_id", PART).orderBy(AT)
-    last = placed.groupBy("node_id", PART).agg(F.max_by("rate", F.when(F.col("rate").isNotNull(), F.col(AT))).alias("_last"))
-    carry = last.select("node_id", PART, F.last("_last", True).over(Window.partitionBy("node_id").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)).alias("_rate")).where("_rate is not null")
-    rates = placed.withColumn("rate", F.last("rate", True).over(within)).join(F.broadcast(carry), ["node_id", PART], "left")  # at most a row a range
-    rates = rates.select("node_id", "log_index", F.coalesce("rate", "_rate", F.lit(0.0)).alias("error_rate"))
+    known = following(events.select("node_id", "log_index").join(ends, ["node_id", "log_index"], "left"), ["node_id"], ["log_index"], "rate", "_known")
+    rates = known.select("node_id", "log_index", F.coalesce("_known", F.lit(0.0)).alias("error_rate"))
     return units.join(smoothed, ["node_id", "log_index"]).join(rates, ["node_id", "log_index"])
 
 

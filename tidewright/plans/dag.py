@@ -18,6 +18,7 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     A front holds only nodes not seen before, so it ends on any finite graph, after as many rounds as the longest
     of the shortest paths has edges.
     """
+    edges = staged(edges.select("src", "dst").where("src is not null").distinct())  # read by every round
     seen = staged(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while not front.isEmpty():

@@ -55,6 +55,18 @@ def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str)
     return running(df, key, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
+def following(df: DataFrame, key: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """df with the last known value of a column in the row's key, at or before the row; null before any."""
+    rows = ordered(df, key, order)
+    last = rows.groupBy(*key, PART).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(AT))).alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_carry", F.last("_last", True).over(earlier)).where("_carry is not null").drop("_last").alias("_c")  # at most a row a range
+    within = Window.partitionBy(*key, PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in (*key, PART)]
+    joined = rows.withColumn("_own", F.last(column, True).over(within)).alias("_r").join(F.broadcast(carry), _all(same), "left")
+    return joined.select(*(F.col(f"_r.`{c}`").alias(c) for c in df.columns), F.coalesce("_own", "_carry").alias(name))
+
+
 def trailing(df: DataFrame, key: Sequence[str], order: Sequence[str], rows: int, columns: Mapping[str, Callable[[Window], Column]], length: int = 4096) -> DataFrame:
     """df with columns over the last ``rows`` rows of the key, the row included: each of columns makes one from a window.
 

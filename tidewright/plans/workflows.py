@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, workflows
+from ..sources.tables import SQL_COMMANDS, SQL_WORKFLOWS, commands, executions, workflows
 from ..operators.queue import _ITEMS, _items
 from .prefix import prefixes
+from .ranks import global_rank
 
 
 def process_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -17,6 +18,19 @@ def process_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return instances, items
 
 
+def next_items(results: DataFrame, first: int) -> DataFrame:
+    """The work items that results ask for: sequence, workflow_id, node_name, config, process_after_us and data.
+
+    results: workflow_id, node_name, at_us and next, an array of (node_name, config, delay_us). Each entry becomes an
+    item that is due after its delay, none being at once; sequences go on from ``first`` in the order of the results,
+    then of their entries. A null or empty array asks for nothing; entries of one result that are equal are items each.
+    """
+    asked = results.select("workflow_id", F.col("node_name").alias("after"), "at_us", F.posexplode("next").alias("nth", "_next"))
+    items = asked.select("workflow_id", "after", "at_us", "nth", F.col("_next.node_name").alias("node_name"), F.col("_next.config").alias("config"), (F.col("at_us") + F.coalesce("_next.delay_us", F.lit(0))).alias("process_after_us"))
+    data = F.to_json(F.struct(F.col("workflow_id").cast("string").alias("workflow_id"), F.col("node_name").alias("node"), "config"))
+    return global_rank(items.withColumn("data", data), ["at_us", "workflow_id", "after", "nth", "node_name", "config", "process_after_us"], "sequence", first)
+
+
 def completed(instances: DataFrame, items: DataFrame) -> DataFrame:
     """Instances without an open item (ready, blocked or claimed)."""
     open_ = items.where(F.col("tier").isin("ready", "blocked", "claimed")).select("workflow_id").distinct()
@@ -83,7 +97,22 @@ def _triggers(s, d):
     return w.select((F.col("workflow_id") % 5000).alias("workflow_id"), nodes.alias("initial_nodes"), F.concat(F.lit('{"o":'), F.col("workflow_id").cast("string"), F.lit("}")).alias("initial_state"), (F.col("started_us") + F.col("workflow_id")).alias("at_us"))
 
 
+def _results(s, d):
+    """Every third run asks for nothing, every third for one node at once, the others for two, of which one waits."""
+    x = executions(s, d)
+    entry = lambda name, config, delay: F.struct(F.lit(name).alias("node_name"), config.alias("config"), delay.cast("long").alias("delay_us"))
+    config = F.concat(F.lit("part "), F.col("part").cast("string"))
+    one, two = entry("review", config, F.lit(None)), entry("archive", F.lit(None).cast("string"), F.col("line") * 1_000_000)
+    return x.select("workflow_id", "node_name", F.col("due_us").alias("at_us"), F.when(F.col("part") % 3 == 1, F.array(one)).when(F.col("part") % 3 == 2, F.array(one, two)).alias("next"))
+
+
+def _next(s, d):
+    last = _items(s, d).agg(F.max("sequence")).first()[0] or 0
+    return next_items(_results(s, d), last + 1).select("sequence", "workflow_id", "node_name", "config", "process_after_us", "data")
+
+
 QUERIES = {
+    "wf_next_items": _next,
     "wf_trigger": lambda s, d: process_triggers(_triggers(s, d))[0],
     "wf_initial_items": lambda s, d: process_triggers(_triggers(s, d))[1].groupBy("node_name").agg(F.count("*").alias("n"), F.count_distinct("workflow_id").alias("workflows")),
     "wf_completion": lambda s, d: completed(workflows(s, d), _items(s, d)).select("workflow_id"),
@@ -93,6 +122,10 @@ QUERIES = {
     "wf_retry_route": lambda s, d: retry_route(_items(s, d).select("sequence", (F.col("deferrals") % 6).alias("retry_count"))),
 }
 ORACLES = {
+    "wf_next_items": f"""WITH {_ITEMS}, r AS (SELECT l_orderkey AS workflow_id, l_returnflag || l_linestatus AS after, epoch_us(l_shipdate) AS at_us, l_linenumber AS line, l_partkey AS part FROM lineitem),
+e AS (SELECT workflow_id, after, at_us, 0 AS nth, 'review' AS node_name, 'part ' || part AS config, at_us AS process_after_us FROM r WHERE part % 3 > 0 UNION ALL SELECT workflow_id, after, at_us, 1, 'archive', NULL, at_us + line * 1000000 FROM r WHERE part % 3 = 2)
+SELECT (SELECT max(sequence) FROM i) + row_number() OVER (ORDER BY at_us, workflow_id, after, nth, node_name, config, process_after_us) AS sequence, workflow_id, node_name, config, process_after_us,
+  '{{"workflow_id":"' || workflow_id || '","node":"' || node_name || CASE WHEN config IS NULL THEN '"}}' ELSE '","config":"' || config || '"}}' END AS data FROM e""",
     "wf_trigger": f"WITH {SQL_WORKFLOWS}, t AS (SELECT workflow_id % 5000 AS id, workflow_id, started_us + workflow_id AS at_us FROM w) SELECT id AS workflow_id, '{{\"o\":' || arg_max(workflow_id, at_us) || '}}' AS state, max(at_us) AS started_us, 'running' AS status, 0 AS version FROM t GROUP BY id",
     "wf_initial_items": f"WITH {SQL_WORKFLOWS} SELECT node_name, count(*) AS n, count(DISTINCT workflow_id % 5000) AS workflows FROM (SELECT workflow_id, unnest(CASE WHEN priority <= 2 THEN ['ingest', 'urgent'] ELSE ['ingest'] END) AS node_name FROM w) GROUP BY 1",
     "wf_completion": f"WITH {_ITEMS}, {SQL_WORKFLOWS} SELECT workflow_id FROM w WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.workflow_id = w.workflow_id AND tier <> 'deadletter')",

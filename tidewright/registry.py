@@ -13,6 +13,7 @@ MODULES = [
     "tidewright.operators.history",
     "tidewright.operators.chains",
     "tidewright.operators.deadlines",
+    "tidewright.operators.subscriptions",
     "tidewright.functions.scalars",
     "tidewright.plans.dag",
     "tidewright.plans.documents",
