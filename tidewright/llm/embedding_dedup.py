@@ -54,23 +54,45 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _stored(column) -> np.ndarray:
+    """Unit vectors as at_home has written them."""
+    if not len(column):
+        return np.zeros((0, 0))
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.float64, (int(at[-1]) - int(at[0])) // 8, int(at[0])).reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
+def _step(pivots: np.ndarray) -> int:
+    """Vectors that are held against all pivots at once."""
+    return max(16, min(BATCH, (1 << 22) // len(pivots)))
+
+
 def at_home(reps: DataFrame, pivots: np.ndarray, range_: float) -> DataFrame:
-    """rep, weight, vector with home (the nearest pivot's number), core (within half the range of it) and angle."""
+    """rep, weight, vector (of length 1, as bytes of doubles) with home (the nearest pivot's number), core (within half the range of it) and angle."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(parts):
         for part in parts:
             if part.num_rows:
-                near = _matrix(part.column(2)) @ shared.value.T
-                home = near.argmax(1)
-                angle = _angle(near[np.arange(len(home)), home])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home, pa.int32()), pa.array(angle <= range_ / 2 - 1e-6), pa.array(angle)], names=["rep", "weight", "vector", "home", "core", "angle"])
+                x, step = _matrix(part.column(2)), _step(shared.value)
+                home, top = np.zeros(len(x), np.int64), np.zeros(len(x))
+                for at in range(0, len(x), step):
+                    near = x[at : at + step] @ shared.value.T
+                    home[at : at + step], top[at : at + step] = near.argmax(1), near.max(1)
+                angle = _angle(top)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], _binary(x), pa.array(home, pa.int32()), pa.array(angle <= range_ / 2 - 1e-6), pa.array(angle)], names=["rep", "weight", "vector", "home", "core", "angle"])
 
-    return reps.select("rep", "weight", "vector").mapInArrow(run, "rep long, weight long, vector array<double>, home int, core boolean, angle double")
+    return reps.select("rep", "weight", "vector").mapInArrow(run, "rep long, weight long, vector binary, home int, core boolean, angle double")
 
 
 class Plan:
@@ -79,39 +101,44 @@ class Plan:
     def __init__(self, pivots: np.ndarray, counts: dict[tuple[int, bool], int], radius: dict[int, float], range_: float, unit: int):
         self.pivots, self.range = pivots, range_
         self.chord = 2 * math.sin(range_ / 2)
-        self.units, self.first = [], {}
-        for (home, core), n in sorted(counts.items()):
-            self.first[home, core] = (len(self.units), max(1, math.ceil(n / unit)))
-            self.units += [(home, core)] * self.first[home, core][1]
-        of_home: dict[int, list[int]] = {}
-        for u, (home, _) in enumerate(self.units):
-            of_home.setdefault(home, []).append(u)
-        self.of_home = {h: np.array(units) for h, units in of_home.items()}
-        self.radius = np.array([radius.get(h, -10.0) for h in range(len(pivots))])
-        self.rows: dict[int, np.ndarray] = {}
-
-    def apart(self, home: int) -> np.ndarray:
-        """Distances of a pivot to all others, kept for some."""
-        if home not in self.rows:
-            if len(self.rows) >= 256:
-                self.rows.clear()
-            self.rows[home] = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots[home]), 0))
-        return self.rows[home]
-
-    def unit_of(self, home: int, core: bool, at: int) -> int:
-        first, n = self.first[home, core]
-        return first + at % n
-
-    def visited(self, unit: int, cosines: np.ndarray) -> np.ndarray:
-        """Units that a vector of this unit visits, from its cosines to all pivots."""
-        home, core = self.units[unit]
+        n = len(pivots)
+        self.units, self.first, self.size = [], np.zeros((n, 2), np.int64), np.ones((n, 2), np.int64)
+        for (home, core), rows in sorted(counts.items()):
+            self.first[home, int(core)], self.size[home, int(core)] = len(self.units), max(1, math.ceil(rows / unit))
+            self.units += [(home, core)] * int(self.size[home, int(core)])
+        self.home = np.array([h for h, _ in self.units], np.int64)
+        self.core = np.array([c for _, c in self.units], bool)
+        self.start = np.searchsorted(self.home, np.arange(n + 1))  # a home's units stand together
+        self.radius = np.array([radius.get(h, -10.0) for h in range(n)])
+
+    def unit_of(self, home: np.ndarray, core: np.ndarray, at: np.ndarray) -> np.ndarray:
+        side = core.astype(np.int64)
+        return self.first[home, side] + at % self.size[home, side]
+
+    def visits(self, unit: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, unit) of the visits of vectors that live in these units, from their cosines to all pivots."""
+        home, rows = self.home[unit], np.arange(len(unit))
         angles = _angle(cosines)
-        reach = (angles <= self.radius + self.range + SLACK) & (angles <= angles[home] + 2 * self.range + SLACK)
-        reach &= cosines[home] - cosines <= self.chord * self.apart(home) + SLACK
-        reach[home] = True
-        out = np.concatenate([self.of_home[h] for h in np.flatnonzero(reach).tolist() if h in self.of_home])
-        out = out[np.where((out + unit) % 2 == 0, out < unit, out > unit)]
-        return np.array([u for u in out.tolist() if not (core and self.units[u] == (home, True))], np.int64)
+        reach = (angles <= self.radius + (self.range + SLACK)) & (angles <= (angles[rows, home] + 2 * self.range + SLACK)[:, None])
+        for h in np.unique(home).tolist():  # the plane between the home pivot and another
+            of = np.flatnonzero(home == h)
+            apart = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots[h]), 0))
+            reach[of] &= cosines[of, h][:, None] - cosines[of] <= self.chord * apart + SLACK
+        reach[rows, home] = True
+        row, pivot = np.nonzero(reach)
+        n = self.start[pivot + 1] - self.start[pivot]
+        to = np.repeat(self.start[pivot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        row = np.repeat(row, n)
+        own = unit[row]
+        ok = np.where((to + own) % 2 == 0, to < own, to > own) & ~(self.core[own] & self.core[to] & (self.home[own] == self.home[to]))
+        return row[ok], to[ok]
+
+
+def _mixed(rep: np.ndarray) -> np.ndarray:
+    """A number of 31 bits for each representative that says nothing of its place."""
+    h = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(33)).astype(np.int64)
 
 
 def deal(homes: DataFrame, plan: Plan) -> DataFrame:
@@ -121,21 +148,19 @@ def deal(homes: DataFrame, plan: Plan) -> DataFrame:
     def run(parts):
         plan = shared.value
         for part in parts:
-            if not part.num_rows:
-                continue
-            near = _matrix(part.column(2)) @ plan.pivots.T
-            rows, units, visitor = [], [], []
-            for k, (rep, home, core) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 3, 4)))):
-                unit = plan.unit_of(home, core, int.from_bytes(hashlib.blake2b(rep.to_bytes(8, "little", signed=True), digest_size=6).digest(), "little"))
-                visits = plan.visited(unit, near[k])
-                rows += [k] * (1 + len(visits))
-                units += [unit, *visits.tolist()]
-                visitor += [False] + [True] * len(visits)
-            for at in range(0, len(rows), 20_000):
-                some = part.take(pa.array(rows[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(units[at : at + 20_000], pa.int32()), pa.array(visitor[at : at + 20_000]), *(some.column(i) for i in range(3))], names=["unit", "visitor", "rep", "weight", "vector"])
+            step = _step(plan.pivots)
+            for at in range(0, part.num_rows, step):
+                some = part.slice(at, step)
+                rep, home, core = some.column(0).to_numpy(), some.column(3).to_numpy().astype(np.int64), some.column(4).to_numpy(zero_copy_only=False)
+                unit = plan.unit_of(home, core, _mixed(rep))
+                row, to = plan.visits(unit, _stored(some.column(2)) @ plan.pivots.T)
+                rows, units = np.concatenate([np.arange(len(rep)), row]), np.concatenate([unit, to])
+                visitor = np.arange(len(rows)) >= len(rep)
+                for k in range(0, len(rows), 20_000):
+                    few = some.take(pa.array(rows[k : k + 20_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(units[k : k + 20_000], pa.int32()), pa.array(visitor[k : k + 20_000]), *(few.column(i) for i in range(3))], names=["unit", "visitor", "rep", "weight", "vector"])
 
-    return homes.select("rep", "weight", "vector", "home", "core").mapInArrow(run, "unit int, visitor boolean, rep long, weight long, vector array<double>")
+    return homes.select("rep", "weight", "vector", "home", "core").mapInArrow(run, "unit int, visitor boolean, rep long, weight long, vector binary")
 
 
 def near_pairs(a: np.ndarray, rough_a: np.ndarray, b: np.ndarray, rough_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +241,7 @@ def range_join(dealt: DataFrame, cores: list[bool], least: float) -> DataFrame:
             if not part.num_rows:
                 continue
             units, visitors = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
-            reps, weights, vectors = part.column(2).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4))
+            reps, weights, vectors = part.column(2).to_numpy(), part.column(3).to_numpy(), _stored(part.column(4))
             cut = np.flatnonzero((np.diff(units) != 0) | (visitors[1:] != visitors[:-1])) + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(units)]):
                 if units[i] != unit:
