@@ -1,7 +1,7 @@
 """Merging states: objects merge deeply and results win, arrays append at any depth, anything else is replaced.
 
-States are JSON texts. Where a schema is known, merge_columns does it on columns; merge_json takes any text, in
-Arrow batches; fold_states merges a workflow's results in order.
+States are JSON texts. Where a schema is known, merge_columns does it on columns; deep_merge.merge_states takes any text,
+on the JVM. merge_json merges two columns in Arrow batches, fold_states a workflow's results in order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .deep_merge import merge_states
 from .fold import ordered_fold
 
 
@@ -74,10 +75,14 @@ def _merge_typed(s, d):
 
 
 def _merge_json(s, d):
+    return _columns(fold_states(_turns(s, d), "conv_id", "turn", "state"))
+
+
+def _columns(merged):
     state = F.from_json("state", "last_role string, roles array<string>, size struct<last:int, all:array<int>>")
-    return fold_states(_turns(s, d), "conv_id", "turn", "state").select("conv_id", state.alias("s")).select("conv_id", "s.last_role", "s.size.last", F.concat_ws(",", "s.roles").alias("roles"), F.concat_ws(",", F.col("s.size.all").cast("array<string>")).alias("sizes"))
+    return merged.select("conv_id", state.alias("s")).select("conv_id", "s.last_role", "s.size.last", F.concat_ws(",", "s.roles").alias("roles"), F.concat_ws(",", F.col("s.size.all").cast("array<string>")).alias("sizes"))
 
 
-QUERIES = {"merge_typed": _merge_typed, "merge_json": _merge_json}
+QUERIES = {"merge_typed": _merge_typed, "merge_json": _merge_json, "merge_native": lambda s, d: _columns(merge_states(_turns(s, d), "conv_id", "turn", "state"))}
 _SQL = """SELECT conv_id, arg_max(role, turn) AS last_role, CAST(arg_max(strlen(text), turn) AS INT) AS last, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(CAST(strlen(text) AS VARCHAR), ',' ORDER BY turn) AS sizes FROM conversations GROUP BY conv_id"""
-ORACLES = {"merge_typed": _SQL, "merge_json": _SQL}
+ORACLES = {"merge_typed": _SQL, "merge_json": _SQL, "merge_native": _SQL}
