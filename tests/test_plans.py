@@ -124,3 +124,15 @@ def test_rank_of_wide_rows(spark, partitions):
         assert ranked.groupBy("w").agg(F.min("n").alias("a"), F.max("n").alias("b")).orderBy("a").select("w").toPandas()["w"].tolist() == list(range(7))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_every_branch_has_rows(spark):
+    """With the words of the corpus, each answer and each way through the workflow occurs."""
+    from tidewright import registry
+
+    rows = registry.queries()["fn_all_words"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["type"] for r in rows} == {"corrupted", "image", "document", "text"} and {r["sentiment"] for r in rows} == {"positive", "negative", "neutral"}
+    assert {r["language"] for r in rows} == {"spanish", "french", "german", "english", "unknown"} and {r["priority"] for r in rows} >= {5, 6, 7, 8} and {r["score"] for r in rows} == {0.7, 0.8, 0.9, 1.0}
+    docs = registry.queries()["dag_document_words"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["status"] for r in docs} == {"completed", "processed", "ingested"} and {r["expedited"] for r in docs} == {True, False}
+    assert {r["errors"] for r in docs} >= {"", "quality check failed|quality check failed", "document is corrupted and cannot be processed", "document content too short|document content too short"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ LANGUAGES = (("spanish", ("hola", "gracias")), ("french", ("bonjour", "merci")),
 SENTIMENTS = (("positive", ("good", "excellent")), ("negative", ("bad", "terrible")))
 
 
+@dataclass(frozen=True)
+class Lists:
+    """Words that the document functions look for; the defaults are fixed values."""
+
+    broken: str = "ERROR"
+    image: str = "IMAGE_DATA"
+    urgent: str = "urgent"
+    languages: tuple = LANGUAGES
+    sentiments: tuple = SENTIMENTS
+
+
+FIXED = Lists()
+
+
 def first_match(text: Column, answers, other: str) -> Column:
     """The first answer one of whose words the lower-cased text holds."""
     out, low = None, F.lower(text)
@@ -23,16 +39,16 @@ def first_match(text: Column, answers, other: str) -> Column:
     return out.otherwise(other)
 
 
-def document_type(text: Column) -> Column:
-    return F.when(text.contains("ERROR"), "corrupted").when(text.contains("IMAGE_DATA"), "image").when(F.octet_length(text) > 1000, "document").otherwise("text")
+def document_type(text: Column, lists: Lists = FIXED) -> Column:
+    return F.when(text.contains(lists.broken), "corrupted").when(text.contains(lists.image), "image").when(F.octet_length(text) > 1000, "document").otherwise("text")
 
 
-def language(text: Column) -> Column:
-    return first_match(text, LANGUAGES, "unknown")
+def language(text: Column, lists: Lists = FIXED) -> Column:
+    return first_match(text, lists.languages, "unknown")
 
 
-def sentiment(text: Column) -> Column:
-    return first_match(text, SENTIMENTS, "neutral")
+def sentiment(text: Column, lists: Lists = FIXED) -> Column:
+    return first_match(text, lists.sentiments, "neutral")
 
 
 def fields(text: Column) -> Column:
@@ -44,8 +60,8 @@ def word_count(text: Column) -> Column:
     return F.size(fields(text))
 
 
-def priority(text: Column, words: Column, kind: Column) -> Column:
-    return F.least(F.lit(5) + F.when(F.lower(text).contains("urgent"), 3).otherwise(0) + F.when(words > 1000, 2).otherwise(0) + F.when(kind == "image", 1).otherwise(0), F.lit(10))
+def priority(text: Column, words: Column, kind: Column, lists: Lists = FIXED) -> Column:
+    return F.least(F.lit(5) + F.when(F.lower(text).contains(lists.urgent), 3).otherwise(0) + F.when(words > 1000, 2).otherwise(0) + F.when(kind == "image", 1).otherwise(0), F.lit(10))
 
 
 def keywords(text: Column) -> Column:
@@ -68,12 +84,12 @@ def translated(text: Column, lang: Column) -> Column:
     return F.when(lang.isin("spanish", "french", "german"), F.concat(F.lit("[TRANSLATED] "), text)).when(lang == "english", F.concat(F.lit("[ENHANCED] "), text)).otherwise(text)
 
 
-def ocr(text: Column) -> Column:
-    return F.replace(text, F.lit("IMAGE_DATA"), F.lit("EXTRACTED_TEXT"))
+def ocr(text: Column, lists: Lists = FIXED) -> Column:
+    return F.replace(text, F.lit(lists.image), F.lit("EXTRACTED_TEXT"))
 
 
-def repaired(text: Column) -> Column:
-    return F.replace(text, F.lit("ERROR"), F.lit("REPAIRED"))
+def repaired(text: Column, lists: Lists = FIXED) -> Column:
+    return F.replace(text, F.lit(lists.broken), F.lit("REPAIRED"))
 
 
 def enhanced(text: Column) -> Column:
@@ -174,7 +190,20 @@ def _kinds(e):
     return e.select("event_id", code.alias("code"), is_not_found(category, code, message).alias("not_found"), is_lease_lost(F.when(n % 6 == 0, NOT_FOUND).when(n % 6 == 1, LEASE_NOT_FOUND).when(n % 6 == 2, "key exists")).alias("lease_lost"))
 
 
+#: Words that the documents of the tables hold, so that every answer occurs.
+CORPUS = Lists("***", "License", "@", (("spanish", ("ción", "ñ")), ("french", ("ê", "eaux")), ("german", ("ß", "ung")), ("english", ("only", "was "))), (("positive", ("heit", "only")), ("negative", ("ç", "###"))))
+
+
+def _all(s, d):
+    text, lists = F.col("text"), CORPUS
+    words = word_count(text)
+    kind, lang = document_type(text, lists), language(text, lists)
+    digest = F.md5(ocr(repaired(translated(processed(text, kind), lang), lists), lists))
+    return load(s, d, "documents").select("doc_id", kind.alias("type"), lang.alias("language"), sentiment(text, lists).alias("sentiment"), priority(text, words, kind, lists).alias("priority"), F.round(quality_score(words, lang, F.col("doc_id") % 10), 3).alias("score"), digest.alias("digest"))
+
+
 QUERIES = {
+    "fn_all_words": _all,
     "fn_type": lambda s, d: _docs(s, d).select("doc_id", document_type(F.col("text")).alias("type")),
     "fn_language": lambda s, d: _docs(s, d).select("doc_id", language(F.col("text")).alias("language")),
     "fn_priority": lambda s, d: _docs(s, d).select("doc_id", priority(F.col("text"), word_count(F.col("text")), document_type(F.col("text"))).alias("priority")),
@@ -190,9 +219,19 @@ QUERIES = {
     "wf_retry_backoff": lambda s, d: s.range(26).select(F.col("id").cast("int").alias("retry"), backoff_seconds(F.col("id")).alias("delay_s"), (F.least(F.col("id"), F.lit(20)) + 1).cast("int").alias("next_retry")),
 }
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
-_TYPE = "CASE WHEN contains(text, 'ERROR') THEN 'corrupted' WHEN contains(text, 'IMAGE_DATA') THEN 'image' WHEN strlen(text) > 1000 THEN 'document' ELSE 'text' END"
-_SENTIMENT = "CASE WHEN lower(text) LIKE '%good%' OR lower(text) LIKE '%excellent%' THEN 'positive' WHEN lower(text) LIKE '%bad%' OR lower(text) LIKE '%terrible%' THEN 'negative' ELSE 'neutral' END"
-_LANG = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in ws)} THEN '{a}'" for a, ws in LANGUAGES) + " ELSE 'unknown' END"
+def sql_type(lists: Lists) -> str:
+    return f"CASE WHEN contains(text, '{lists.broken}') THEN 'corrupted' WHEN contains(text, '{lists.image}') THEN 'image' WHEN strlen(text) > 1000 THEN 'document' ELSE 'text' END"
+
+
+def sql_answer(answers, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in ws)} THEN '{a}'" for a, ws in answers) + f" ELSE '{other}' END"
+
+
+_TYPE, _LANG, _SENTIMENT = sql_type(FIXED), sql_answer(LANGUAGES, "unknown"), sql_answer(SENTIMENTS, "neutral")
+_ALL = f"""WITH a AS (SELECT doc_id, text, {sql_type(CORPUS)} AS type, {sql_answer(CORPUS.languages, "unknown")} AS language, {sql_answer(CORPUS.sentiments, "neutral")} AS sentiment, {_WORDS} AS words FROM documents)
+SELECT doc_id, type, language, sentiment, CAST(least(10, 5 + 3 * contains(lower(text), '@')::INT + 2 * (words > 1000)::INT + (type = 'image')::INT) AS INT) AS priority,
+  round(least(0.7 + 0.1 * ((words > 100)::INT + (language <> 'unknown')::INT + (doc_id % 10 > 5)::INT), 1.0)::DOUBLE, 3) AS score,
+  md5(replace(replace(CASE language WHEN 'english' THEN '[ENHANCED] ' WHEN 'unknown' THEN '' ELSE '[TRANSLATED] ' END || CASE type WHEN 'document' THEN '[PROCESSED_DOC] ' WHEN 'image' THEN '[PROCESSED_IMG] ' ELSE '[PROCESSED] ' END || text, '***', 'REPAIRED'), 'License', 'EXTRACTED_TEXT')) AS digest FROM a"""
 _CODE = """CASE category
 WHEN 'validation' THEN CASE WHEN lower(message) LIKE '%required%' THEN 'VALIDATION_REQUIRED' WHEN lower(message) LIKE '%invalid%' THEN 'VALIDATION_INVALID' ELSE 'VALIDATION_ERROR' END
 WHEN 'network' THEN CASE WHEN lower(message) LIKE '%timeout%' THEN 'NETWORK_TIMEOUT' WHEN lower(message) LIKE '%connection%' THEN 'NETWORK_CONNECTION' ELSE 'NETWORK_ERROR' END
@@ -203,6 +242,7 @@ WHEN 'resource' THEN CASE WHEN lower(message) LIKE '%limit%' THEN 'RESOURCE_LIMI
 ELSE 'UNKNOWN_ERROR' END"""
 
 ORACLES = {
+    "fn_all_words": _ALL,
     "er_kinds": f"""WITH {_SQL_E}, k AS (SELECT event_id, category, CASE WHEN event_id % 3 = 0 THEN 'CAUSE_' || event_id % 4 ELSE {_CODE} END AS code,
   CASE WHEN event_id % 11 = 0 THEN 'log not found' WHEN event_id % 13 = 0 THEN 'no such key' ELSE message END AS text FROM e)
 SELECT event_id, code, CASE WHEN event_id % 5 > 0 THEN category = 'storage' AND contains(code, 'NOT_FOUND') ELSE contains(text, 'not found') OR contains(text, 'no such key') END AS not_found,
