@@ -113,3 +113,16 @@ def test_url_query_equals_sql(spark, sf_dir):
     want = con.sql(url_filter.ORACLES["op1_url_filter"]).df().sort_values("page_id").reset_index(drop=True)
     got = url_filter.op1_url_filter(spark, sf_dir).toPandas().sort_values("page_id").reset_index(drop=True)
     assert got[want.columns].astype(object).where(got.notna(), None).equals(want.astype(object).where(want.notna(), None))
+
+
+def test_terms_within_words_of_any_script(spark):
+    urls = ["http://x.org/caf\u00e9xxx\u00e9", "http://x.org/\u00e9xxx", "http://x.org/xxx\u65e5", "http://x.org/xxx/\u00e9", "http://x.org/-xxx\u2019s", "http://x.org/\u0663xxx"]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["allow", "allow", "allow", "block", "block", "allow"]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    want = con.sql(url_filter.ORACLES["op1_url_filter"]).select("page_id, verdict, strict_hits").fetchall()
+    assert sorted(want) == [(r["page_id"], r["verdict"], r["strict_hits"]) for r in rows]

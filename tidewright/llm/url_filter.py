@@ -74,7 +74,8 @@ class Vocabulary:
 
 
 def _word(c: str) -> bool:
-    return "a" <= c <= "z" or "0" <= c <= "9"
+    """A letter or digit of any script."""
+    return c.isalnum()
 
 
 class Rules:
@@ -129,8 +130,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
-    strict = " + ".join(f"len(regexp_extract_all(' ' || regexp_replace(u, '([^a-z0-9])', '\\1\\1', 'g') || ' ', '[^a-z0-9]{t}[^a-z0-9]'))" for t in STRICT)
+    no = r"[^\p{L}\p{N}]"
+    hit = lambda t: f"regexp_matches(u, '(^|{no}){t}($|{no})')"
+    strict = " + ".join(f"len(regexp_extract_all(' ' || regexp_replace(u, '({no})', '\\1\\1', 'g') || ' ', '{no}{t}{no}'))" for t in STRICT)
     soft = " + ".join(f"{hit(t)}::INT" for t in SOFT)
     weight = " + ".join(f"{w} * {hit(t)}::INT" for t, w in SOFT.items())
     fits = "\n".join(
