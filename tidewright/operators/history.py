@@ -22,6 +22,32 @@ def lifecycle_events(runs: DataFrame, kind: str = "completed") -> DataFrame:
     return last.select(key.alias("key"), "version", "workflow_id", "node_name", F.col("last.at_us").alias("last_us"), F.col("last.result").alias("result"))
 
 
+def completed_bodies(runs: DataFrame) -> DataFrame:
+    """key, version and body (JSON) of what completed runs leave (workflow_id, node_name, at_us, duration_us, result, next_nodes).
+
+    The body is the last run's: with result, times, an execution id made of the key and time, and the names of the next
+    nodes, left out if there are none.
+    """
+    body = F.to_json(F.struct(F.col("workflow_id").cast("string").alias("workflow_id"), "node_name", "result", F.col("at_us").alias("completed_at_us"), "duration_us", _execution_id().alias("execution_id"), F.when(F.size("next_nodes") > 0, F.col("next_nodes")).alias("next_nodes")))
+    return _bodies(runs, body, "completed")
+
+
+def error_bodies(runs: DataFrame) -> DataFrame:
+    """key, version and body (JSON) of what failed runs leave (workflow_id, node_name, at_us, duration_us, error, config, state)."""
+    body = F.to_json(F.struct(F.col("workflow_id").cast("string").alias("workflow_id"), "node_name", "error", F.col("at_us").alias("failed_at_us"), "duration_us", _execution_id().alias("execution_id"), "config", F.col("state").alias("current_state"), F.lit(True).alias("recoverable")))
+    return _bodies(runs, body, "error")
+
+
+def _execution_id() -> Column:
+    return F.concat_ws("-", F.col("workflow_id").cast("string"), "node_name", F.col("at_us").cast("string"))
+
+
+def _bodies(runs: DataFrame, body: Column, kind: str) -> DataFrame:
+    last = runs.groupBy("workflow_id", "node_name").agg(F.count("*").alias("version"), F.max(F.struct("at_us", body.alias("body"))).alias("last"))
+    key = F.concat(F.lit("workflow:"), F.col("workflow_id").cast("string"), F.lit(":node:"), "node_name", F.lit(f":{kind}"))
+    return last.select(key.alias("key"), "version", F.col("last.body").alias("body"))
+
+
 def archive(instances: DataFrame, runs: DataFrame) -> DataFrame:
     """key, workflow_id, completed_us, duration_us and nodes (distinct names, sorted) of completed instances (workflow_id, status, started_us).
 
@@ -110,7 +136,15 @@ def _names(s, d):
     return executions(s, d).select("workflow_id", names_of_runs(key).alias("node")).distinct()
 
 
+def _bodies_of(s, d):
+    x = executions(s, d).select("workflow_id", "node_name", F.col("due_us").alias("at_us"), (F.col("duration") * 1000).cast("long").alias("duration_us"), "part", "line")
+    done = x.where(~F.startswith("node_name", F.lit("N"))).withColumns({"result": F.struct("part"), "next_nodes": F.when(F.col("part") % 3 == 0, F.array().cast("array<string>")).when(F.col("part") % 3 == 1, F.array(F.lit("review"))).otherwise(F.array(F.lit("review"), F.lit("archive")))})
+    failed = x.where(F.startswith("node_name", F.lit("N"))).withColumns({"error": F.concat(F.lit("part "), F.col("part").cast("string"), F.lit(" is missing")), "config": F.lit(None).cast("string"), "state": F.struct("part")})
+    return completed_bodies(done).unionByName(error_bodies(failed))
+
+
 QUERIES = {
+    "ev_bodies": _bodies_of,
     "ev_lifecycle": lambda s, d: lifecycle_events(_runs(s, d)),
     "wf_archive": lambda s, d: _archive(s, d).withColumn("nodes", F.concat_ws(",", "nodes")),
     "wf_archived_status": lambda s, d: status_with_archive(workflows(s, d), _archive(s, d)),
@@ -133,6 +167,10 @@ d AS (SELECT workflow_id, string_agg(line, ';' ORDER BY nth) FILTER (section = '
   count(*) FILTER (section = 'executed') AS n_executed, count(*) FILTER (section = 'executing') AS n_executing, count(*) FILTER (section = 'pending') AS n_pending FROM t GROUP BY 1)
 SELECT w.workflow_id, status, started_us, coalesce(executed, '') AS executed, coalesce(executing, '') AS executing, coalesce(pending, '') AS pending, coalesce(n_executed, 0) AS n_executed, coalesce(n_executing, 0) AS n_executing, coalesce(n_pending, 0) AS n_pending FROM w LEFT JOIN d USING (workflow_id)"""
 ORACLES = {
+    "ev_bodies": """WITH x AS (SELECT l_orderkey AS w, l_returnflag || l_linestatus AS node, epoch_us(l_shipdate) AS at_us, CAST(l_quantity * 1000 AS BIGINT) AS took, l_partkey AS part FROM lineitem),
+b AS (SELECT *, '{"workflow_id":"' || w || '","node_name":"' || node || CASE WHEN node LIKE 'N%' THEN '","error":"part ' || part || ' is missing","failed_at_us":' || at_us || ',"duration_us":' || took || ',"execution_id":"' || w || '-' || node || '-' || at_us || '","current_state":{"part":' || part || '},"recoverable":true}'
+  ELSE '","result":{"part":' || part || '},"completed_at_us":' || at_us || ',"duration_us":' || took || ',"execution_id":"' || w || '-' || node || '-' || at_us || CASE part % 3 WHEN 0 THEN '"}' WHEN 1 THEN '","next_nodes":["review"]}' ELSE '","next_nodes":["review","archive"]}' END END AS body FROM x)
+SELECT 'workflow:' || w || ':node:' || node || CASE WHEN node LIKE 'N%' THEN ':error' ELSE ':completed' END AS key, count(*) AS version, arg_max(body, (at_us, body)) AS body FROM b GROUP BY w, node""",
     "ev_lifecycle": "SELECT 'workflow:' || l_orderkey || ':node:' || l_returnflag || l_linestatus || ':completed' AS key, count(*) AS version, l_orderkey AS workflow_id, l_returnflag || l_linestatus AS node_name, max(epoch_us(l_shipdate)) AS last_us, arg_max(l_partkey, (l_shipdate, l_partkey)) AS result FROM lineitem GROUP BY ALL",
     "wf_archive": f"WITH {_ARCHIVE} SELECT * FROM a",
     "wf_archived_status": f"WITH {_ARCHIVE} SELECT workflow_id, 'completed' AS status, completed_us - duration_us AS started_us, completed_us FROM a UNION ALL SELECT workflow_id, status, started_us, NULL FROM w WHERE status <> 'completed'",

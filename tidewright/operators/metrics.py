@@ -28,6 +28,33 @@ def cluster_metrics(w: DataFrame) -> DataFrame:
     return w.rollup("status").agg(F.count("*").alias("n"))
 
 
+def cluster_totals(w: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: all, active, completed and failed workflows and how many nodes have run."""
+    status = F.col("status")
+    counts = w.agg(F.count("*").alias("total"), F.count_if(status == "running").alias("active"), F.count_if(status == "completed").alias("completed"), F.count_if(status == "failed").alias("failed"))
+    return counts.crossJoin(runs.agg(F.count("*").alias("nodes_executed")))  # one row each
+
+
+def throughput(x: DataFrame, by: list[str], at_us: str, now_us: int) -> DataFrame:
+    """executed and per_second: runs by the time since the last of them; 0 without time in between."""
+    elapsed = (F.lit(now_us) - F.max(at_us)) / 1e6
+    return x.groupBy(*by).agg(F.count("*").alias("executed"), F.when(elapsed > 0, F.round(F.count("*") / elapsed, 9)).otherwise(0.0).alias("per_second"))
+
+
+def node_summary(shown: DataFrame) -> DataFrame:
+    """One row over node_metrics: nodes, available ones, mean response time and error rate of all; none, no mean."""
+    return shown.agg(F.count("*").alias("total_nodes"), F.count_if("available").alias("available_nodes"), F.round(F.avg("response_ms"), 6).alias("avg_response_time"), F.round(F.avg("error_rate"), 6).alias("avg_error_rate"))
+
+
+def sections(parts: dict[str, DataFrame]) -> DataFrame:
+    """section, metric and value of one-row tables of numbers, as one report."""
+    rows = [unpivot(df.select(F.lit(name).alias("section"), *(F.col(c).cast("double").alias(c) for c in df.columns)), "section", df.columns) for name, df in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def rolling_error_rate(log: DataFrame, key: str, order: str, failed: Column, window: int = WINDOW) -> DataFrame:
     """log with rate, the share of failures among the last outcomes of the key, this one included; order is unique in a key.
 
@@ -285,7 +312,19 @@ def _node_loads(s, d):
     return _loads(s, d).select("node_id", F.when(F.col("node_id") % 3 == 0, 0).otherwise(F.col("node_id") % 4).cast("long").alias("units"), "weight", (F.col("node_id") % 50).alias("latency_ms"), F.col("pressure").alias("error_rate"), F.when(F.col("node_id") % 5 > 0, F.col("updated_us")).otherwise(0).alias("updated_us"))
 
 
+def _report(s, d):
+    runs = executions(s, d)
+    engine = runs.agg(F.count("*").alias("nodes_executed"), F.count_if(F.startswith("node_name", F.lit("R"))).alias("nodes_failed"), F.round(F.sum("duration"), 2).alias("total_duration"))
+    queue = runs.agg(F.count_if(F.col("node_name").isin("AF", "AO")).alias("size"), F.count_if(F.startswith("node_name", F.lit("R"))).alias("dead_letter_size"))
+    return sections({"engine": engine, "cluster": cluster_totals(workflows(s, d), runs), "queue": queue, "load": node_summary(node_metrics(_node_loads(s, d)))})
+
+
+_SHOWN = "(SELECT count(*) AS total_nodes, count(*) FILTER (node_id % 5 > 0) AS available_nodes, round(avg(node_id % 50), 6) AS avg_response_time, round(avg(pressure), 6) AS avg_error_rate FROM n)"
 QUERIES = {
+    "ag_cluster_totals": lambda s, d: cluster_totals(workflows(s, d), executions(s, d)),
+    "ag_throughput": lambda s, d: throughput(executions(s, d), ["node_name"], "due_us", NOW_US),
+    "lb_node_summary": lambda s, d: node_summary(node_metrics(_node_loads(s, d))),
+    "ob_report": _report,
     "ev_route_nodes": lambda s, d: _node_events(s, d).select("log_index", route(F.col("key")).alias("r")).where("r is not null").select("log_index", "r.*"),
     "lb_active": lambda s, d: active(_loads(s, d), load(s, d, "nation").where("n_regionkey > 1").select(F.col("n_nationkey").alias("node_id"))).select("node_id", "weight"),
     "lb_node_metrics": lambda s, d: node_metrics(_node_loads(s, d)),
@@ -318,7 +357,17 @@ _STATUS = f"WITH {SQL_COMMANDS}, l AS (SELECT CAST(user_id AS VARCHAR) AS key, l
 _BUCKET = f"""WITH RECURSIVE {SQL_COMMANDS}, l AS (SELECT CAST(user_id AS VARCHAR) AS key, log_index, ts_us, CAST(log_index % 3 + 1 AS DOUBLE) AS n, row_number() OVER (PARTITION BY user_id ORDER BY log_index) AS k FROM c),
 f AS (SELECT key, log_index, ts_us, k, {_BURST}.0::DOUBLE >= n AS allowed, CASE WHEN {_BURST}.0::DOUBLE >= n THEN {_BURST}.0::DOUBLE - n ELSE {_BURST}.0::DOUBLE END AS tokens FROM l WHERE k = 1
 UNION ALL SELECT key, log_index, ts_us, k, t >= n, CASE WHEN t >= n THEN t - n ELSE t END FROM (SELECT l.*, least(f.tokens + (l.ts_us - f.ts_us)::DOUBLE / 1e6::DOUBLE * (1.0::DOUBLE / 4096), {_BURST}.0::DOUBLE) AS t FROM f JOIN l ON l.key = f.key AND l.k = f.k + 1))"""
+_TOTALS = "(SELECT count(*) AS total, count(*) FILTER (status = 'running') AS active, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, (SELECT count(*) FROM lineitem) AS nodes_executed FROM w)"
 ORACLES = {
+    "ag_cluster_totals": f"WITH {SQL_WORKFLOWS} SELECT * FROM {_TOTALS}",
+    "ag_throughput": f"WITH {SQL_EXECUTIONS} SELECT node_name, count(*) AS executed, CASE WHEN {NOW_US} > max(due_us) THEN round(count(*) / (({NOW_US} - max(due_us)) / 1e6), 9) ELSE 0.0 END::DOUBLE AS per_second FROM x GROUP BY 1",
+    "lb_node_summary": f"WITH {_LOADS} SELECT * FROM {_SHOWN}",
+    "ob_report": f"""WITH {_LOADS}, {SQL_WORKFLOWS}, {SQL_EXECUTIONS}, e AS (SELECT count(*) AS nodes_executed, count(*) FILTER (starts_with(node_name, 'R')) AS nodes_failed, round(sum(duration), 2) AS total_duration FROM x), q AS (SELECT count(*) FILTER (node_name IN ('AF', 'AO')) AS size, count(*) FILTER (starts_with(node_name, 'R')) AS dead_letter_size FROM x)
+SELECT section, metric, CAST(value AS DOUBLE) AS value FROM (
+SELECT 'engine' AS section, unnest(['nodes_executed', 'nodes_failed', 'total_duration']) AS metric, unnest([nodes_executed, nodes_failed, total_duration]::DOUBLE[]) AS value FROM e
+UNION ALL SELECT 'cluster', unnest(['total', 'active', 'completed', 'failed', 'nodes_executed']), unnest([total, active, completed, failed, nodes_executed]::DOUBLE[]) FROM {_TOTALS}
+UNION ALL SELECT 'queue', unnest(['size', 'dead_letter_size']), unnest([size, dead_letter_size]::DOUBLE[]) FROM q
+UNION ALL SELECT 'load', unnest(['total_nodes', 'available_nodes', 'avg_response_time', 'avg_error_rate']), unnest([total_nodes, available_nodes, avg_response_time, avg_error_rate]::DOUBLE[]) FROM {_SHOWN})""",
     "ev_route_nodes": f"WITH {SQL_COMMANDS} SELECT log_index, 'workflow' AS channel, CAST(user_id AS VARCHAR) AS id, CASE WHEN log_index % 3 = 0 THEN kind END AS node, CASE WHEN log_index % 3 = 0 THEN 'started' ELSE kind END AS type FROM c WHERE log_index % 3 = 0 OR log_index % 7 > 0",
     "lb_active": f"WITH {_LOADS} SELECT node_id, weight FROM n WHERE node_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1)",
     "lb_node_metrics": f"""WITH {_LOADS}, l AS (SELECT *, CASE WHEN node_id % 3 = 0 THEN 0 ELSE node_id % 4 END AS units FROM n)

@@ -41,6 +41,18 @@ def claim(items: DataFrame, now_us: int, k: int) -> DataFrame:
     return items.where(due(now_us)).orderBy("sequence").limit(k)
 
 
+def claim_rows(items: DataFrame, now_us: int, k: int, node: str) -> DataFrame:
+    """sequence, claim_id, claimed_at_us, owner, expires_us and data of the k first due items that can be decoded.
+
+    Items whose data is no JSON object are passed over and stay ready. The claim's id follows from its item, node and
+    time, so a claim that is made again is the same.
+    """
+    decoded = F.startswith(F.schema_of_variant(F.try_parse_json("data")), F.lit("OBJECT"))
+    first = items.where(due(now_us) & F.coalesce(decoded, F.lit(False))).orderBy("sequence", "data").limit(k)
+    claim_id = F.sha2(F.concat_ws(":", F.lit(node), F.col("sequence").cast("string"), F.lit(str(now_us))), 256)
+    return first.select("sequence", claim_id.alias("claim_id"), F.lit(now_us).cast("long").alias("claimed_at_us"), F.lit(node).alias("owner"), F.lit(now_us + CLAIM_TTL_US).cast("long").alias("expires_us"), "data")
+
+
 def claim_per_queue(items: DataFrame, queue: str, now_us: int, k: int) -> DataFrame:
     """The k first due items of each queue. Only k rows a queue and task are shuffled."""
     at = F.row_number().over(Window.partitionBy(queue).orderBy("sequence"))
@@ -216,7 +228,13 @@ def _connectors(s, d):
     return status(configs, latest_leases(_lease_log(s, d)), 1706659200000000)
 
 
+def _damaged(s, d):
+    """Items of which every third is cut off."""
+    return _items(s, d).withColumn("data", F.when(F.col("sequence") % 3 == 0, F.substring("data", 1, 12)).otherwise(F.col("data")))
+
+
 QUERIES = {
+    "queue_claim_rows": lambda s, d: claim_rows(_damaged(s, d), NOW_US, 50, "n1"),
     "cn_status": _connectors,
     "queue_enqueue_rows": lambda s, d: _enqueued(s, d).select("sequence", "workflow_id", "worker", "claim_id", "tier"),
     "queue_dlq_retry": lambda s, d: _retried(s, d).select("sequence", "was", "data", "tier"),
@@ -246,6 +264,7 @@ QUERIES = {
     "lease_latest": lambda s, d: latest_leases(_lease_log(s, d)),
 }
 ORACLES = {
+    "queue_claim_rows": f"WITH {_ITEMS} SELECT sequence, sha256('n1:' || sequence || ':{NOW_US}') AS claim_id, CAST({NOW_US} AS BIGINT) AS claimed_at_us, 'n1' AS owner, CAST({NOW_US + CLAIM_TTL_US} AS BIGINT) AS expires_us, data FROM i WHERE tier = 'ready' AND process_after_us <= {NOW_US} AND sequence % 3 > 0 ORDER BY sequence, data LIMIT 50",
     "cn_status": f"{_LEASE_FOLD}, h AS (SELECT key, holder FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1 AND holder IS NOT NULL AND expires_us > 1706659200000000) SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, holder AS owner, holder IS NOT NULL AS active FROM nation LEFT JOIN h ON key = CAST(n_nationkey AS VARCHAR)",
     "queue_enqueue_rows": """WITH x AS (SELECT l_orderkey AS workflow_id, l_suppkey AS worker, l_extendedprice AS amount, '{"workflow_id":"' || l_orderkey || '","node":"' || l_returnflag || l_linestatus || '"}' AS data, epoch_us(l_shipdate) AS at_us,
   CAST(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS VARCHAR) AS claim_id FROM lineitem)
