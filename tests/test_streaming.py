@@ -66,6 +66,22 @@ def test_latest_state_keeps_two_versions(spark, tmp_path):
     assert len(versions) == 2 and rows(spark.read.parquet(str(tmp_path / f"table/v={versions[-1]}")).select("key", "value", "version")) == rows(kv.latest(log))
 
 
+def test_latest_state_by_bucket_writes_what_it_touches(spark, tmp_path):
+    first = spark.range(600).selectExpr("id as log_index", "cast(id % 70 as string) as key", "cast(id as string) as value")
+    later = spark.range(600, 640).selectExpr("id as log_index", "cast(id % 2 as string) as key", "cast(id as string) as value")
+    path = str(tmp_path / "table")
+    assert jobs.read_buckets(spark, path).collect() == []
+    written = []
+    for k, part in enumerate((first, later, later.withColumn("log_index", F.col("log_index") + 100))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = jobs.read_log(spark, str(tmp_path / "in"), first.schema, 1)
+        jobs.latest_state_by_bucket(live, path, str(tmp_path / "cp"), 16).awaitTermination()
+        written.append({p.name for p in (tmp_path / "table" / "rows" / f"v={k}").iterdir() if p.name.startswith("bucket=")})
+    whole = first.unionAll(later).unionAll(later.withColumn("log_index", F.col("log_index") + 100))
+    assert rows(jobs.read_buckets(spark, path).select("key", "value", "version")) == rows(kv.latest(whole))
+    assert len(written[0]) > 8 and len(written[1]) <= 2 == len({p.name for p in (tmp_path / "table" / "manifest").iterdir()})
+
+
 def test_idle_keys_leave_the_state():
     group, held = ("k",), jobs.stepped(("log_index",), lambda: {"n": 0}, lambda s, r: s.update(n=s["n"] + 1) or {"n": s["n"]}, ["k", "n"], 1000)
 

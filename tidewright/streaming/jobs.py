@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +115,63 @@ def latest_state(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_state_by_bucket(log: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the table of latest_state in buckets of keys: a micro-batch writes only those that it touches.
+
+    Each writes its buckets below rows/v=batch, then a manifest of every bucket's version, which is what readers go by. A
+    batch that runs again starts from the manifest before it and overwrites its own, so a lost driver or executor
+    leaves the table of the batch before. What neither of the last two manifests names is deleted.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        manifests = versions(f"{path}/manifest", batch_id)
+        held = bucket_versions(spark, path, manifests[-1]) if manifests else {}
+        new = batch.groupBy("key").agg(F.max_by("value", "log_index").alias("value"), F.count("*").alias("version"), F.max("log_index").alias("log_index"))
+        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # as many as there are buckets
+        if old := [f"{path}/rows/v={held[b]}/bucket={b}" for b in touched if b in held]:
+            new = new.unionByName(spark.read.parquet(*old))
+        merged = new.groupBy("key").agg(F.max_by("value", "log_index").alias("value"), F.sum("version").alias("version"), F.max("log_index").alias("log_index"))
+        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/v={batch_id}")
+        now = held | {b: batch_id for b in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={batch_id}")
+        fs, _ = FileSystem.from_uri(path)
+        for m in manifests[:-1]:
+            before = bucket_versions(spark, path, m)
+            for b in (b for b, v in before.items() if v not in (held.get(b), now[b])):
+                delete(fs, f"{path}/rows/v={before[b]}/bucket={b}")
+            delete(fs, f"{path}/manifest/v={m}")
+
+    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(path: str, below: int | None = None) -> list[int]:
+    """The versions that lie in a folder, ascending, below one if given."""
+    fs, at = FileSystem.from_uri(path)
+    found = [int(f.base_name[2:]) for f in fs.get_file_info(FileSelector(at, allow_not_found=True)) if f.base_name.startswith("v=")]
+    return sorted(v for v in found if below is None or v < below)
+
+
+def bucket_versions(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    return {r["bucket"]: r["v"] for r in spark.read.parquet(f"{path}/manifest/v={version}").collect()}
+
+
+def delete(fs: FileSystem, path: str) -> None:
+    at = FileSystem.from_uri(path)[1]
+    if fs.get_file_info(at).type == FileType.Directory:
+        fs.delete_dir(at)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The table of latest_state_by_bucket as of its last manifest: key, value, version, log_index."""
+    last = versions(f"{path}/manifest")
+    if not last:
+        return spark.createDataFrame([], "key string, value string, version long, log_index long")
+    held = bucket_versions(spark, path, last[-1])
+    return spark.read.parquet(*(f"{path}/rows/v={v}/bucket={b}" for b, v in held.items()))
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream to a Parquet folder, exactly once, until what is there has been read."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
