@@ -120,10 +120,14 @@ def dead_letters(items: DataFrame, limit: int = 0) -> DataFrame:
     return rows.limit(limit) if limit > 0 else rows
 
 
-def retry_dead_letter(items: DataFrame, sequences: DataFrame, first: int) -> DataFrame:
-    """Dead letters back to ready with new sequences."""
-    back = items.where("tier = 'deadletter'").join(sequences.select("sequence").distinct(), "sequence", "left_semi")
-    return enqueue(back.withColumnRenamed("sequence", "was"), first, ("was",))
+def retry_dead_letter(items: DataFrame, chosen: DataFrame, first: int, by: tuple[str, ...] = ("sequence",)) -> DataFrame:
+    """Dead letters that chosen names by the columns ``by``, back to ready with new sequences in the order of the old ones.
+
+    Where items of several workflows may have one sequence, the workflow belongs in by. Those that have one sequence
+    (ties) go by their data.
+    """
+    back = items.where("tier = 'deadletter'").join(chosen.select(*by).distinct(), list(by), "left_semi")
+    return enqueue(back.withColumnRenamed("sequence", "was"), first, ("was", "data"))
 
 
 def _lease(state: dict, row: dict) -> dict:
@@ -220,7 +224,7 @@ def _enqueued(s, d):
 
 def _retried(s, d):
     items = _items(s, d)
-    return retry_dead_letter(items, items.where("tier = 'deadletter' and workflow_id % 3 > 0"), 1_000_000_001)
+    return retry_dead_letter(items, items.where("tier = 'deadletter' and workflow_id % 3 > 0"), 1_000_000_001, ("workflow_id", "sequence"))
 
 
 def _connectors(s, d):
