@@ -28,6 +28,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select("b", "b").distinct().toDF("node", "component"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of the links that labels (node, component) come from and of further links (a, b) together.
+
+    Further links are taken as links of components, so that of any number between the same two one is left.
+    """
+    between = links.select("a", "b")
+    for side, other in (("a", "b"), ("b", "a")):
+        ends = between.groupBy(side).agg(F.count("*").alias("n"))
+        of = ends.join(labels, F.col(side) == F.col("node"), "left").select(side, F.coalesce("component", side).alias("_to"), "n")
+        between = staged(spread_join(between, of, [side], "n", [other]).select(F.col("_to").alias(side), other).distinct(), f"between-{side}")
+    found = staged(components(between), "found")
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    to = sizes.join(found.select("node", F.col("component").alias("_to")), F.col("component") == F.col("node"), "left").select("component", F.coalesce("_to", "component").alias("_to"), "n")
+    old = spread_join(labels, to, ["component"], "n", ["node"]).select("node", F.col("_to").alias("component"))
+    return old.unionByName(found.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether links (larger, smaller) are stars: one link a node, and none from a node that another links to."""
     rows, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()

@@ -6,10 +6,12 @@ errors, and leaving out each set of so many symbols of a chunk enumerates what b
 
 Documents with equal shingle sets are one class first. Classes that share a key are linked to the smallest of
 the key and confirmed on their full sets; components of confirmed links settle nearly every key. Keys whose
-classes are still of several components are then compared class by class, in blocks: pairs of different
-components within DISTANCE are confirmed too, unless their sizes or the number of 16-bit shingle prefixes that
-they share, which is never below that of shared shingles, rule the similarity out. So no pair within DISTANCE is
-left out, and a key that thousands of like documents share costs one pair each.
+classes are still of several components are cut into blocks, and in each block the pairs of a forest, at most one a
+class, are confirmed: they join groups of which no member is like all others. Keys that are mixed even then are
+compared class by class, all pairs of blocks: those of different components within DISTANCE are confirmed too. Pairs
+are left out in both if their sizes or the number of 16-bit shingle prefixes that they share, which is never below
+that of shared shingles, rule the similarity out. So no pair within DISTANCE is left out, and a key that thousands
+of like documents share costs one pair each.
 
 A pair at Jaccard similarity J differs in about (1 - J) * SYMBOLS symbols. Distance and chunks follow from the
 least similarity, so that a pair at it is missed with a chance below 1 in 10,000: 22 and 13 at 0.85 (3.0e-5), 27 and
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, merged
 from ._shared import partitions, staged, table
 from ._skew import spread_join
 from ._words import Words, groups, mix
@@ -189,21 +191,29 @@ def limits(percent: int, chance: float = 1e-4) -> tuple[int, int]:
     return 2 * chunks - 1, chunks
 
 
-def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int, chunks: int) -> DataFrame:
+def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int, chunks: int, forest: bool = False) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a key and may reach percent, each pair once.
 
     classes: class, signature, n, brief; labels: class, component. A pair passes if its signatures are within
     distance and neither its sizes nor its briefs rule percent out, so no pair at percent is lost here. It is emitted
     at the first pattern that both share. Members of a key are cut into blocks, and each pair of blocks is a group of
     at most about 2 * BLOCK members, so a long key is shared among tasks and no task holds it whole.
+
+    With forest, blocks are compared within themselves alone, and of the pairs that pass only those that join two trees
+    of earlier ones come out, the likest of two trees: fewer than the block has members. Other pairs are left for a call
+    without, after the labels have taken the confirmed ones up.
     """
     labelled = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     keyed = with_keys(labelled, ["component"], distance, chunks)
     mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
     mixed = mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     members = keyed.join(mixed, "key").join(classes, "class")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if forest:  # other blocks at each key, so that groups cut by one are joined by the next
+        members = members.withColumn("mine", F.pmod(F.xxhash64("class", "key"), "blocks").cast("int"))
+        dealt = members.withColumn("other", F.col("mine"))
+    else:
+        members = members.withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+        dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "pattern", "mine", "class", "component", "n", "signature", "brief")
     kept = patterns(SYMBOLS, distance, chunks)
     masks = np.zeros((SYMBOLS, len(kept)), np.float32)
@@ -234,7 +244,14 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
                 has[briefs[x]] = False
                 ends = np.cumsum(lengths)
                 shared = np.where(lengths > 0, np.minimum(hits[ends] - hits[ends - lengths], n[x]), n[x])
-                at = at[100 * shared >= percent * (n[x] + n[at] - shared)]
+                passed = 100 * shared >= percent * (n[x] + n[at] - shared)
+                at, likeness = at[passed], (shared / (n[x] + n[at] - shared))[passed]
+            else:
+                likeness = np.zeros(len(at))
+            if forest and len(at):
+                at = at[np.argsort(-likeness, kind="stable")]
+                at = at[np.unique(component[at], return_index=True)[1]]
+                component[np.isin(component, component[at])] = component[x]
             for y in ids[at].tolist():
                 yield min(int(ids[x]), y), max(int(ids[x]), y)
 
@@ -258,7 +275,7 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
     def pairs(out):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    spread = dealt.repartition(partitions(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = dealt.repartition(partitions(classes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
     return spread.mapInArrow(run, "a long, b long")
 
 
@@ -294,10 +311,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
     links = staged(confirm(stars, wanted, width, percent), "confirmed")
     labels = staged(components(links).withColumnRenamed("node", "class"), "labels")
     near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "brief"), "class"), "near")
-    more = staged(unsettled(near, labels, percent, distance, chunks).join(stars, ["a", "b"], "left_anti"), "unsettled")
-
-    linked = components(links.unionAll(confirm(more, wanted, width, percent))).withColumnRenamed("node", "class")
-    linked = staged(linked.join(classes.select("class", *sets, "doc_id"), "class"), "linked")
+    tried = stars
+    for forest in (True, False):
+        more = staged(unsettled(near, labels, percent, distance, chunks, forest).join(tried, ["a", "b"], "left_anti"), "forest" if forest else "unsettled")
+        tried = tried.unionAll(more)
+        labels = staged(merged(labels.withColumnRenamed("class", "node"), confirm(more, wanted, width, percent)).withColumnRenamed("node", "class"), "merged")
+    linked = staged(labels.join(classes.select("class", *sets, "doc_id"), "class"), "linked")
     least = linked.groupBy("component").agg(F.min(F.struct("doc_id", *sets)).alias("least"), F.count("*").alias("members"))
     named = spread_join(linked, least, ["component"], "members", ["class"]).select("class", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", *sets) == F.col("least")).alias("is_least"))
     of = classes.select("class", *sets, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).join(named, "class", "left")
