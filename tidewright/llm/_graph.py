@@ -31,25 +31,28 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """node, component of the links that labels (node, component) come from and of further links (a, b) together.
 
-    Further links are taken as links of components, so that of any number between the same two one is left.
+    Further links are taken as links of components, so that of any number between the same two one is left. Without
+    any, labels come back as they are. What is joined here grows with the nodes, so it is merged, not broadcast.
     """
-    between = links.select("a", "b")
+    between = staged(links.select("a", "b"), "further")
+    if between.isEmpty():
+        return labels.select("node", "component")
     for side, other in (("a", "b"), ("b", "a")):
         ends = between.groupBy(side).agg(F.count("*").alias("n"))
-        of = ends.join(labels, F.col(side) == F.col("node"), "left").select(side, F.coalesce("component", side).alias("_to"), "n")
+        of = ends.join(labels.hint("merge"), F.col(side) == F.col("node"), "left").select(side, F.coalesce("component", side).alias("_to"), "n")
         between = staged(spread_join(between, of, [side], "n", [other]).select(F.col("_to").alias(side), other).distinct(), f"between-{side}")
     found = staged(components(between), "found")
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
-    to = sizes.join(found.select("node", F.col("component").alias("_to")), F.col("component") == F.col("node"), "left").select("component", F.coalesce("_to", "component").alias("_to"), "n")
+    to = sizes.join(found.select("node", F.col("component").alias("_to")).hint("merge"), F.col("component") == F.col("node"), "left").select("component", F.coalesce("_to", "component").alias("_to"), "n")
     old = spread_join(labels, to, ["component"], "n", ["node"]).select("node", F.col("_to").alias("component"))
-    return old.unionByName(found.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+    return old.unionByName(found.join(labels.select("node").hint("merge"), "node", "left_anti").select("node", "component"))
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether links (larger, smaller) are stars: one link a node, and none from a node that another links to."""
-    rows, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
-    roots = edges.select(F.col("b").alias("root")).distinct()
-    return rows == nodes and edges.join(roots, F.col("a") == F.col("root"), "left_semi").isEmpty()
+    ends = edges.select("a", F.lit(1).alias("links"), F.lit(0).alias("root")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("a").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    return nodes.agg(F.count_if(F.col("links") + F.col("root") > 1)).first()[0] == 0
 
 
 def _star(pairs: DataFrame, only_larger: bool) -> DataFrame:

@@ -203,11 +203,11 @@ def unsettled(classes: DataFrame, labels: DataFrame, percent: int, distance: int
     of earlier ones come out, the likest of two trees: fewer than the block has members. Other pairs are left for a call
     without, after the labels have taken the confirmed ones up.
     """
-    labelled = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = classes.join(labels.hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     keyed = with_keys(labelled, ["component"], distance, chunks)
     mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
     mixed = mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = keyed.join(mixed, "key").join(classes, "class")
+    members = keyed.join(mixed, "key").join(classes.hint("merge"), "class")
     if forest:  # other blocks at each key, so that groups cut by one are joined by the next
         members = members.withColumn("mine", F.pmod(F.xxhash64("class", "key"), "blocks").cast("int"))
         dealt = members.withColumn("other", F.col("mine"))
@@ -305,21 +305,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
     smallest = keyed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("key", "a")
     stars = staged(keyed.join(smallest, "key").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "stars")
     ends = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "class")
-    ends = staged(ends.join(classes, "class").select("class", "doc_id", "text_hash"), "ends")
-    # ends grow with the documents, so they are merged, not broadcast
+    # ends and classes grow with the documents, so they are merged, not broadcast: broadcasts take the driver's memory
+    ends = staged(ends.join(classes.hint("merge"), "class").select("class", "doc_id", "text_hash"), "ends")
     wanted = staged(with_brief(texts.join(ends.hint("merge"), ["doc_id", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")), width), "texts")
     links = staged(confirm(stars, wanted, width, percent), "confirmed")
     labels = staged(components(links).withColumnRenamed("node", "class"), "labels")
-    near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "brief"), "class"), "near")
+    near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "brief").hint("merge"), "class"), "near")
     tried = stars
     for forest in (True, False):
-        more = staged(unsettled(near, labels, percent, distance, chunks, forest).join(tried, ["a", "b"], "left_anti"), "forest" if forest else "unsettled")
+        more = staged(unsettled(near, labels, percent, distance, chunks, forest).join(tried.hint("merge"), ["a", "b"], "left_anti"), "forest" if forest else "unsettled")
         tried = tried.unionAll(more)
         labels = staged(merged(labels.withColumnRenamed("class", "node"), confirm(more, wanted, width, percent)).withColumnRenamed("node", "class"), "merged")
-    linked = staged(labels.join(classes.select("class", *sets, "doc_id"), "class"), "linked")
+    linked = staged(labels.join(classes.select("class", *sets, "doc_id").hint("merge"), "class"), "linked")
     least = linked.groupBy("component").agg(F.min(F.struct("doc_id", *sets)).alias("least"), F.count("*").alias("members"))
     named = spread_join(linked, least, ["component"], "members", ["class"]).select("class", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", *sets) == F.col("least")).alias("is_least"))
-    of = classes.select("class", *sets, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).join(named, "class", "left")
+    of = classes.select("class", *sets, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).join(named.hint("merge"), "class", "left")
     of = of.select(*sets, F.coalesce("component_id", "first_id").alias("component_id"), F.when(F.coalesce("is_least", F.lit(True)), F.col("first_text")).alias("staying"))
     columns = ["doc_id", "n_shingles", "component_id", "kept", "text_hash", "stays"]
     out = rows.where(links_with_others).join(of, sets).withColumn("kept", F.col("doc_id") == F.col("component_id"))
