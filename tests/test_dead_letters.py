@@ -28,3 +28,12 @@ def test_ties_go_by_data(spark, tmp_path):
     rows = [(4, 1, 100_001, "R", "O"), (4, 2, 1, "R", "F"), (4, 1, 100_001, "R", "O"), (1, 1, 1, "R", "F")]
     got = retried(spark, tmp_path, rows)
     assert [(r[0] - 1_000_000_000, r[1], r[2][-4:-2]) for r in got] == [(1, 1_100_001, "RF"), (2, 4_200_001, "RF"), (3, 4_200_001, "RO"), (4, 4_200_001, "RO")]
+
+
+def test_rows_without_a_part_or_a_flag_come_back_too(spark, tmp_path):
+    rows = [(1, 1, None, "R", "F"), (2, 1, 7, None, "F"), (2, 2, 7, "R", None), (4, 1, 7, "R", "O"), (3, 1, None, "R", "F"), (None, 1, 1, "R", "F")]
+    got = retried(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f"select sequence, was, data, tier from ({registry.oracle_sql()['queue_dlq_retry']})").fetchall()
+    assert got == sorted(want) and len(got) == 4

@@ -6,6 +6,9 @@ claim_id, claimed_at_us. Every clock and jitter is an argument.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,13 +21,13 @@ from ..sources.tables import SQL_COMMANDS, commands, executions, load
 MOST_BYTES, MOST_DEFERRALS, CLAIM_TTL_US, ORPHAN_US = 1 << 20, 10, 300_000_000, 30_000_000
 
 
-def enqueue(items: DataFrame, first: int = 0, order: tuple[str, ...] = ("workflow_id",), tier: str = "ready") -> DataFrame:
-    """Items with a sequence from first on in the given order; those over the size limit are refused (left out).
+def enqueue(items: DataFrame, first: int = 0, order: tuple[str | Column, ...] = ("workflow_id",), tier: str = "ready") -> DataFrame:
+    """Items with a sequence from first on in the given order; those over the size limit are refused (left out), those without data are not.
 
     The numbering is one global order, so ranges are counted first and numbered from their offsets: no task
     holds all rows.
     """
-    fits = items.where(F.octet_length("data") <= MOST_BYTES)
+    fits = items.where(F.coalesce(F.octet_length("data"), F.lit(0)) <= MOST_BYTES)
     return global_rank(fits, list(order), "sequence", first).withColumn("tier", F.lit(tier))
 
 
@@ -123,11 +126,13 @@ def dead_letters(items: DataFrame, limit: int = 0) -> DataFrame:
 def retry_dead_letter(items: DataFrame, chosen: DataFrame, first: int, by: tuple[str, ...] = ("sequence",)) -> DataFrame:
     """Dead letters that chosen names by the columns ``by``, back to ready with new sequences in the order of the old ones.
 
-    Where items of several workflows may have one sequence, the workflow belongs in by. Those that have one sequence
-    (ties) go by their data.
+    Where items of several workflows may have one sequence, the workflow belongs in by. Nulls in by name nulls, and
+    items without a sequence come last. Those that have one sequence (ties) go by their data.
     """
-    back = items.where("tier = 'deadletter'").join(chosen.select(*by).distinct(), list(by), "left_semi")
-    return enqueue(back.withColumnRenamed("sequence", "was"), first, ("was", "data"))
+    names = chosen.select(*(F.col(c).alias(f"_of_{c}") for c in by)).distinct()
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by))
+    back = items.where("tier = 'deadletter'").join(names, same, "left_semi")
+    return enqueue(back.withColumnRenamed("sequence", "was"), first, (F.col("was").asc_nulls_last(), F.col("data").asc_nulls_last()))
 
 
 def _lease(state: dict, row: dict) -> dict:

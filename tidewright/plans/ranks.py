@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +11,7 @@ from .shared import staged
 BITS = 33  # Spark's increasing ids: the partition above, the row in it below
 
 
-def global_rank(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str | Column], name: str, first: int = 0) -> DataFrame:
     """df with a number for each row in the given order, which must be total for reruns to agree.
 
     Rows are range-partitioned, sorted and written once with their place, since Spark draws the ranges anew for each
