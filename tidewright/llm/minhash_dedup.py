@@ -34,6 +34,7 @@ from ._skew import spread_join
 from ._words import Words, groups, mix
 
 SYMBOLS, DISTANCE, CHUNKS, BLOCK = 64, 22, 13, 256
+MARKS = 1 << 22  # bits that texts are told apart by before they are shuffled
 MOST_BRIEF = 1 << 15  # sets beyond it have no prefixes and are always confirmed in full
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
@@ -149,6 +150,18 @@ def with_keys(classes: DataFrame, extra: list[str], distance: int, chunks: int)
     return classes.select("signature", "class", *extra).mapInArrow(run, f"key long, pattern int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kinds)}")
 
 
+def marked(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of texts (text_hash, ...) whose hash may be one of ends: all that are, and few others while ends are fewer than MARKS.
+
+    Ends mark bits, 64 in a row, so what is broadcast has MARKS / 64 rows at the most, and texts that nobody asks for are
+    left out where they are read, before the join that shuffles them.
+    """
+    bit = F.pmod(F.col("text_hash"), F.lit(MARKS))
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(text_hash, {MARKS}) & 63 as int))")
+    words = ends.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    return texts.join(F.broadcast(words), word == F.col("_word")).where(F.col("_bits").bitwiseAND(mask) != 0).drop("_word", "_bits")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts' full sets have 100 * intersection >= percent * union; texts: class, text."""
     # the text of a, which may be in many pairs, joins last, beside texts of b that are there already
@@ -307,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, distance
     ends = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "class")
     # ends and classes grow with the documents, so they are merged, not broadcast: broadcasts take the driver's memory
     ends = staged(ends.join(classes.hint("merge"), "class").select("class", "doc_id", "text_hash"), "ends")
-    wanted = staged(with_brief(texts.join(ends.hint("merge"), ["doc_id", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")), width), "texts")
+    wanted = staged(with_brief(marked(texts, ends).join(ends.hint("merge"), ["doc_id", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")), width), "texts")
     links = staged(confirm(stars, wanted, width, percent), "confirmed")
     labels = staged(components(links).withColumnRenamed("node", "class"), "labels")
     near = staged(classes.select("class", "signature").join(wanted.select("class", "n", "brief").hint("merge"), "class"), "near")
